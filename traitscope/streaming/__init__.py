@@ -1,0 +1 @@
+"""No stream operators: time in this data model is a position in a finished series."""
