@@ -20,7 +20,7 @@ from ..functions.vectors import l2_normalize
 from ..operators import agreement, geometry, patterns
 from ..operators.denote import denote, phi_column
 from ..operators.embedders import Embedder, HashedBowEmbedder
-from ..operators.passes import Held, Passes, Rows, count_rows, solve
+from ..operators.passes import Held, Passes, Rows, compact, count_rows, solve
 from ..operators.proposers import Proposer, TokenProposer
 from ..operators.sampling import SCREEN, screen_sample
 from ..operators.scorers import Committer, FirstMatchCommitter, Scorer, SimilarityJudge, TokenScorer
@@ -112,12 +112,14 @@ class Model:
         random_update: bool = False,
         max_tokens: int | None = None,
         binary: bool = True,
+        gain: float = solvers.GAIN,
         seed: int = 0,
     ):
         """``texts`` has distinct texts: text_id, text and, by problem, ``label`` or ``t``.
 
         ``binary=False`` is for scorers with values other than 0 and 1: patterns are then
-        grouped as arrays and stay in Spark.
+        grouped as arrays and stay in Spark. ``gain`` is what a step of a direction search must
+        win: less means more passes over the texts.
         """
         self.spark = texts.sparkSession
         self.texts, self.k, self.goal = texts, k, goal
@@ -128,7 +130,8 @@ class Model:
         self.judge, self.reference = judge, reference
         self.verdicts, self.vectors = verdicts, vectors
         self.temperature, self.screen, self.rounds, self.explore = temperature, screen, rounds, explore
-        self.random_update, self.max_tokens, self.binary, self.seed = random_update, max_tokens, binary, seed
+        self.random_update, self.max_tokens, self.binary = random_update, max_tokens, binary
+        self.gain, self.seed = gain, seed
         if self.verdicts is None and not self.scorer.native:
             self.verdicts = VerdictCache(self.spark, f"{shared_folder(self.spark)}/traitscope/verdicts-{uuid.uuid4().hex}")
         self.pool: dict[str, np.ndarray] = {}
@@ -181,7 +184,7 @@ class Model:
         else:
             den = self.denotation(predicates)
             wide = self.base.select("text_id", "y", "embedding").join(den, "text_id")
-        self.state = materialise(wide, "state")
+        self.state = materialise(compact(wide, self.n), "state")
 
     def grouped(self, wide: DataFrame, k: int) -> DataFrame:
         """Pattern counts per target value, written once: everything else reads this small table."""
@@ -229,7 +232,7 @@ class Model:
 
     def fit(self) -> Explanation:
         self.prepare()
-        blank = self.base.select("y", "embedding", F.array(*[F.lit(0)] * self.k).alias("phi"))
+        blank = compact(self.base.select("y", "embedding", F.array(*[F.lit(0)] * self.k).alias("phi")), self.n)
         (directions,) = solve(Passes(blank), [self.directions_solver(list(range(self.k)), self.seeds)])
         for direction in directions:
             self.propose(direction)
@@ -350,7 +353,7 @@ class ClusteringModel(Model):
         self.smoothing = smoothing
 
     def directions_solver(self, ks: list[int], begin: np.ndarray | None):
-        return solvers.cluster_directions(self.k, ks, self.seeds, begin, self.n, self.smoothing, self.temperature)
+        return solvers.cluster_directions(self.k, ks, self.seeds, begin, self.n, self.smoothing, self.temperature, self.gain)
 
     def losses(self, table: DataFrame, k: int) -> dict[int, float]:
         result = patterns.cluster_fitness(table, k, self.smoothing, ["variant"])
@@ -369,7 +372,7 @@ class ClassificationModel(Model):
         return texts.withColumn("y", place.cast("int"))
 
     def directions_solver(self, ks: list[int], begin: np.ndarray | None):
-        return solvers.class_directions(self.k, ks, self.seeds, begin, self.n, len(self.classes))
+        return solvers.class_directions(self.k, ks, self.seeds, begin, self.n, len(self.classes), self.gain)
 
     def losses(self, table: DataFrame, k: int) -> dict[int, float]:
         merged = table.groupBy("variant", "phi", "y").agg(F.sum("cnt").alias("weight"))
@@ -407,7 +410,7 @@ class TimeSeriesModel(Model):
         return texts.withColumn("y", F.floor(F.col("t") * F.lit(self.buckets) / F.lit(length)).cast("int"))
 
     def directions_solver(self, ks: list[int], begin: np.ndarray | None):
-        return solvers.series_directions(self.k, ks, self.seeds, begin, self.buckets, self.penalty)
+        return solvers.series_directions(self.k, ks, self.seeds, begin, self.buckets, self.penalty, self.gain)
 
     def losses(self, table: DataFrame, k: int) -> dict[int, float]:
         out = {}

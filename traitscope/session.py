@@ -5,13 +5,14 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def get_spark(app: str = "traitscope", cores: str | int = "*", shuffle_partitions: int = 8) -> SparkSession:
     """A local session for tests and the bench; on a cluster pass your own session."""
-    return (
+    spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -22,6 +23,33 @@ def get_spark(app: str = "traitscope", cores: str | int = "*", shuffle_partition
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
+    ship_package(spark)
+    return spark
+
+
+_shipped: set[tuple[str, str]] = set()
+
+
+def ship_package(spark: SparkSession, folder: str | None = None) -> None:
+    """Send a package folder (this package by default) to the Python workers of a session.
+
+    Done once per application. Not needed where the package is installed on the cluster or
+    passed with --py-files.
+    """
+    root = folder or os.path.dirname(os.path.abspath(__file__))
+    done = (spark.sparkContext.applicationId, root)
+    if done in _shipped:
+        return
+    package = os.path.basename(root)
+    target = os.path.join(tempfile.mkdtemp(prefix="traitscope-py-"), f"{package}.zip")
+    with zipfile.ZipFile(target, "w") as archive:
+        for inner, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(inner, name)
+                    archive.write(path, os.path.join(package, os.path.relpath(path, root)))
+    spark.sparkContext.addPyFile(target)
+    _shipped.add(done)
 
 
 def shared_folder(spark: SparkSession) -> str:
