@@ -114,7 +114,7 @@ TRUNCATED = f"CASE WHEN len({toks('text')}) <= 256 THEN text ELSE array_to_strin
 
 
 def scored_context_sql() -> str:
-    lines = f"""(SELECT string_agg('Sample ' || (rn - 1) || ': ' || shown || ' (score: ' || printf('%.1f', target / 100.0) || ')', chr(10) ORDER BY rn)
+    lines = f"""(SELECT string_agg('Sample ' || (rn - 1) || ': ' || shown || ' (score: ' || printf('%.1f', target / 7.0) || ')', chr(10) ORDER BY rn)
 FROM (SELECT {TRUNCATED} AS shown, target, row_number() OVER (ORDER BY target, text_id, text) AS rn FROM x))"""
     shown = q('Earlier hypotheses; keep their form but not their content:\n"uses irony"\n')
     body = prompt_sql(
@@ -357,7 +357,8 @@ SELECT part, place, predicate FROM a QUALIFY row_number() OVER (PARTITION BY pre
         + ", ".join(f"CAST(length(text) - length(replace(text, '{v}', '')) AS INT) AS e{i}" for i, v in enumerate("aeiou"))
         + " FROM documents",
         "prompt_proposer": f"""WITH {EXTREMES}, s AS (SELECT {toks('text')} AS tk FROM x ORDER BY target DESC, text_id DESC LIMIT 1),
-w AS (SELECT unnest(tk[1:5]) AS predicate, unnest(range(5)) AS place FROM s) SELECT CAST(place AS INT) AS place, predicate FROM w""",
+w AS (SELECT unnest(tk[1:6]) AS predicate, unnest(range(6)) AS place FROM s), d AS (SELECT predicate, min(place) AS place FROM w GROUP BY predicate)
+SELECT CAST(row_number() OVER (ORDER BY place) - 1 AS INT) AS place, predicate FROM d QUALIFY row_number() OVER (ORDER BY place) <= 5""",
     }
     choice = "CASE WHEN contains(text, 'the') THEN 0 WHEN contains(text, 'und') THEN 1 WHEN contains(text, 'el') THEN 2 WHEN contains(text, 'le') THEN 3 ELSE {} END"
     for name, other in (("commit", 3), ("prompt_committer", -1)):

@@ -731,7 +731,7 @@ def extremes_sample(spark, folder):
 
 @query
 def scored_context(spark, folder):
-    d = labelled(spark, folder).select("text_id", "text", (F.length("text") / 100.0).alias("target"))
+    d = labelled(spark, folder).select("text_id", "text", (F.length("text") / 7.0).alias("target"))
     chosen = sampling.extremes_sample(d, "target", 40, 5, seed=3)
     lines = proposers.scored_context(chosen, "target")
     prompt = prompts.proposer_prompt(F.col("lines"), "the goal", ["Uses Irony"], 5)

@@ -123,8 +123,12 @@ def token_matches(texts: DataFrame, predicates: DataFrame) -> DataFrame:
 
 
 def to_long(denotation: DataFrame) -> DataFrame:
-    """(text_id, predicate_id, value) from the wide form."""
-    return denotation.select("text_id", F.posexplode("phi").alias("predicate_id", "value")).withColumn(
+    """(text_id, predicate_id, value) from the wide form.
+
+    The outer generator keeps Catalyst from adding a filter on the array's size, which would
+    score every text a second time below the projection.
+    """
+    return denotation.select("text_id", F.posexplode_outer("phi").alias("predicate_id", "value")).withColumn(
         "value", F.col("value").cast("double")
     )
 

@@ -214,7 +214,7 @@ def permutation_band(
         .withColumn("key", key)
     )
     smooth = ema_curve(shuffled.withColumnRenamed(t, "_t0"), ["key", "_t0"], values, rate, seed_n, rep="rep")
-    points = smooth.select(F.posexplode("curve").alias("curve_id", "c"))
+    points = smooth.select(F.posexplode_outer("curve").alias("curve_id", "c"))
     return points.groupBy("curve_id").agg(
         F.least(F.lit(1.0), F.min("c")).alias("lower"), F.greatest(F.lit(0.0), F.max("c")).alias("upper")
     )

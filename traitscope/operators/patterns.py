@@ -163,7 +163,7 @@ def predicate_correlation(den: DataFrame, k: int, target: str, absolute: bool =
 
     Covariance and variances are running centred moments, merged before the shuffle.
     """
-    pairs = den.select(F.posexplode("phi").alias("predicate_id", "value"), F.col(target).cast("double").alias("_y"))
+    pairs = den.select(F.posexplode_outer("phi").alias("predicate_id", "value"), F.col(target).cast("double").alias("_y"))
     moments = pairs.groupBy("predicate_id").agg(
         F.covar_pop("value", "_y").alias("c"),
         F.var_pop("value").alias("vx"),
@@ -195,7 +195,7 @@ def predicate_report(den: DataFrame, texts: DataFrame, predicates: Sequence[str]
     counts = den.agg(
         F.array(*[F.coalesce(F.sum(F.get("phi", F.lit(i)).cast("bigint")), F.lit(0).cast("bigint")) for i in range(k)]).alias("m")
     ).select(F.posexplode("m").alias("predicate_id", "matches"))
-    hits = den.select("text_id", F.posexplode("phi").alias("predicate_id", "value")).filter("value > 0")
+    hits = den.select("text_id", F.posexplode_outer("phi").alias("predicate_id", "value")).filter("value > 0")
     first = (
         hits.withColumn("rn", F.row_number().over(Window.partitionBy("predicate_id").orderBy("text_id")))
         .filter(F.col("rn") <= examples)

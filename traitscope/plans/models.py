@@ -72,7 +72,7 @@ class Explanation:
     def matches(self, texts: DataFrame) -> DataFrame:
         """(predicate, text, value): the result as a long table."""
         names = F.array(*[F.lit(p) for p in self.predicates])
-        long = self.denotation.select("text_id", F.posexplode("phi").alias("i", "value"))
+        long = self.denotation.select("text_id", F.posexplode_outer("phi").alias("i", "value"))
         named = long.select("text_id", F.element_at(names, F.col("i") + 1).alias("predicate"), F.col("value").cast("int"))
         return named.join(texts.select("text_id", "text"), "text_id").select("predicate", "text", "value")
 
