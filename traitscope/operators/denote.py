@@ -51,7 +51,10 @@ def denote(
             ]
         ).alias("phi")
     )
-    return rows.select("text_id", "text_key").join(wide, "text_key").select("text_id", "phi")
+    # A text whose calls all failed has no verdict at all: zeros, as for a single failed call.
+    none = F.array(*[F.lit(0.0)] * len(predicates))
+    joined = rows.select("text_id", "text_key").join(wide, "text_key", "left")
+    return joined.select("text_id", F.coalesce("phi", none).alias("phi"))
 
 
 def missing_pairs(distinct: DataFrame, predicates: Sequence[str], known: DataFrame) -> DataFrame:
