@@ -235,8 +235,13 @@ SELECT doc_id AS text_id, CASE WHEN s IS NULL THEN 0 WHEN contains(s, 'yes') THE
         "l2_normalize": f"""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 n AS (SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS n FROM v)
 SELECT vec_id AS text_id, CASE WHEN vec_id % 5 = 0 THEN NULL ELSE {r('e[1] / n', 6)} END AS first, CASE WHEN vec_id % 5 = 0 THEN NULL ELSE {r('e[64] / n', 6)} END AS last FROM n""",
-        "hashed_bow_embed": f"""WITH s AS (SELECT doc_id, unnest({toks('text')}) AS tok FROM documents),
-h AS (SELECT doc_id, ('0x' || substr(md5(tok), 1, 8))::BIGINT % 100 AS slot, count(*) AS c FROM s GROUP BY ALL),
+        "hashed_bow_embed": f"""WITH RECURSIVE bit(i, n, c) AS (SELECT i, 0, i FROM range(256) AS z(i) UNION ALL SELECT i, n + 1, CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END FROM bit WHERE n < 8),
+crc AS (SELECT list(c ORDER BY i) AS tab FROM bit WHERE n = 8),
+s AS (SELECT doc_id, unnest({toks('text')}) AS tok FROM documents),
+w AS (SELECT tok, hex(encode(tok)) AS x FROM (SELECT DISTINCT tok FROM s)),
+y AS (SELECT tok, list_transform(range(length(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT) AS bytes FROM w),
+k AS (SELECT tok, xor(list_reduce(bytes, lambda c, v: xor(tab[(xor(c, v) & 255) + 1], c >> 8), 4294967295::BIGINT), 4294967295) % 100 AS slot FROM y, crc),
+h AS (SELECT doc_id, slot, count(*) AS c FROM s JOIN k USING (tok) GROUP BY ALL),
 g AS (SELECT slot, {', '.join(f"{gauss('slot', q(str(d)))} AS g{d}" for d in range(4))} FROM range(100) AS t(slot)),
 x AS (SELECT doc_id, {', '.join(f'sum(c * g{d}) AS e{d}' for d in range(4))} FROM h JOIN g USING (slot) GROUP BY doc_id)
 SELECT doc_id AS text_id, {', '.join(f"{r(f'CAST(e{d} / sqrt(e0 * e0 + e1 * e1 + e2 * e2 + e3 * e3) AS FLOAT)::DOUBLE', 4)} AS e{d}" for d in range(4))} FROM x""",

@@ -33,11 +33,13 @@ def sorted_scan(
     inputs: Sequence[str] = (),
     blocks: int | None = None,
     label: str = "ordered",
+    keep: Sequence[str] | None = None,
 ) -> DataFrame:
     """``df`` with ``_block``, ``_pos`` (0-based in its block) and the columns of ``added``.
 
     ``make_step`` returns a function that is called once per Arrow batch of a block, in
-    order, with the ``inputs`` as numpy arrays; it keeps its own running state.
+    order, with the ``inputs`` as numpy arrays; it keeps its own running state. With ``keep``
+    only those columns stay after the sort.
     """
     n = blocks or blocks_for(df)
     ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
@@ -45,6 +47,8 @@ def sorted_scan(
     marked = ranged.withColumn("_mid", F.monotonically_increasing_id())
     marked = marked.withColumn("_block", F.shiftright("_mid", 33).cast("int"))
     marked = marked.withColumn("_pos", F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))).drop("_mid")
+    if keep is not None:
+        marked = marked.select(*keep, "_block", "_pos")
     if make_step is not None:
         schema = T.StructType(marked.schema.fields + added.fields)
         inputs = list(inputs)
@@ -125,7 +129,7 @@ def smoothing_step(rate: float) -> Callable[[dict[str, np.ndarray]], dict[str, n
         return out
 
     def step(cols: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        x = np.asarray(cols["x"], dtype=float)
+        x = np.asarray(cols["_x"], dtype=float)
         reps = cols["_rep"]
         local, run = np.empty_like(x), np.empty(len(x), dtype=np.int64)
         edges = np.flatnonzero(np.diff(reps)) + 1
@@ -147,18 +151,21 @@ def ema_curve(
     rate: float = 0.005,
     seed_n: int = 50,
     rep: str | None = None,
+    keep: Sequence[str] | None = None,
 ) -> DataFrame:
     """Exponentially smoothed curves: ``series`` with 0-based ``t`` and array ``curve``.
 
     ``values`` is an array column, one entry per curve. c_0 is the mean of the first
     ``seed_n`` values, c_i = (1 - rate) c_{i-1} + rate x_i. With ``rep`` there is one series
-    per value of that integer column, smoothed in the same pass.
+    per value of that integer column, by which ``order`` must sort first; all are smoothed in
+    the same pass. ``keep`` names the columns of ``series`` to carry along (all by default).
     """
     rep_col = F.col(rep) if rep else F.lit(0)
-    ready = series.withColumn("_rep", rep_col.cast("int")).withColumn("x", F.col(values).cast("array<double>"))
+    ready = series.withColumn("_rep", rep_col.cast("int")).withColumn("_x", F.col(values).cast("array<double>"))
+    carried = [c for c in (series.columns if keep is None else keep) if c != "curve"]
     added = T.StructType([T.StructField("local", T.ArrayType(T.DoubleType())), T.StructField("_run", T.LongType())])
     scanned = sorted_scan(
-        ready, ["_rep", *order], added, lambda: smoothing_step(rate), ["x", "_rep"], label="smoothed"
+        ready, order, added, lambda: smoothing_step(rate), ["_x", "_rep"], label="smoothed", keep=[*carried, "_rep", "_x"]
     )
     # One row per (block, series): how long the run is and where it ends.
     ends = (
@@ -175,14 +182,14 @@ def ema_curve(
     placed = scanned.join(F.broadcast(places), ["_block", "_rep"]).withColumn("t", F.col("before") + F.col("_run"))
     head = (
         placed.filter(F.col("t") < seed_n)
-        .select("_rep", "t", "x")
+        .select("_rep", "t", "_x")
         .toPandas()
         .sort_values(["_rep", "t"])
     )
     keep = 1.0 - rate
     starts = []
     for rep_id, runs in ends.groupby("_rep", sort=True):
-        first = np.stack([np.asarray(v, dtype=float) for v in head[head["_rep"] == rep_id]["x"]])
+        first = np.stack([np.asarray(v, dtype=float) for v in head[head["_rep"] == rep_id]["_x"]])
         # State before row 0 such that row 0 itself comes out as the seed.
         state = (first.mean(axis=0) - rate * first[0]) / keep
         for block, last, end, before in runs[["_block", "last", "end", "before"]].itertuples(index=False):
@@ -196,7 +203,7 @@ def ema_curve(
         .withColumn("t", F.col("before") + F.col("_run"))
         .withColumn("curve", curve)
     )
-    return out.drop("_block", "_pos", "_run", "_rep", "local", "before", "start", *([] if values == "x" else ["x"]))
+    return out.select(*carried, "t", "curve")
 
 
 def permutation_band(
@@ -207,13 +214,15 @@ def permutation_band(
     The shuffles are rows of one table ordered by (rep, hash), smoothed in one pass. As in a
     plot of frequencies the band starts as [1, 0] and can only widen.
     """
-    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("rep").cast("string"), F.col(t).cast("string")))
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("rep").cast("string"), F.col("_t0").cast("string")))
+    # One binary sort key, the repetition before the hash: its first bytes nearly decide the sort.
+    key = F.unhex(F.concat(F.lpad(F.hex("rep"), 8, "0"), digest))
     shuffled = (
-        series.select(t, values)
+        series.select(F.col(t).alias("_t0"), values)
         .withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
         .withColumn("key", key)
     )
-    smooth = ema_curve(shuffled.withColumnRenamed(t, "_t0"), ["key", "_t0"], values, rate, seed_n, rep="rep")
+    smooth = ema_curve(shuffled, ["key", "_t0"], values, rate, seed_n, rep="rep", keep=[])
     points = smooth.select(F.posexplode_outer("curve").alias("curve_id", "c"))
     return points.groupBy("curve_id").agg(
         F.least(F.lit(1.0), F.min("c")).alias("lower"), F.greatest(F.lit(0.0), F.max("c")).alias("upper")
