@@ -293,6 +293,9 @@ SELECT predicate_id, CAST(row_number() OVER (ORDER BY {hash_rank(3, 'predicate_i
 SELECT predicate, {r('sum(y)', 6)} AS score FROM w GROUP BY predicate""",
         "token_propose": f"""WITH l AS (SELECT text, quality - avg(quality) OVER () AS y FROM documents JOIN labels USING (doc_id)), w AS (SELECT unnest({toks('text')}) AS predicate, y FROM l)
 SELECT predicate, {r('sum(y)')} AS score FROM w GROUP BY predicate ORDER BY round(sum(y), 9) DESC, predicate LIMIT 5""",
+        "token_propose_many": f"""WITH l AS (SELECT text, quality - avg(quality) OVER () AS y0, length(text) - avg(length(text)) OVER () AS y1 FROM documents JOIN labels USING (doc_id)),
+w AS (SELECT unnest({toks('text')}) AS predicate, y0, y1 FROM l), a AS (SELECT predicate, unnest([0, 1]) AS target_id, unnest([sum(y0), sum(y1)]) AS score FROM w GROUP BY predicate)
+SELECT target_id, CAST(row_number() OVER (PARTITION BY target_id ORDER BY round(score, 9) DESC, predicate) AS INT) AS place, predicate FROM a QUALIFY row_number() OVER (PARTITION BY target_id ORDER BY round(score, 9) DESC, predicate) <= 4""",
         "distinct_tokens": f"SELECT DISTINCT predicate FROM (SELECT unnest({toks('text')}) AS predicate FROM documents) ORDER BY predicate LIMIT 25",
         "pattern_counts": f"WITH {distinct_bits(PREDICATES)} SELECT {bits4}, count(*) AS cnt FROM b GROUP BY {bits4}",
         "label_pattern_counts": f"WITH {labelled_bits(PREDICATES)} SELECT {bits4}, label, count(*) AS cnt FROM b GROUP BY {bits4}, label",

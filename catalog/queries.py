@@ -493,6 +493,13 @@ def token_scores(spark, folder):
     return p.select("predicate", F.round("score", 6).alias("score"))
 
 
+@query
+def token_propose_many(spark, folder):
+    """Best tokens for two targets at once: the quality label and the length of the text."""
+    d = labelled(spark, folder).withColumn("len", F.length("text"))
+    return proposers.token_propose_many(d, ["label", "len"], 4)
+
+
 @query
 def distinct_tokens(spark, folder):
     return proposers.distinct_tokens(docs(spark, folder), 25)

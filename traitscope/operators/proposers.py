@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,6 +40,25 @@ def token_scores(df: DataFrame, target: str) -> DataFrame:
     return sums.select("predicate", (F.col("s") - F.col("c") * mean).alias("score"))
 
 
+def token_scores_many(df: DataFrame, targets: Sequence[str]) -> DataFrame:
+    """(target_id, predicate, score) for several targets from one tokenisation and one shuffle."""
+    means = df.agg(F.array(*[F.avg(t) for t in targets]).alias("m")).scalar()
+    toks = df.select(F.explode(tokens("text")).alias("predicate"), *targets)
+    sums = toks.groupBy("predicate").agg(F.count("*").alias("c"), *[F.sum(t).alias(f"s{i}") for i, t in enumerate(targets)])
+    each = F.posexplode_outer(F.array(*[F.col(f"s{i}") - F.col("c") * F.get(means, F.lit(i)) for i in range(len(targets))]))
+    return sums.select("predicate", each.alias("target_id", "score"))
+
+
+def token_propose_many(df: DataFrame, targets: Sequence[str], n: int = 5) -> DataFrame:
+    """(target_id, place, predicate): the ``n`` best tokens of each target.
+
+    Spark keeps the first ``n`` per target of each partition before it ranks them.
+    """
+    order = Window.partitionBy("target_id").orderBy(F.round("score", 9).desc(), "predicate")
+    ranked = token_scores_many(df, targets).withColumn("place", F.row_number().over(order))
+    return ranked.filter(F.col("place") <= n).select("target_id", "place", "predicate")
+
+
 def token_propose(df: DataFrame, target: str, n: int = 5) -> DataFrame:
     """The ``n`` tokens that go most with a high target; ties by token."""
     return token_scores(df, target).orderBy(F.round("score", 9).desc(), "predicate").limit(n)
@@ -96,6 +115,11 @@ class Proposer:
         """``df`` has text_id, text and the target column."""
         raise NotImplementedError
 
+    def propose_many(self, df: DataFrame, targets: Sequence[str], goal: str | None = None) -> Iterator[Proposal]:
+        """One proposal per target column, in order. Made on demand here, as a call may cost money."""
+        for target in targets:
+            yield self.propose(df, target, goal)
+
     def propose_unscored(self, df: DataFrame, goal: str | None = None) -> Proposal:
         raise NotImplementedError
 
@@ -111,6 +135,12 @@ class TokenProposer(Proposer):
         rows = token_propose(df, target, self.n).collect()
         return self._with_own(Proposal([r["predicate"] for r in rows]), goal)
 
+    def propose_many(self, df: DataFrame, targets: Sequence[str], goal: str | None = None) -> Iterator[Proposal]:
+        """All targets from one pass over the texts; at most n rows per target come back."""
+        rows = sorted(token_propose_many(df, targets, self.n).collect(), key=lambda r: r["place"])
+        for i in range(len(targets)):
+            yield self._with_own(Proposal([r["predicate"] for r in rows if r["target_id"] == i]), goal)
+
     def propose_unscored(self, df: DataFrame, goal: str | None = None) -> Proposal:
         return Proposal([r["predicate"] for r in distinct_tokens(df, self.n).collect()])
 

@@ -9,7 +9,7 @@ predicate changes).
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -115,7 +115,8 @@ class Model:
         gain: float = solvers.GAIN,
         seed: int = 0,
     ):
-        """``texts`` has distinct texts: text_id, text and, by problem, ``label`` or ``t``.
+        """``texts`` has distinct texts: text_id, text and, by problem, ``label`` or ``t``. It is
+        read once.
 
         ``binary=False`` is for scorers with values other than 0 and 1: patterns are then
         grouped as arrays and stay in Spark. ``gain`` is what a step of a direction search must
@@ -153,15 +154,13 @@ class Model:
     # --- tables -------------------------------------------------------------------------
 
     def prepare(self) -> None:
-        rows = self.with_target(self.texts).select("text_id", "text", "y")
-        if self.vectors is not None:
-            embedded = self.vectors.embed(rows, self.embedder)
-        else:
-            embedded = self.embedder.embed(rows)
+        # The one copy of the texts that a fit writes; deduplication and embedding run into it.
+        rows = self.texts
+        embedded = self.vectors.embed(rows, self.embedder) if self.vectors is not None else self.embedder.embed(rows)
         if not isinstance(self.embedder, HashedBowEmbedder):
             unit = F.transform(l2_normalize("embedding"), lambda x: F.coalesce(x, F.lit(0.0)).cast("float"))
             embedded = embedded.withColumn("embedding", unit)
-        self.base = materialise(embedded.select("text_id", "text", "y", "embedding"), "base")
+        self.base = self.with_target(materialise(embedded, "base"))
         self.n = count_rows(self.base)
         if self.n == 0:
             raise ValueError("there are no texts to explain")
@@ -198,9 +197,13 @@ class Model:
         products = F.zip_with("embedding", weights, lambda x, w: x * w)
         return F.aggregate(products, F.lit(0.0), lambda acc, x: acc + x)
 
-    def propose(self, direction: np.ndarray) -> None:
-        scored = self.base.select("text_id", "text", self.direction_score(direction).alias("target"))
-        self.add(self.proposer.propose(scored, "target", self.goal).descriptions)
+    def proposals(self, directions: Sequence[np.ndarray]) -> Iterator[list[str]]:
+        """Proposals for each direction, in order; a built-in proposer scans the texts once for all."""
+        names = [f"target{i}" for i in range(len(directions))]
+        targets = [self.direction_score(d).alias(name) for d, name in zip(directions, names)]
+        scored = self.base.select("text_id", "text", *targets)
+        for proposal in self.proposer.propose_many(scored, names, self.goal):
+            yield proposal.descriptions
 
     def add(self, descriptions: Sequence[str]) -> None:
         """Score new predicates on the screened sample (at most ``screen`` texts)."""
@@ -234,8 +237,8 @@ class Model:
         self.prepare()
         blank = compact(self.base.select("y", "embedding", F.array(*[F.lit(0)] * self.k).alias("phi")), self.n)
         (directions,) = solve(Passes(blank), [self.directions_solver(list(range(self.k)), self.seeds)])
-        for direction in directions:
-            self.propose(direction)
+        for descriptions in self.proposals(directions):
+            self.add(descriptions)
         self.set_predicates([self.ranked(d)[0] for d in directions])
         table = self.grouped(self.state, self.k)
         loss = self.losses(table.withColumn("variant", F.lit(0)), self.k)[0]
@@ -245,9 +248,9 @@ class Model:
             asked = [self.directions_solver([k], None) for k in order]
             found = dict(zip(order, solve(Passes(self.state.select("y", "embedding", "phi")), asked)))
             best = None
-            for k in order:
+            for k, descriptions in zip(order, self.proposals([found[k][0] for k in order])):
                 direction = found[k][0]
-                self.propose(direction)
+                self.add(descriptions)
                 candidates = self.ranked(direction)[: self.explore]
                 results = self.candidate_results(k, candidates)
                 j = min(results, key=lambda i: (results[i], i))
