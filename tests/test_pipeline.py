@@ -13,8 +13,10 @@ from traitscope import (
     BatchScorer,
     ClassificationModel,
     ClusteringModel,
+    ColumnEmbedder,
     EmbeddingCache,
     HashedBowEmbedder,
+    OneHotEmbedder,
     PromptProposer,
     PromptScorer,
     Reference,
@@ -25,6 +27,7 @@ from traitscope import (
     explain_clusters,
     explain_labels,
     explain_trend,
+    run_experiments,
 )
 from traitscope.operators import agreement, proposers
 from traitscope.operators.denote import denote, inference_count
@@ -273,3 +276,34 @@ def test_distinct_texts_once(spark):
 
 def test_own_models_are_reexported():
     assert issubclass(ClassificationModel, object) and TimeSeriesModel and TokenProposer and HashedBowEmbedder
+
+
+def test_experiment_grid_runs_once(spark, tmp_path):
+    texts = planted(40)
+    problem = {
+        "texts": texts, "K": 4, "smoothing_prob": 1.0, "goal": None,
+        "reference_phi_predicate_strings": list(LETTERS),
+        "reference_phi_denotation": [[int(t[0] == c) for c in LETTERS] for t in texts],
+    }
+    file = tmp_path / "planted.json"
+    file.write_text(json.dumps(problem))
+    files = {("cluster", "planted"): str(file), ("cluster", "dummy"): str(file)}
+    out = str(tmp_path / "out")
+    done = run_experiments(spark, files, out, seeds=1, rounds=1)
+    assert len(done) == 1 and done[0].f1_similarity_score == 1.0
+    assert run_experiments(spark, files, out, seeds=1, rounds=1) == []
+    table = results.summarize_performance(results.load_results(spark, f"{out}/runs")).collect()
+    assert {(r["dataset"], r["normal"], r["no_refine"]) for r in table} == {("planted", 1.0, 1.0), ("avg", 1.0, 1.0)}
+    assert spark.read.parquet(f"{out}/matches").filter("value = 1").count() == 40
+
+
+def test_one_hot_ablation(spark):
+    out = ClusteringModel(text_frame(spark, planted(24)), 2, embedder=OneHotEmbedder(), rounds=1).fit()
+    assert len(out.predicates) == 2
+
+
+def test_embedding_column(spark):
+    df = text_frame(spark, planted(24))
+    table = df.select("text_id", F.array(F.length("text").cast("float"), F.lit(1.0).cast("float")).alias("embedding"))
+    out = ClusteringModel(df, 2, embedder=ColumnEmbedder(table), rounds=1).fit()
+    assert len(out.predicates) == 2

@@ -1,6 +1,6 @@
 """Explain large text corpora with a few readable yes/no predicates, on Spark."""
 
-from .operators.embedders import BatchEmbedder, ColumnEmbedder, Embedder, HashedBowEmbedder
+from .operators.embedders import BatchEmbedder, ColumnEmbedder, Embedder, HashedBowEmbedder, OneHotEmbedder
 from .operators.proposers import PromptProposer, Proposer, TokenProposer
 from .operators.scorers import (
     BatchScorer,
@@ -12,6 +12,7 @@ from .operators.scorers import (
     SimilarityJudge,
     TokenScorer,
 )
+from .plans.experiments import run_experiments
 from .plans.explain import explain_clusters, explain_labels, explain_trend
 from .plans.models import ClassificationModel, ClusteringModel, Explanation, Model, Reference, TimeSeriesModel
 from .session import get_spark, materialise
@@ -30,6 +31,7 @@ __all__ = [
     "FirstMatchCommitter",
     "HashedBowEmbedder",
     "Model",
+    "OneHotEmbedder",
     "PromptCommitter",
     "PromptProposer",
     "PromptScorer",
@@ -46,4 +48,5 @@ __all__ = [
     "explain_trend",
     "get_spark",
     "materialise",
+    "run_experiments",
 ]

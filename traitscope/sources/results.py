@@ -30,6 +30,12 @@ def write_result(matches: DataFrame, path: str, run_id: str) -> None:
     matches.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id").parquet(path)
 
 
+def write_explanation(explanation, texts: DataFrame, path: str, run_id: str) -> None:
+    """Write a fit under ``path``: the matches (predicate, text, value) and the trajectory."""
+    write_result(explanation.matches(texts), f"{path}/matches", run_id)
+    write_result(explanation.trajectory_table(), f"{path}/trajectory", run_id)
+
+
 def record_run(
     spark: SparkSession,
     path: str,
