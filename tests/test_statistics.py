@@ -282,3 +282,11 @@ def test_refined_centres_are_local_optima():
     assert loss(u) <= loss(start)
     around = [loss(u + 0.02 * RNG.normal(size=u.shape)) for _ in range(30)]
     assert loss(u) <= min(around) + 1e-3
+
+
+def test_missing_text_has_no_tokens(spark):
+    df = spark.createDataFrame([(0, None), (1, "a")], "text_id bigint, text string")
+    got = {r["text_id"]: np.array(r["embedding"]) for r in HashedBowEmbedder().embed(df).collect()}
+    assert not got[0].any() and got[1].any()
+    bits = {r["text_id"]: list(r["phi"]) for r in distinct_denotation(df, ["a"]).collect()}
+    assert bits == {0: [0], 1: [1]}

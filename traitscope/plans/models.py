@@ -266,6 +266,8 @@ class Model:
             loss = self.losses(table.withColumn("variant", F.lit(0)), self.k)[0]
             trajectory.append(Step(f"iteration_{round_}", self.evaluate(loss)))
         last = trajectory[-1].evaluation
+        if self.commits and last.after is None:
+            last.after = self.committed()
         return Explanation(
             last.predicates,
             last.after if self.commits else last.before,
@@ -300,14 +302,17 @@ class Model:
     # --- evaluation ---------------------------------------------------------------------
 
     def evaluate(self, loss: float) -> Evaluation:
-        """The current predicates before and after commitment, against the reference if any."""
+        """The current predicates against the reference if there is one.
+
+        Commitment looks at every text again, so steps that nothing compares to a reference
+        leave it to the end of the fit.
+        """
         before = self.state.select("text_id", "phi")
         result = Evaluation(list(self.predicates), loss, before)
         metrics = result.metrics
         final = before
-        if self.commits:
-            committed = self.committer.commit(self.base.select("text_id", "text"), self.predicates)
-            final = result.after = materialise(committed.select("text_id", "phi"), "committed")
+        if self.commits and self.reference is not None:
+            final = result.after = self.committed()
         if self.reference is not None:
             gold = self.reference.denotation
             f1s = agreement.pairwise_f1(agreement.paired_patterns(agreement.paired(gold, before)))
@@ -325,6 +330,11 @@ class Model:
         metrics["inferences"] = self.inferences
         return result
 
+    def committed(self) -> DataFrame:
+        """(text_id, phi) with each text forced to its best predicate."""
+        chosen = self.committer.commit(self.base.select("text_id", "text"), self.predicates)
+        return materialise(chosen.select("text_id", "phi"), "committed")
+
     # --- pattern tables -----------------------------------------------------------------
 
     def sources(self, table: DataFrame, k: int) -> dict[int, Held | Passes]:
