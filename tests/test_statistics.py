@@ -290,3 +290,23 @@ def test_missing_text_has_no_tokens(spark):
     assert not got[0].any() and got[1].any()
     bits = {r["text_id"]: list(r["phi"]) for r in distinct_denotation(df, ["a"]).collect()}
     assert bits == {0: [0], 1: [1]}
+
+
+def test_hot_copies_change_nothing(spark):
+    """A third of the rows are one text, another third share one label and time."""
+    from traitscope.operators.texts import dedup_last_label, dedup_texts, scatter_back, text_key
+
+    texts = ["hot text"] * 300 + [f"t{i} hot" for i in range(300)] + [f"u{i % 50}" for i in range(300)]
+    rows = [(i, t, 0 if i < 600 else i % 7) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "text_id bigint, text string, label int").repartition(8)
+    assert dedup_texts(df).count() == len(set(texts))
+    den = distinct_denotation(df, ["hot", "text"])
+    counts = {tuple(r["phi"]): r["cnt"] for r in patterns.pattern_counts(den, 2).collect()}
+    assert counts == {(1, 1): 1, (1, 0): 300, (0, 0): 50}
+    firsts = {t: i for i, t in reversed(list(enumerate(texts)))}
+    lasts = {t: row[2] for t, row in zip(texts, rows)}
+    got = {r["text"]: (r["text_id"], r["label"]) for r in dedup_last_label(df, "text_id", "label").collect()}
+    assert got == {t: (firsts[t], lasts[t]) for t in set(texts)}
+    keyed = dedup_texts(df).select(text_key("text").alias("text_key"), F.col("text_id").alias("first"))
+    back = scatter_back(df, keyed).select("text_id", "first").collect()
+    assert {r["text_id"]: r["first"] for r in back} == {i: firsts[t] for i, t in enumerate(texts)}
