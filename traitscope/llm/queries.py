@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from traitscope.llm.common import read
 from traitscope.llm.exact_dedup import exact_dedup
+from traitscope.llm.packing import pack
 from traitscope.llm.quality_rules import quality_rules
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,6 +19,17 @@ def query(fn):
     return fn
 
 
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query
+def op2_best_fit_packing(spark, folder):
+    return pack(read(spark, folder, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
 @query
 def op5_quality_rules(spark, folder):
     return quality_rules(read(spark, folder, "documents"))
