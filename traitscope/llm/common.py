@@ -4,9 +4,7 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,17 +64,24 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], spread: Colu
     return a.join(b, on, how).drop("_salt", "_r_salt", *[f"_r_{k}" for k in keys])
 
 
-def batches(fn):
-    """An Arrow-batch function from ``fn(columns: dict of lists) -> RecordBatch or None``."""
+def rows_of(docs: DataFrame, stays: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, named by a written table (doc_id, text_sha256, same_rows).
 
-    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in source:
-            if batch.num_rows:
-                out = fn(batch)
-                if out is not None and out.num_rows:
-                    yield out
+    Where ``same_rows`` rows agree in doc_id and text, the first by its other columns stands for them.
+    """
+    names = docs.columns
+    keyed = docs.select(
+        F.col("doc_id").cast("long").alias("_id"),
+        F.sha2(whole().cast("binary"), 256).alias("_sha"),
+        F.struct(*names).alias("_row"),
+    )
+
+    def rows(which: str) -> DataFrame:
+        keys = stays.where(which).select(F.col("doc_id").alias("_k"), F.col("text_sha256").alias("_s"))
+        return keyed.join(keys, F.col("_id").eqNullSafe(F.col("_k")) & (F.col("_sha") == F.col("_s")), "left_semi")
 
-    return run
+    several = rows("same_rows > 1").groupBy("_id", "_sha").agg(F.min("_row").alias("_row"))
+    return rows("same_rows = 1").select("_row").unionByName(several.select("_row")).select("_row.*").select(*names)
 
 
 def components(edges: DataFrame, label: str, salts: int = 8) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from traitscope.llm.common import barrier, salted_join, whole
+from traitscope.llm.common import barrier, rows_of, salted_join, whole
 from traitscope.session import materialise
 
 #: Two primes below 2^31 and their bases; products of two residues fit 64 bits.
@@ -185,17 +185,5 @@ def drop_copies(docs: DataFrame) -> DataFrame:
 
     Of rows that agree in doc_id and text the first by its other columns stays.
     """
-    names = docs.columns
     stays = materialise(exact_dedup(docs).where("kept").select("doc_id", "text_sha256", "same_rows"), "exact-kept")
-    keyed = docs.select(
-        F.col("doc_id").cast("long").alias("_id"),
-        F.sha2(whole().cast("binary"), 256).alias("_sha"),
-        F.struct(*names).alias("_row"),
-    )
-
-    def rows(which: str) -> DataFrame:
-        keys = stays.where(which).select(F.col("doc_id").alias("_k"), F.col("text_sha256").alias("_s"))
-        return keyed.join(keys, F.col("_id").eqNullSafe(F.col("_k")) & (F.col("_sha") == F.col("_s")), "left_semi")
-
-    several = rows("same_rows > 1").groupBy("_id", "_sha").agg(F.min("_row").alias("_row"))
-    return rows("same_rows = 1").select("_row").unionByName(several.select("_row")).select("_row.*").select(*names)
+    return rows_of(docs, stays)

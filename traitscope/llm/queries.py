@@ -10,6 +10,7 @@ from traitscope.llm.common import read
 from traitscope.llm.exact_dedup import exact_dedup
 from traitscope.llm.packing import pack
 from traitscope.llm.quality_rules import quality_rules
+from traitscope.llm.simhash import simhash_components
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -38,3 +39,8 @@ def op5_quality_rules(spark, folder):
 @query
 def op8_exact_dedup(spark, folder):
     return exact_dedup(read(spark, folder, "documents"))
+
+
+@query
+def op9_simhash(spark, folder):
+    return simhash_components(read(spark, folder, "documents"))
