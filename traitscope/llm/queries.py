@@ -11,6 +11,7 @@ from traitscope.llm.exact_dedup import exact_dedup
 from traitscope.llm.packing import pack
 from traitscope.llm.quality_rules import quality_rules
 from traitscope.llm.simhash import simhash_components
+from traitscope.llm.substring_dedup import repeated_passages
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -31,6 +32,11 @@ def op2_best_fit_packing(spark, folder):
     return pack(read(spark, folder, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+@query
+def op4_substring_dedup(spark, folder):
+    return repeated_passages(read(spark, folder, "documents"))
+
+
 @query
 def op5_quality_rules(spark, folder):
     return quality_rules(read(spark, folder, "documents"))
