@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from traitscope.llm.common import read
 from traitscope.llm.exact_dedup import exact_dedup
+from traitscope.llm.licenses import scan_licenses
 from traitscope.llm.packing import pack
 from traitscope.llm.quality_rules import quality_rules
 from traitscope.llm.simhash import simhash_components
 from traitscope.llm.substring_dedup import repeated_passages
+from traitscope.llm.warc import archive_pages
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -32,6 +34,11 @@ def op2_best_fit_packing(spark, folder):
     return pack(read(spark, folder, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+@query
+def op3_warc(spark, folder):
+    return archive_pages(read(spark, folder, "pages"))
+
+
 @query
 def op4_substring_dedup(spark, folder):
     return repeated_passages(read(spark, folder, "documents"))
@@ -42,6 +49,11 @@ def op5_quality_rules(spark, folder):
     return quality_rules(read(spark, folder, "documents"))
 
 
+@query
+def op6_license_scan(spark, folder):
+    return scan_licenses(read(spark, folder, "documents"))
+
+
 @query
 def op8_exact_dedup(spark, folder):
     return exact_dedup(read(spark, folder, "documents"))
