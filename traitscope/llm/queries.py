@@ -11,8 +11,10 @@ from traitscope.llm.exact_dedup import exact_dedup
 from traitscope.llm.licenses import scan_licenses
 from traitscope.llm.packing import pack
 from traitscope.llm.quality_rules import quality_rules
+from traitscope.llm.sentencepiece_codec import sentencepiece_code
 from traitscope.llm.simhash import simhash_components
 from traitscope.llm.substring_dedup import repeated_passages
+from traitscope.llm.toxicity import toxicity
 from traitscope.llm.warc import archive_pages
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,6 +56,11 @@ def op6_license_scan(spark, folder):
     return scan_licenses(read(spark, folder, "documents"))
 
 
+@query
+def op7_sentencepiece(spark, folder):
+    return sentencepiece_code(read(spark, folder, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
 @query
 def op8_exact_dedup(spark, folder):
     return exact_dedup(read(spark, folder, "documents"))
@@ -62,3 +69,8 @@ def op8_exact_dedup(spark, folder):
 @query
 def op9_simhash(spark, folder):
     return simhash_components(read(spark, folder, "documents"))
+
+
+@query
+def op10_toxicity(spark, folder):
+    return toxicity(read(spark, folder, "documents"), read(spark, folder, "labels"))
