@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from traitscope.llm.common import read
 from traitscope.llm.exact_dedup import exact_dedup
 from traitscope.llm.licenses import scan_licenses
+from traitscope.llm.lm_scoring import score_texts
 from traitscope.llm.packing import pack
 from traitscope.llm.quality_rules import quality_rules
 from traitscope.llm.sentencepiece_codec import sentencepiece_code
@@ -31,6 +32,11 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query
+def op1_lm_scoring(spark, folder):
+    return score_texts(read(spark, folder, "documents"))
+
+
 @query
 def op2_best_fit_packing(spark, folder):
     return pack(read(spark, folder, "documents"), vocabulary("byte_bpe_50k.json"))
