@@ -1,7 +1,95 @@
-"""DuckDB SQL of the queries that SQL can express."""
+"""DuckDB SQL of the queries that SQL can express.
+
+The others have no SQL form (hash functions, tokenizers, learned models, packing, components); they
+are tested against brute force.
+"""
 
 from __future__ import annotations
 
+from traitscope.llm.quality_rules import ENOUGH, REACH, RULES, SHORTEST
+
+WORDS = r"[^\x20\x09-\x0D]+"
+
+WARC = """
+WITH p AS (
+  SELECT row_number() OVER () AS rid, page_id, url, coalesce(html, '') AS html FROM pages
+), d AS (
+  SELECT rid, page_id, url, strlen(html) AS payload_bytes, sha256(html) AS payload_digest FROM p
+), f AS (
+  SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first_id,
+    count(*) OVER (PARTITION BY payload_digest) AS n FROM d
+)
+SELECT page_id, url, payload_bytes, payload_digest,
+  CASE WHEN first_id IS NOT NULL AND page_id IS DISTINCT FROM first_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to
+FROM f
+"""
+
+EXACT = """
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents
+), g AS (
+  SELECT *, max(doc_id) OVER (PARTITION BY text_sha256) AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size,
+    count(*) OVER (PARTITION BY text_sha256, doc_id) AS same_rows,
+    row_number() OVER (PARTITION BY text_sha256, doc_id ORDER BY rid) AS copy FROM d
+)
+SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AND copy = 1 AS kept, text_sha256, same_rows FROM g
+"""
+
+
+def quality() -> str:
+    """Measures of whole texts, exact quartiles per group, thresholds and verdicts."""
+    def at(q: float, m: str, total: str) -> str:
+        return f"list_sort(list({m}))[greatest(CAST(ceil({q} * {total}) AS BIGINT), 1)]"
+
+    quartiles = {
+        name: ", ".join(f"{at(q, m, 'count(*)')} AS {m}_{k}" for m in RULES for q, k in ((0.25, "q1"), (0.75, "q3")))
+        for name in ("own", "lang", "total")
+    }
+    limits = []
+    for m, (floor, spread) in RULES.items():
+        q1, q3 = (f"CASE WHEN o.n >= {ENOUGH} THEN o.{m}_{k} WHEN l.n >= {ENOUGH} THEN l.{m}_{k} ELSE a.{m}_{k} END" for k in ("q1", "q3"))
+        width = f"{REACH} * greatest(({q3}) - ({q1}), {spread})"
+        limits.append(f"greatest(({q3}) + {width}, {floor}) AS {m}_high")
+        if m == "word_length":
+            limits.append(f"least(({q1}) - {width}, {SHORTEST}) AS {m}_low")
+    ok = " AND ".join(f"r.{m} <= coalesce({m}_high, {floor})" for m, (floor, _) in RULES.items())
+    ok += f" AND r.word_length >= coalesce(word_length_low, {SHORTEST})"
+    return rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS t FROM documents
+), w AS (
+  SELECT *, regexp_extract_all(t, '{WORDS}') AS ws,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{WORDS}')) AS ls FROM d
+), grams AS (
+  SELECT rid, i, count(*) OVER (PARTITION BY rid, ws[i:i + 4]) AS c
+  FROM (SELECT rid, ws, unnest(range(1, len(ws) - 3)) AS i FROM w WHERE len(ws) >= 5)
+), again AS (
+  SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest(range(i, i + 5)) AS p FROM grams WHERE c > 1) GROUP BY rid
+), m AS (
+  SELECT rid, doc_id, lang, source, len(ws) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+    length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines,
+    coalesce(again.n, 0) AS n_repeat_words, len(ls) AS n_lines,
+    len(list_filter(range(2, len(ws) + 1), lambda i: ws[i] = ws[i - 1])) AS n_echoes,
+    length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS n_capitals
+  FROM w LEFT JOIN again USING (rid)
+), r AS (
+  SELECT *, 1000 * n_symbols // greatest(word_chars, 1) AS symbols, 1000 * n_dup_lines // greatest(n_lines, 1) AS dup_lines,
+    1000 * n_repeat_words // greatest(n_words, 1) AS repeats, 1000 * n_echoes // greatest(n_words, 1) AS echoes,
+    1000 * n_capitals // greatest(word_chars, 1) AS capitals, 100 * word_chars // greatest(n_words, 1) AS word_length,
+    n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed
+  FROM m
+), o AS (SELECT lang, source, count(*) AS n, {quartiles["own"]} FROM r WHERE NOT base_failed GROUP BY lang, source
+), l AS (SELECT lang, count(*) AS n, {quartiles["lang"]} FROM r WHERE NOT base_failed GROUP BY lang
+), a AS (SELECT count(*) AS n, {quartiles["total"]} FROM r WHERE NOT base_failed
+), x AS (
+  SELECT o.lang, o.source, {", ".join(limits)} FROM o JOIN l ON o.lang IS NOT DISTINCT FROM l.lang CROSS JOIN a
+)
+SELECT r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed,
+  NOT r.base_failed AND {ok} AS kept, {", ".join(f"r.{m}" for m in RULES)}
+FROM r LEFT JOIN x ON r.lang IS NOT DISTINCT FROM x.lang AND r.source IS NOT DISTINCT FROM x.source
+"""
+
 
 def oracle() -> dict[str, str]:
-    return {}
+    return {"op3_warc": WARC, "op5_quality_rules": quality(), "op8_exact_dedup": EXACT}

@@ -14,7 +14,7 @@ holds it whole; a block yields at most one link per lane, not all pairs.
 Defined cases: a null or empty text has no word and the fingerprint zero, linked like any other;
 with 1 or 2 words the whole sequence is one shingle. Null doc_ids count as larger than all others (a
 component of nulls alone has a null id). Repeated rows are returned one by one. An empty table
-gives an empty result; other columns are ignored (``drop_near_copies`` returns them all).
+gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from traitscope.llm.common import LOWER_BYTES, components, rows_of, salted_join, whole
+from traitscope.llm.common import LOWER_BYTES, components, salted_join, whole
 from traitscope.session import materialise
 
 RADIUS, SHINGLE, BLOCK = 2, 3, 4096
@@ -196,27 +196,3 @@ def simhash_components(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     marks = materialise(marks, "simhash-marks")
     out = salted_join(marks, component_of(marks, block), ["fp"], F.col("doc_id"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def drop_near_copies(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """The rows of ``docs``, all columns, with the smallest doc_id of their component.
-
-    Where several texts of a component bear that id, or rows agree in doc_id and text, one row stays.
-    """
-    marks = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        _fingerprints(whole()).alias("fp"),
-        F.sha2(whole().cast("binary"), 256).alias("text_sha256"),
-    )
-    marks = materialise(marks.groupBy("doc_id", "fp", "text_sha256").agg(F.count("*").alias("same_rows")), "simhash-marks")
-    named = fps_named(marks, block)
-    first = named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_sha256", "same_rows")).alias("x"))
-    return rows_of(docs, materialise(first.select("x.doc_id", "x.text_sha256", "x.same_rows"), "simhash-kept"))
-
-
-def fps_named(marks: DataFrame, block: int) -> DataFrame:
-    """Marks with the root of their component; a component of null ids has one too."""
-    fps = materialise(marks.select("fp").distinct(), "simhash-distinct")
-    roots = components(links(fps, block), "simhash-links").select(F.col("node").alias("fp"), "root")
-    out = salted_join(marks, materialise(roots, "simhash-roots"), ["fp"], F.col("doc_id"), how="left")
-    return out.withColumn("component", F.coalesce("root", "fp"))

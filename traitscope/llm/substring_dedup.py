@@ -148,7 +148,8 @@ def paragraphs(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     }
 
 
-def _texts(batch: pa.RecordBatch, at: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def text_rows(batch: pa.RecordBatch, at: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """First row, bytes and offsets of bounded runs of a batch's texts (column ``at``)."""
     column = batch.column(at).cast(pa.string())
     for a, b in slices(pc.binary_length(column).to_pylist()):
         part = column.slice(a, b - a)
@@ -160,7 +161,7 @@ def _texts(batch: pa.RecordBatch, at: int) -> Iterator[tuple[int, np.ndarray, np
 def _band_keys(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(text) -> (band, key, paragraph)."""
     for batch in source:
-        for _, data, offsets in _texts(batch, 0):
+        for _, data, offsets in text_rows(batch, 0):
             p = paragraphs(data, offsets)
             n = len(p["hash"])
             yield pa.RecordBatch.from_arrays(
@@ -200,7 +201,7 @@ def _met_again(shared, bits: int):
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = shared.value
         for batch in source:
-            for a, data, offsets in _texts(batch, 2):
+            for a, data, offsets in text_rows(batch, 2):
                 p = paragraphs(data, offsets)
                 hit, keys = [], []
                 for k in p["keys"]:
