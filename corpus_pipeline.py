@@ -1,14 +1,21 @@
 """The corpus pipeline: quality rules, exact copies, near copies, repeated passages, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a table that is written as Parquet and read
-again as the docs of the next one. All stages but the last return the columns of documents.
+again as the docs of the next one. All stages but the last return the columns of documents, in
+their order; extra columns go along. Nulls, empty texts, repeated rows and empty tables are treated
+as each operator's module says: a null or empty text fails the quality rules.
 """
 
 from __future__ import annotations
 
+import public_tokenizers
+
 from traitscope.llm.common import read
 from traitscope.llm.exact_dedup import drop_copies
+from traitscope.llm.near_copies import drop_near_copies
+from traitscope.llm.packing import pack
 from traitscope.llm.quality_rules import keep_documents
+from traitscope.llm.substring_dedup import remove_passages
 from traitscope.session import materialise, ship_package
 
 
@@ -19,14 +26,38 @@ def quality(spark, docs, sf_dir):
 
 
 def exact(spark, docs, sf_dir):
-    """One document of every set of equal texts."""
+    """Of equal texts the one with the largest doc_id."""
     ship_package(spark)
     return drop_copies(docs)
 
 
-STAGES = [("quality rules", quality), ("exact dedup", exact)]
+def near(spark, docs, sf_dir):
+    """Of texts linked by close fingerprints or similar shingles the one with the smallest doc_id."""
+    ship_package(spark)
+    return drop_near_copies(docs)
+
+
+def passages(spark, docs, sf_dir):
+    """Texts without the passages that an earlier document has; texts left empty go."""
+    ship_package(spark)
+    return remove_passages(docs)
+
+
+def packing(spark, docs, sf_dir):
+    """Pieces of the texts' token ids, packed into sequences of 1024."""
+    ship_package(spark)
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("exact dedup", exact),
+    ("SimHash near-dedup", near),
+    ("substring dedup", passages),
+    ("best-fit packing", packing),
+]
 
-#: No stage but the second has a plain SQL form; the run is tested against brute force.
+#: SQL has neither the fingerprints nor the packing; tests/llm holds run() against brute force.
 ORACLE_SQL = None
 
 
