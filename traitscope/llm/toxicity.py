@@ -4,7 +4,7 @@ A bounded sample of labelled rows (``sample``, by a hash of the id, only rows ou
 fold) is dealt into three parts. From the first come lexicon entries: words and word beginnings that
 stand in toxic texts far more often than in others. The trees are fitted on the second part, the
 calibration on the third. Features of all texts are computed in one pass without a shuffle: lexicon
-densities and weights, closeness of lexicon words to the second person, capitals, punctuation,
+densities and weights, common insults, closeness of lexicon words to the second person, capitals, punctuation,
 repeated letters and obfuscated words. Language, source, id and labels are no features.
 
 Defined cases: null and empty texts have features of zero and are scored like any other; null
@@ -41,8 +41,14 @@ SHOUTED = re.compile(r"\b[^\W\d_a-z]{3,}\b")
 SECOND = set(
     "you your yours yourself u ur du dich dir dein deine deiner deinem deinen tu te toi ton ta tes vous votre vos usted ustedes tú ti tuyo vosotros os".split()
 )
+#: Common insults, a lexicon to begin with where labelled rows are few.
+INSULTS = set(
+    "idiot idiots moron morons stupid dumb fool pathetic worthless loser losers scum trash garbage disgusting clown jerk "
+    "bastard creep filthy vermin dummkopf blödmann arschloch abschaum drecksack trottel versager imbécile idiote crétin "
+    "connard ordure salaud abruti estúpido estúpida imbécil basura asqueroso escoria payaso inútil".split()
+)
 FEATURES = [
-    "words", "word_hits", "word_rate", "word_weight", "start_hits", "start_rate", "start_weight", "strongest", "second",
+    "words", "insults", "insult_rate", "word_hits", "word_rate", "word_weight", "start_hits", "start_rate", "start_weight", "strongest", "second",
     "closest", "close_hits", "capitals", "shouted", "exclamations", "punctuation", "stretched", "mixed", "hidden_hits",
 ]
 
@@ -87,8 +93,9 @@ def features(text: str, words_known: dict[str, float], starts_known: dict[str, f
     words = LETTERS.findall(text.lower())
     n = len(words) or 1
     chars = len(text) or 1
-    hits = [i for i, w in enumerate(words) if w in words_known]
-    weight = [words_known[words[i]] for i in hits]
+    hits = [i for i, w in enumerate(words) if w in words_known or w in INSULTS]
+    weight = [words_known.get(words[i], 0.0) for i in hits]
+    insults = sum(words[i] in INSULTS for i in hits)
     starts = []
     for size in BEGINNINGS:
         starts += [starts_known[s] for s in [w[:size] for w in words] if s in starts_known]
@@ -98,13 +105,16 @@ def features(text: str, words_known: dict[str, float], starts_known: dict[str, f
         j = bisect_left(seconds, i)
         gaps.append(min(abs(i - seconds[k]) for k in (j - 1, j) if 0 <= k < len(seconds)))
     mixed = MIXED.findall(text)
-    hidden = sum(re.sub(r"[^\w]|_", "", m.lower().translate(LEET)) in words_known for m in mixed)
+    plain = [re.sub(r"[^\w]|_", "", m.lower().translate(LEET)) for m in mixed]
+    hidden = sum(w in words_known or w in INSULTS for w in plain)
     data = text.encode()
     capitals = len(data) - len(data.translate(None, b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
     marks = len(data) - len(data.translate(None, b"!\"#$%&'()*+,-./:;<=>?@[]^_`{|}~"))
     loud = len(data) - len(data.translate(None, b"!?"))
     return [
         log(1 + len(words)),
+        log(1 + insults),
+        insults / n,
         log(1 + len(hits)),
         len(hits) / n,
         sum(weight) / sqrt(n),
