@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from traitscope.llm.common import whole
-from traitscope.llm.tokens import LONGEST, ROOM, slices
+from traitscope.llm.tokens import LONGEST, ROOM, alone, encode_units, opening_ids, slices
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -152,6 +152,7 @@ class Codec:
             and not any(kind == USER for *_, kind in self.model.pieces)
         )
         self.tokenizer = build(self.model, prefix=False if self.by_unit else None)
+        self.opens = opening_ids(self.tokenizer, MARK)
         self.units: dict[str, bytes] = {}
         self.bytes_of = [self._piece(p, kind) for p, _, kind in self.model.pieces]
 
@@ -161,19 +162,16 @@ class Codec:
             return bytes([int(piece[1:-1], 16)])
         return {CONTROL: b"", UNKNOWN: " ⁇ ".encode()}.get(kind, piece.replace(MARK, " ").encode())
 
-    def _run(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, as bytes."""
         if not self.by_unit:
-            return [x if t else b"" for t, x in zip(texts, self._run(texts))]
+            return [x if t else b"" for t, x in zip(texts, alone(self.tokenizer, texts))]
         if len(self.units) > ROOM:
             self.units.clear()
         cut = [(CUT.split(t) if GLUED.search(t) else t.split(" ")) if t else [] for t in texts]
         missing = [u for u in set().union(*cut) if u not in self.units]
         known = self.units
-        known.update(zip(missing, self._run([" " + u for u in missing])))
+        known.update(zip(missing, encode_units(self.tokenizer, self.opens, missing, " " + MARK)))
         out = [b"".join(map(known.__getitem__, units)) for units in cut]
         for u in missing:
             if len(u) > LONGEST:

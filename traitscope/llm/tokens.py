@@ -15,7 +15,43 @@ import numpy as np
 CUT = re.compile(r"(?<=\S) ")
 GLUED = re.compile(r"\s ")
 #: Units kept by a worker, and the longest unit that is kept.
-ROOM, LONGEST = 250_000, 48
+ROOM, LONGEST = 500_000, 48
+
+
+def alone(tokenizer, texts: list[str]) -> list[bytes]:
+    encoded = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+    return [np.array(e.ids, "<u4").tobytes() for e in encoded]
+
+
+def opening_ids(tokenizer, mark: str) -> np.ndarray:
+    """Whether an id's token begins with the sign that stands for a blank."""
+    vocabulary = tokenizer.get_vocab()
+    out = np.zeros(max(vocabulary.values()) + 1, bool)
+    out[[i for token, i in vocabulary.items() if token.startswith(mark)]] = True
+    return out
+
+
+def encode_units(tokenizer, opens: np.ndarray, units: list[str], blanks: str, together: int = 400) -> list[bytes]:
+    """Ids of a blank and a unit, for many units at once.
+
+    Units go through the tokenizer in long texts, which are cut again before every token that begins
+    with a blank. A unit with a blank of its own, without any character or with white space at its
+    end could grow together with its neighbour and is encoded alone.
+    """
+    plain = [bool(u) and not u[-1].isspace() and not any(c in u for c in blanks) for u in units]
+    joined = [u for u, ok in zip(units, plain) if ok]
+    texts = [" " + " ".join(joined[i : i + together]) for i in range(0, len(joined), together)]
+    found: list[bytes] = []
+    for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False):
+        ids = np.array(e.ids, "<u4")
+        cuts = [*np.flatnonzero(opens[ids]).tolist(), len(ids)]
+        data = ids.tobytes()
+        found += [data[4 * a : 4 * b] for a, b in zip(cuts[:-1], cuts[1:])]
+    if len(found) != len(joined):
+        raise ValueError("the tokenizer joins units across blanks")
+    rest = iter(alone(tokenizer, [" " + u for u, ok in zip(units, plain) if not ok]))
+    cut = iter(found)
+    return [next(cut) if ok else next(rest) for ok in plain]
 
 
 class UnitEncoder:
@@ -26,11 +62,15 @@ class UnitEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.opens = opening_ids(self.tokenizer, "Ġ")
         self.units: dict[str, bytes] = {}
 
     def _encode(self, units: list[str]) -> list[bytes]:
-        encoded = self.tokenizer.encode_batch_fast(units, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in encoded]
+        """Ids of units, each a blank and what follows it up to the next one."""
+        return encode_units(self.tokenizer, self.opens, units, " ")
+
+    def _alone(self, texts: list[str]) -> list[bytes]:
+        return alone(self.tokenizer, texts)
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Encode a bounded batch of texts."""
@@ -42,8 +82,8 @@ class UnitEncoder:
             cut.append(units)
             missing.update(units[1:])
         missing = [u for u in missing if u not in self.units]
-        found = dict(zip(missing, self._encode([" " + u for u in missing])))
-        first = self._encode([units[0] if units else "" for units in cut])
+        found = dict(zip(missing, self._encode(missing)))
+        first = self._alone([units[0] if units else "" for units in cut])
         known = self.units
         known.update(found)
         out = [b"".join([head, *map(known.__getitem__, units[1:])]) for head, units in zip(first, cut)]
