@@ -14,8 +14,8 @@ share a paragraph, wherever the passage stands.
    a block yields at most one link per paragraph. Equal paragraphs need no comparison.
 4. Components of the links are clusters. The paragraphs of a cluster's first document (smallest
    doc_id, then text hash) stay, those of its other documents are removed.
-   Paragraphs of a document on the same diagonal of the same first document are merged with the
-   words between them.
+   Paragraphs of a document that touch are merged, and with the words between them those on one
+   diagonal of one first document.
 
 Defined cases: null and short texts (under ``PARAGRAPH`` words) have no paragraph; null doc_ids
 count as larger than all others and are told apart by their texts; rows that agree in doc_id and
@@ -30,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -257,28 +257,53 @@ def similar(sets: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
 
 
 def _verify(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted rows (bkey, bi, bj, paragraph, shingles) -> links between the similar ones of a group."""
-    open_key, held = None, {}
-
-    def links() -> pa.RecordBatch:
-        names = sorted(held)
-        width = max(len(held[k]) for k in names) // 4
-        sets = np.stack([np.frombuffer(held[k], np.uint32) for k in names]) if width else np.zeros((len(names), 0))
-        root = similar(sets)
-        at = np.flatnonzero(root != np.arange(len(names)))
-        return pa.RecordBatch.from_arrays(
-            [pa.array([names[i] for i in at], pa.int64()), pa.array([names[root[i]] for i in at], pa.int64())], schema=EDGE
-        )
+    """Sorted rows (bkey, bi, bj, paragraph, shingles) -> links between the similar ones of a group.
 
+    Groups of a few paragraphs are compared all at once, larger ones in turn.
+    """
+    width = PARAGRAPH - SHINGLE + 1
+    keys, names, sets = np.empty((0, 3), np.int64), np.empty(0, np.int64), np.empty((0, width), np.uint32)
     for batch in source:
-        for *key, name, shingles in zip(*(c.to_pylist() for c in batch.columns)):
-            if key != open_key:
-                if len(held) > 1:
-                    yield links()
-                open_key, held = key, {}
-            held[name] = shingles
-    if len(held) > 1:
-        yield links()
+        if not batch.num_rows:
+            continue
+        part = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(3)], 1)
+        data = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint32).reshape(-1, width)
+        keys, names, sets = np.concatenate([keys, part]), np.concatenate([names, batch.column(3).to_numpy()]), np.concatenate([sets, data])
+        heads = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(1)])
+        end = int(heads[-1])  # the last group may go on in the next batch
+        if end:
+            yield _links(heads, names[:end], sets[:end])
+            keys, names, sets = keys[end:], names[end:], sets[end:]
+    if len(keys):
+        yield _links(np.array([0, len(keys)]), names, sets)
+
+
+def _links(heads: np.ndarray, names: np.ndarray, sets: np.ndarray, few: int = 5) -> pa.RecordBatch:
+    """Links of similar paragraphs in groups that begin at ``heads``, the last of which is the end."""
+    sizes = np.diff(heads)
+    group = np.repeat(np.arange(len(sizes)), sizes)
+    found = []
+    small = sizes <= few
+    for apart in range(1, few):
+        i = np.flatnonzero((group[:-apart] == group[apart:]) & small[group[apart:]])
+        for at in range(0, len(i), 1 << 15):
+            x = i[at : at + (1 << 15)]
+            ok = jaccard(sets[x], sets[x + apart]) >= SIMILARITY - 1e-9
+            found.append((names[x[ok]], names[x[ok] + apart]))
+    for g in np.flatnonzero(~small).tolist():
+        own = slice(heads[g], heads[g + 1])
+        root = similar(sets[own])
+        at = np.flatnonzero(root != np.arange(len(root)))
+        found.append((names[own][at], names[own][root[at]]))
+    sides = [np.concatenate([f[k] for f in found]) if found else np.empty(0, np.int64) for k in (0, 1)]
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in sides], schema=EDGE)
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Similarity of the sets in the rows of two tables of sorted hashes; repeats in a row count once."""
+    fresh = [np.concatenate([np.ones((len(x), 1), bool), x[:, 1:] != x[:, :-1]], 1) for x in (a, b)]
+    common = ((a[:, :, None] == b[:, None, :]).any(2) & fresh[0]).sum(1)
+    return common / (fresh[0].sum(1) + fresh[1].sum(1) - common)
 
 
 def text_key(text: Column) -> Column:
@@ -329,23 +354,20 @@ def repeated_passages(docs: DataFrame, block: int = BLOCK, filter_bits: int = FI
 
 
 def _merged(marked: DataFrame) -> DataFrame:
-    """Join the paragraphs of a document that continue each other on one diagonal."""
-    from pyspark.sql import Window
-
-    line = F.xxhash64("removed", "head.doc_id", "head.text_key", F.col("word") - F.col("head.word"))
-    by = Window.partitionBy("doc_id", "text_key").orderBy("word", "cluster_id")
-    step = marked.withColumn("line", line).withColumn("gap", F.col("word") - F.lag("word").over(by))
-    goes_on = (F.col("line") == F.lag("line").over(by)) & (F.col("gap") <= PASSAGE)
-    step = step.withColumn("new", F.when(goes_on, 0).otherwise(1))
+    """Join the paragraphs of a document that touch, or continue each other on one diagonal."""
+    line = F.xxhash64("head.doc_id", "head.text_key", F.col("word") - F.col("head.word"))
+    by = Window.partitionBy("doc_id", "text_key", "removed").orderBy("word", "cluster_id")
+    apart = F.col("word") - F.lag("word").over(by)
+    goes_on = (apart <= PARAGRAPH) | ((F.col("line") == F.lag("line").over(by)) & (apart <= PASSAGE))
+    step = marked.withColumn("line", line).withColumn("new", F.when(goes_on, 0).otherwise(1))
     step = step.withColumn("run", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    out = step.groupBy("doc_id", "text_key", "run").agg(
+    out = step.groupBy("doc_id", "text_key", "removed", "run").agg(
         F.min("word").alias("first_word"),
         (F.max("word") + PARAGRAPH - F.min("word")).alias("n_words"),
         F.min("start").alias("start"),
         F.max("end").alias("end"),
         F.min("cluster_id").alias("cluster_id"),
         F.min("head.doc_id").alias("keep_doc_id"),
-        F.max("removed").alias("removed"),
     )
     return out.select("doc_id", "text_key", "first_word", "n_words", "start", "end", "keep_doc_id", "cluster_id", "removed")
 
