@@ -101,6 +101,47 @@ def curve_sql(seed_n: int) -> str:
 SELECT event_id, t, {r('c0')} AS c0, {r('c1')} AS c1 FROM c"""
 
 
+def bow_sql(slots: int = 500, dims: int = 50) -> str:
+    """CTEs up to x(doc_id, e0.., norm): CRC-32 slots of the tokens times a fixed Gaussian matrix."""
+    columns = ", ".join(f"{gauss('slot', q(str(d)))} AS g{d}" for d in range(dims))
+    sums = ", ".join(f"sum(c * g{d}) AS e{d}" for d in range(dims))
+    norm = " + ".join(f"e{d} * e{d}" for d in range(dims))
+    return f"""bit(i, n, c) AS (SELECT i, 0, i FROM range(256) AS z(i) UNION ALL SELECT i, n + 1, CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END FROM bit WHERE n < 8),
+crc AS (SELECT list(c ORDER BY i) AS tab FROM bit WHERE n = 8),
+s AS (SELECT doc_id, unnest({toks('text')}) AS tok FROM documents),
+w AS (SELECT tok, hex(encode(tok)) AS x FROM (SELECT DISTINCT tok FROM s)),
+y AS (SELECT tok, list_transform(range(length(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT) AS bytes FROM w),
+k AS (SELECT tok, xor(list_reduce(bytes, lambda c, v: xor(tab[(xor(c, v) & 255) + 1], c >> 8), 4294967295::BIGINT), 4294967295) % {slots} AS slot FROM y, crc),
+h AS (SELECT doc_id, slot, count(*) AS c FROM s JOIN k USING (tok) GROUP BY ALL),
+g AS (SELECT slot, {columns} FROM range({slots}) AS t(slot)),
+u AS (SELECT doc_id, {sums} FROM h JOIN g USING (slot) GROUP BY doc_id),
+x AS (SELECT *, sqrt({norm}) AS norm FROM u)"""
+
+
+def bow_columns(dims: int = 50) -> str:
+    return ", ".join(f"{r(f'CAST(e{d} / norm AS FLOAT)::DOUBLE', 4)} AS e{d}" for d in range(dims))
+
+
+def recursive_curve_sql(seed_n: int, rate: float) -> str:
+    """The recursion of the smoothing, row by row."""
+    return f"""WITH RECURSIVE {PLACED}, c(t, c0, c1) AS (
+SELECT 0::BIGINT, avg(x0) FILTER (t < {seed_n}), avg(x1) FILTER (t < {seed_n}) FROM e
+UNION ALL SELECT c.t + 1, {1 - rate} * c0 + {rate} * x0, {1 - rate} * c1 + {rate} * x1 FROM c JOIN e ON e.t = c.t + 1)
+SELECT event_id, t, {r('c0')} AS c0, {r('c1')} AS c1 FROM c JOIN e USING (t)"""
+
+
+def class_fitness_sql() -> str:
+    """Bits that exclude each other: one logistic unknown per language, by Newton's method.
+
+    d = w1 - w0 minimises n_l * cross-entropy(p_l, sigmoid(d)) / n + d^2 / (4 C n).
+    """
+    return """WITH RECURSIVE g AS (SELECT lang, CAST(count(*) AS DOUBLE) AS nl, avg(quality) AS p, CAST(sum(count(*)) OVER () AS DOUBLE) AS n
+FROM documents JOIN labels USING (doc_id) GROUP BY lang),
+d(lang, nl, p, n, step, d) AS (SELECT lang, nl, p, n, 0, 0.0::DOUBLE FROM g
+UNION ALL SELECT lang, nl, p, n, step + 1, d - greatest(-1.0, least(1.0, (nl * (1 / (1 + exp(-d)) - p) + d / 2e5) / (nl / (1 + exp(-d)) / (1 + exp(d)) + 1 / 2e5))) FROM d WHERE step < 60)
+SELECT CAST(max(n) AS BIGINT) AS n, round(-sum(nl / n * (p * ln(1 / (1 + exp(-d))) + (1 - p) * ln(1 / (1 + exp(d))))), 6) + 0.0 AS loss FROM d WHERE step = 60"""
+
+
 def hash_rank(seed: int, key: str) -> str:
     return f"md5('{seed}:' || {key})"
 
@@ -194,7 +235,7 @@ SELECT position, count(*) AS n, CAST(sum(length(line) % 2) AS BIGINT) AS labels,
         "load_labelled": "SELECT doc_id AS text_id, quality AS label, md5(text) AS text_md5 FROM documents JOIN labels USING (doc_id)",
         "write_result": f"""WITH {distinct_bits(PREDICATES)}, l AS (SELECT unnest([0, 1, 2, 3]) AS predicate_id, unnest([{bits4}]) AS v FROM b)
 SELECT 'first' AS run_id, predicate_id, count(*) AS n, CAST(sum(v) AS BIGINT) AS matches FROM l GROUP BY predicate_id""",
-        "embedding_cache": "SELECT doc_id AS text_id, 50 AS dims, (SELECT count(DISTINCT text) FROM documents) AS stored FROM documents",
+        "embedding_cache": f"WITH RECURSIVE {bow_sql()} SELECT doc_id AS text_id, {bow_columns()}, (SELECT count(DISTINCT text) FROM documents) AS stored FROM x",
         "verdict_cache": f"WITH {all_bits(PREDICATES)} SELECT text_id, {bits4} FROM b",
         "seed_verdicts": f"""WITH {all_bits(['the', 'und'])}
 SELECT text_id, CASE WHEN text IN (SELECT text FROM documents WHERE lang = 'de') THEN 1 ELSE p0 END AS p0, p1 FROM b JOIN documents ON doc_id = text_id""",
@@ -229,22 +270,13 @@ WHERE description <> '' AND NOT starts_with(lower(description), 'here are') AND
 AND NOT contains(lower(text), 'unfortunately') AND NOT contains(lower(text), 'enough information') AND NOT contains(lower(text), 'i apologize')""",
         "truncate_tokens": f"SELECT doc_id AS text_id, md5({TRUNCATED}) AS text_md5 FROM documents",
         "strip_double_newlines": "SELECT doc_id AS text_id, md5(replace(text, chr(10), chr(10) || chr(10))) AS text_md5 FROM documents",
-        "parse_similarity": """WITH l AS (SELECT doc_id, CASE WHEN doc_id % 9 <> 0 THEN lower(string_split(text, chr(10))[1]) END AS s FROM documents)
+        "parse_similarity": """WITH l AS (SELECT doc_id, CASE WHEN doc_id % 9 <> 0 THEN lower(text) END AS s FROM documents)
 SELECT doc_id AS text_id, CASE WHEN s IS NULL THEN 0 WHEN contains(s, 'yes') THEN 1 WHEN contains(s, 'no') THEN 0 ELSE 0.5 END::DOUBLE AS value FROM l""",
         "is_null_description": """SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN true ELSE len(string_split(trim(p_name), ' ')) <= 1 END AS is_null FROM part""",
         "l2_normalize": f"""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 n AS (SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS n FROM v)
-SELECT vec_id AS text_id, CASE WHEN vec_id % 5 = 0 THEN NULL ELSE {r('e[1] / n', 6)} END AS first, CASE WHEN vec_id % 5 = 0 THEN NULL ELSE {r('e[64] / n', 6)} END AS last FROM n""",
-        "hashed_bow_embed": f"""WITH RECURSIVE bit(i, n, c) AS (SELECT i, 0, i FROM range(256) AS z(i) UNION ALL SELECT i, n + 1, CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END FROM bit WHERE n < 8),
-crc AS (SELECT list(c ORDER BY i) AS tab FROM bit WHERE n = 8),
-s AS (SELECT doc_id, unnest({toks('text')}) AS tok FROM documents),
-w AS (SELECT tok, hex(encode(tok)) AS x FROM (SELECT DISTINCT tok FROM s)),
-y AS (SELECT tok, list_transform(range(length(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT) AS bytes FROM w),
-k AS (SELECT tok, xor(list_reduce(bytes, lambda c, v: xor(tab[(xor(c, v) & 255) + 1], c >> 8), 4294967295::BIGINT), 4294967295) % 100 AS slot FROM y, crc),
-h AS (SELECT doc_id, slot, count(*) AS c FROM s JOIN k USING (tok) GROUP BY ALL),
-g AS (SELECT slot, {', '.join(f"{gauss('slot', q(str(d)))} AS g{d}" for d in range(4))} FROM range(100) AS t(slot)),
-x AS (SELECT doc_id, {', '.join(f'sum(c * g{d}) AS e{d}' for d in range(4))} FROM h JOIN g USING (slot) GROUP BY doc_id)
-SELECT doc_id AS text_id, {', '.join(f"{r(f'CAST(e{d} / sqrt(e0 * e0 + e1 * e1 + e2 * e2 + e3 * e3) AS FLOAT)::DOUBLE', 4)} AS e{d}" for d in range(4))} FROM x""",
+SELECT vec_id AS text_id, CAST(generate_subscripts(e, 1) - 1 AS INT) AS dim, unnest(list_transform(e, lambda x: CASE WHEN vec_id % 5 = 0 THEN NULL ELSE {r('x / n', 6)} END)) AS value FROM n""",
+        "hashed_bow_embed": f"WITH RECURSIVE {bow_sql()} SELECT doc_id AS text_id, {bow_columns()} FROM x",
         "random_project": f"""WITH g AS (SELECT d, {', '.join(f"{gauss('d', q(str(j)))} AS g{j}" for j in range(3))} FROM range(64) AS t(d)),
 m AS (SELECT d, {', '.join(f'g{j} / sqrt(sum(g{j} * g{j}) OVER ()) AS g{j}' for j in range(3))} FROM g),
 v AS (SELECT vec_id, unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscripts(embedding, 1) - 1 AS d FROM embeddings)
@@ -259,8 +291,9 @@ SELECT place AS code, p_brand AS predicate, CAST(NULL AS VARCHAR) AS parent FROM
 UNION ALL SELECT place || '.' || CASE WHEN i >= 26 THEN chr(CAST(64 + i // 26 AS INT)) ELSE '' END || chr(CAST(65 + i % 26 AS INT)), p_type, p_brand FROM s JOIN b USING (p_brand)""",
         "log_softmax": f"""WITH v AS (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x / 0.1) AS e FROM embeddings),
 z AS (SELECT vec_id, e, ln(list_sum(list_transform(e, lambda x: exp(x)))) AS z FROM v)
-SELECT vec_id AS text_id, {r('list_max(e) - z', 6)} AS top, {r('e[1] - z', 6)} AS first FROM z""",
-        "floor_prob": f"""SELECT vec_id AS text_id, {r('-ln(least(1.0, greatest(exp(CAST(embedding[1] AS DOUBLE)) / count(*) OVER (), 1.0 / count(*) OVER ())))')} AS nll FROM embeddings""",
+SELECT vec_id AS text_id, CAST(generate_subscripts(e, 1) - 1 AS INT) AS dim, unnest(list_transform(e, lambda x: {r('x - z', 6)})) AS value FROM z""",
+        "floor_prob": f"""WITH n AS (SELECT count(*) AS n FROM embeddings), v AS (SELECT vec_id, unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings)
+SELECT vec_id AS text_id, CAST(dim AS INT) AS dim, {r('-ln(least(1.0, greatest(exp(x) / n, 1.0 / n)))')} AS nll FROM v, n""",
         "denote_distinct": f"WITH {distinct_bits(PREDICATES)} SELECT text_id, {bits4} FROM b",
         "denote_long": f"WITH {distinct_bits(PREDICATES)} SELECT text_id, unnest([0, 1, 2, 3]) AS predicate_id, unnest([{bits4}]) AS value FROM b",
         "scatter_back": "SELECT doc_id AS text_id, min(doc_id) OVER (PARTITION BY text) AS first_id FROM documents",
@@ -269,7 +302,7 @@ SELECT md5(text) AS text_md5, predicate FROM p WHERE NOT (de AND predicate IN ('
         "new_predicates": f"""WITH w AS (SELECT DISTINCT lang, unnest({toks('text')}) AS predicate FROM documents)
 SELECT DISTINCT predicate FROM w WHERE lang <> 'en' AND predicate NOT IN (SELECT predicate FROM w WHERE lang = 'en')""",
         "token_matches": f"""WITH w AS (SELECT DISTINCT doc_id, unnest({toks('text')}) AS predicate_id FROM documents)
-SELECT predicate_id, count(*) AS matches FROM w WHERE length(predicate_id) = 3 GROUP BY predicate_id""",
+SELECT predicate_id, count(*) AS matches FROM w GROUP BY predicate_id""",
         "duplicate_predicates": f"WITH {distinct_bits(['the', 'und', 'the', 'zzzz', 'qqqq'])} SELECT * FROM ("
         + " UNION ALL ".join(
             f"SELECT {i} AS predicate_id, ({' OR '.join(f'(SELECT bool_and(p{i} = p{j}) FROM b)' for j in range(5) if j != i)}) AS has_twin"
@@ -332,7 +365,7 @@ SELECT k, dim, {r('avg(x)', 6)} AS value FROM v GROUP BY k, dim""",
         "project_scores": f"""WITH v AS (SELECT vec_id, label, unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscripts(embedding, 1) AS d FROM embeddings),
 m AS (SELECT label AS k, d, avg(x) AS c FROM v GROUP BY ALL)
 SELECT vec_id AS text_id, k, {r('sum(x * c)', 6)} AS score FROM v JOIN m USING (d) GROUP BY vec_id, k""",
-        "assign_argmax": """WITH v AS (SELECT vec_id, unnest(CAST(embedding[1:8] AS DOUBLE[])) / 0.1 AS x, unnest(range(8)) AS k FROM embeddings),
+        "assign_argmax": """WITH v AS (SELECT vec_id, unnest(CAST(embedding AS DOUBLE[])) / 0.1 AS x, unnest(range(64)) AS k FROM embeddings),
 s AS (SELECT vec_id, k, exp(x) / sum(exp(x)) OVER (PARTITION BY k) AS p FROM v)
 SELECT vec_id AS text_id, CAST(k AS INT) AS cluster FROM s QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY p DESC, k) = 1""",
         "kmeanspp_seed": kmeanspp_sql(3, 5),
@@ -340,10 +373,14 @@ SELECT vec_id AS text_id, CAST(k AS INT) AS cluster FROM s QUALIFY row_number()
         "time_percentile": f"SELECT event_id, {r('percent_rank() OVER (ORDER BY ts, event_id)')} AS percentile FROM events",
         "ema_curve": curve_sql(50),
         "ema_curve_100": curve_sql(100),
-        "permutation_band": f"""WITH {PLACED}, c AS (SELECT t AS t0, {ema('e', 'x0', 'c0', 100)} FROM e),
-s AS (SELECT rep, c0, row_number() OVER (PARTITION BY rep ORDER BY md5('0:' || rep || ':' || t0)) - 1 AS t FROM c, range(100) AS z(rep)),
-k AS (SELECT {ema('s', 'c0', 'v', 100, 'rep')} FROM s)
-SELECT 0 AS curve_id, {r('least(1.0, min(v))', 7)} AS lower, {r('greatest(0.0, max(v))', 7)} AS upper FROM k""",
+        "ema_curve_fast": recursive_curve_sql(50, 0.8),
+        "ema_curve_at_once": recursive_curve_sql(50, 1.0),
+        "class_fitness": class_fitness_sql(),
+        "permutation_band": f"""WITH {PLACED}, c AS (SELECT t AS t0, {ema('e', 'x0', 'c0', 100)}, {ema('e', 'x1', 'c1', 100)} FROM e),
+s AS (SELECT rep, c0, c1, row_number() OVER (PARTITION BY rep ORDER BY md5('0:' || rep || ':' || t0)) - 1 AS t FROM c, range(100) AS z(rep)),
+k AS (SELECT {ema('s', 'c0', 'v0', 100, 'rep')}, {ema('s', 'c1', 'v1', 100, 'rep')} FROM s)
+SELECT 0 AS curve_id, {r('least(1.0, min(v0))', 7)} AS lower, {r('greatest(0.0, max(v0))', 7)} AS upper FROM k
+UNION ALL SELECT 1, {r('least(1.0, min(v1))', 7)}, {r('greatest(0.0, max(v1))', 7)} FROM k""",
         "weight_jumps": f"""WITH w AS (SELECT vec_id AS t, unnest(CAST(embedding AS DOUBLE[])) AS w, generate_subscripts(embedding, 1) AS k FROM embeddings),
 j AS (SELECT w - lag(w) OVER (PARTITION BY k ORDER BY t) AS d FROM w) SELECT {r('avg(d * d)')} AS mean_squared_jump FROM j""",
         "prefix_sums": """WITH l AS (SELECT length(text) AS len, count(*) AS c FROM documents JOIN labels USING (doc_id) GROUP BY 1)

@@ -146,7 +146,8 @@ def embedding_cache(spark, folder):
     cache.embed(d.filter(F.col("lang").isin("de", "fr")).drop("lang"), model)
     out = cache.embed(d.drop("lang"), model)
     stored = cache.read(model.name).agg(F.count("*").alias("stored")).scalar()
-    return out.select("text_id", F.size("embedding").alias("dims"), stored.alias("stored"))
+    values = [F.round(F.get("embedding", F.lit(i)).cast("double"), 4).alias(f"e{i}") for i in range(50)]
+    return out.select("text_id", *values, stored.alias("stored"))
 
 
 @query
@@ -312,8 +313,8 @@ def strip_double_newlines(spark, folder):
 @query
 def parse_similarity(spark, folder):
     d = docs(spark, folder)
-    line = F.when(F.col("text_id") % 9 != 0, F.substring_index("text", "\n", 1))
-    return d.select("text_id", text.parse_similarity(line).alias("value"))
+    answer = F.when(F.col("text_id") % 9 != 0, F.col("text"))
+    return d.select("text_id", text.parse_similarity(answer).alias("value"))
 
 
 @query
@@ -328,13 +329,13 @@ def l2_normalize(spark, folder):
     v = vecs(spark, folder)
     scaled = v.select("text_id", F.transform("embedding", lambda x: x * (F.col("text_id") % 5)).alias("embedding"))
     unit = scaled.select("text_id", vectors.l2_normalize("embedding").alias("u"))
-    return unit.select("text_id", F.round(F.get("u", F.lit(0)), 6).alias("first"), F.round(F.get("u", F.lit(63)), 6).alias("last"))
+    return unit.select("text_id", F.posexplode("u").alias("dim", "value")).withColumn("value", F.round("value", 6))
 
 
 @query
 def hashed_bow_embed(spark, folder):
-    e = embedders.HashedBowEmbedder(slots=100, dims=4).embed(docs(spark, folder))
-    return e.select("text_id", *[F.round(F.get("embedding", F.lit(i)).cast("double"), 4).alias(f"e{i}") for i in range(4)])
+    e = embedders.HashedBowEmbedder().embed(docs(spark, folder))
+    return e.select("text_id", *[F.round(F.get("embedding", F.lit(i)).cast("double"), 4).alias(f"e{i}") for i in range(50)])
 
 
 @query
@@ -373,16 +374,17 @@ def expand_taxonomy(spark, folder):
 
 @query
 def log_softmax(spark, folder):
-    v = vecs(spark, folder).select("text_id", vectors.log_softmax("embedding", 0.1).alias("l"))
-    return v.select("text_id", F.round(F.array_max("l"), 6).alias("top"), F.round(F.get("l", F.lit(0)), 6).alias("first"))
+    v = vecs(spark, folder).select("text_id", F.posexplode(vectors.log_softmax("embedding", 0.1)).alias("dim", "value"))
+    return v.withColumn("value", F.round("value", 6))
 
 
 @query
 def floor_prob(spark, folder):
     v = vecs(spark, folder)
     n = v.agg(F.count("*").alias("n")).scalar()
-    p = F.exp(F.get("embedding", F.lit(0)).cast("double")) / n
-    return v.select("text_id", r9(-F.ln(vectors.floor_prob(p, 1.0, n))).alias("nll"))
+    entries = v.select("text_id", F.posexplode("embedding").alias("dim", "x"))
+    p = F.exp(F.col("x").cast("double")) / n
+    return entries.select("text_id", "dim", r9(-F.ln(vectors.floor_prob(p, 1.0, n))).alias("nll"))
 
 
 # --- joins ----------------------------------------------------------------------------
@@ -425,10 +427,10 @@ def new_predicates(spark, folder):
 
 @query
 def token_matches(spark, folder):
-    """All languages' most frequent words as a predicate table, matched by an equi-join."""
+    """All words as a predicate table, matched by an equi-join."""
     d = docs(spark, folder)
     words = d.select(F.explode(text.tokens("text")).alias("predicate")).groupBy("predicate").agg(F.count("*").alias("n"))
-    named = words.filter(F.length("predicate") == 3).select(F.col("predicate").alias("predicate_id"), "predicate")
+    named = words.select(F.col("predicate").alias("predicate_id"), "predicate")
     return denote.token_matches(d, named).groupBy("predicate_id").agg(F.count("*").alias("matches"))
 
 
@@ -643,8 +645,8 @@ def project_scores(spark, folder):
 
 @query
 def assign_argmax(spark, folder):
-    v = vecs(spark, folder).select("text_id", F.slice("embedding", 1, 8).alias("phi"))
-    return geometry.assign_argmax(v, 8, 0.1).select("text_id", "cluster")
+    v = vecs(spark, folder).select("text_id", F.col("embedding").alias("phi"))
+    return geometry.assign_argmax(v, 64, 0.1).select("text_id", "cluster")
 
 
 @query
@@ -668,8 +670,8 @@ def time_percentile(spark, folder):
     return p.select("event_id", r9("percentile").alias("percentile"))
 
 
-def curve(spark, folder, seed_n):
-    c = ordered.ema_curve(events(spark, folder), ["ts", "event_id"], "x", 0.005, seed_n)
+def curve(spark, folder, seed_n, rate=0.005):
+    c = ordered.ema_curve(events(spark, folder), ["ts", "event_id"], "x", rate, seed_n)
     return c.select("event_id", "t", *[r9(F.get("curve", F.lit(i))).alias(f"c{i}") for i in range(2)])
 
 
@@ -683,11 +685,23 @@ def ema_curve_100(spark, folder):
     return curve(spark, folder, 100)
 
 
+@query
+def ema_curve_fast(spark, folder):
+    """A rate at which few past values count."""
+    return curve(spark, folder, 50, 0.8)
+
+
+@query
+def ema_curve_at_once(spark, folder):
+    """A rate of one: the series itself after the seed."""
+    return curve(spark, folder, 50, 1.0)
+
+
 @query
 def permutation_band(spark, folder):
-    """Band of 100 shuffles of the smoothed share of errors."""
+    """Bands of 100 shuffles of the smoothed shares of errors and views."""
     c = ordered.ema_curve(events(spark, folder), ["ts", "event_id"], "x", 0.005, 100)
-    band = ordered.permutation_band(c.select("t", F.slice("curve", 1, 1).alias("curve")))
+    band = ordered.permutation_band(c.select("t", "curve"))
     return band.select("curve_id", F.round("lower", 7).alias("lower"), F.round("upper", 7).alias("upper"))
 
 
@@ -716,7 +730,7 @@ def dedup_texts(spark, folder):
 def dedup_keep_first(spark, folder):
     """Distinct texts by first appearance, renumbered."""
     d = docs(spark, folder).withColumnRenamed("text_id", "time")
-    return series_texts(d, "time").select(F.col("text_id").alias("first_at"), "t", F.md5("text").alias("text_md5"))
+    return series_texts(d, "time").select("first_at", "t", F.md5("text").alias("text_md5"))
 
 
 @query
@@ -833,12 +847,13 @@ def prompt_proposer(spark, folder):
 
 @query
 def class_fitness(spark, folder):
-    """Log-loss of the label given the four bits."""
-    counts = patterns.pattern_counts(labelled_den(spark, folder), 4, "label")
+    """Log-loss of the label given the language, in bits that exclude each other."""
+    gold = lang_reference(spark, folder)
+    counts = patterns.pattern_counts(labelled(spark, folder).select("text_id", "label").join(gold, "text_id"), 4, "label")
     source = Passes(materialise(counts.select("phi", F.col("label").alias("y"), F.col("cnt").alias("weight")), "counts"))
     n = float(counts.agg(F.sum("cnt")).first()[0])
     ((_, loss),) = solve(source, [solvers.label_weights(4, 2, n)])
-    return spark.createDataFrame([(int(n), loss)], "n bigint, loss double")
+    return spark.createDataFrame([(int(n), round(loss, 6))], "n bigint, loss double")
 
 
 def document_series(spark, folder, buckets: int) -> tuple[DataFrame, int]:
@@ -922,7 +937,7 @@ def found(spark, explanation) -> DataFrame:
 
 @query
 def fit_clusters(spark, folder):
-    return found(spark, explain_clusters(docs(spark, folder), 3, rounds=2))
+    return found(spark, explain_clusters(docs(spark, folder), 3))
 
 
 @query
@@ -930,7 +945,7 @@ def evaluate(spark, folder):
     """Search result against the languages of the texts as the reference."""
     d = materialise(texts.dedup_texts(docs(spark, folder)), "texts")
     gold = Reference(lang_reference(spark, folder), LANGS)
-    result = ClusteringModel(d, 4, reference=gold, rounds=1).fit()
+    result = ClusteringModel(d, 4, reference=gold).fit()
     return result.trajectory_table().select("step", "tag", "loss", F.explode("metrics").alias("metric", "value"))
 
 

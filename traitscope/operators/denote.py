@@ -41,7 +41,9 @@ def denote(
     if scorer.native:
         return texts.select("text_id", phi_column(shown, predicates, scorer).alias("phi"))
     rows = texts.select("text_id", shown.alias("text")).withColumn("text_key", text_key("text"))
-    distinct = rows.groupBy("text_key").agg(F.min_by("text", "text_id").alias("text"))
+    # One row per text by its smallest id: a fixed-width aggregate, no text in a buffer.
+    distinct = rows.join(rows.groupBy("text_key").agg(F.min("text_id").alias("text_id")).select("text_id"), "text_id", "left_semi")
+    distinct = distinct.select("text_key", "text")
     found = score_distinct(distinct, predicates, scorer, cache)
     wide = found.groupBy("text_key").agg(
         F.array(

@@ -112,19 +112,26 @@ def time_percentile(df: DataFrame, order: Sequence[str]) -> DataFrame:
 def smoothing_step(rate: float) -> Callable[[dict[str, np.ndarray]], dict[str, np.ndarray]]:
     """Exponential smoothing of a block from state 0, restarted where ``_rep`` changes.
 
-    Chunks of 512 rows use the closed form of the recursion as one cumulative sum.
+    Chunks use the closed form of the recursion as one cumulative sum. They are at most 512
+    rows long, and so short that the weights inside a chunk stay above 1e-8; at a rate of 1
+    the curve is the series.
     """
+    if not 0 <= rate <= 1:
+        raise ValueError("the rate of smoothing is between 0 and 1")
     state = {"rep": None, "carry": None, "run": 0}
     keep = 1.0 - rate
-    decay = keep ** np.arange(1, 513)
-    gain = rate / decay
+    size = 512 if keep == 1 else 1 if keep < 1e-8 else int(np.clip(np.log(1e-8) / np.log(keep), 1, 512))
+    decay = keep ** np.arange(1, size + 1)
+    gain = rate / decay if keep else np.zeros(size)
 
     def one(x: np.ndarray, carry: np.ndarray) -> np.ndarray:
+        if not keep:
+            return x.copy()
         out = np.empty_like(x)
-        for a in range(0, len(x), 512):
-            part = x[a : a + 512]
+        for a in range(0, len(x), size):
+            part = x[a : a + size]
             d, g = decay[: len(part), None], gain[: len(part), None]
-            out[a : a + 512] = d * (carry + np.cumsum(part * g, axis=0))
+            out[a : a + size] = d * (carry + np.cumsum(part * g, axis=0))
             carry = out[a + len(part) - 1]
         return out
 
@@ -190,13 +197,13 @@ def ema_curve(
     starts = []
     for rep_id, runs in ends.groupby("_rep", sort=True):
         first = np.stack([np.asarray(v, dtype=float) for v in head[head["_rep"] == rep_id]["_x"]])
-        # State before row 0 such that row 0 itself comes out as the seed.
-        state = (first.mean(axis=0) - rate * first[0]) / keep
+        # What row 0 lacks to be the seed fades from row 0 on; a later block begins with the state before it.
+        state, ahead = first.mean(axis=0) - rate * first[0], 0
         for block, last, end, before in runs[["_block", "last", "end", "before"]].itertuples(index=False):
-            starts.append((int(block), int(rep_id), int(before), [float(v) for v in state]))
-            state = np.asarray(end, dtype=float) + keep ** (last + 1) * state
-    begun = spark.createDataFrame(starts, "_block int, _rep int, before bigint, start array<double>")
-    fade = F.pow(F.lit(keep), (F.col("_run") + 1).cast("double"))
+            starts.append((int(block), int(rep_id), int(before), ahead, [float(v) for v in state]))
+            state, ahead = np.asarray(end, dtype=float) + keep ** (last + ahead) * state, 1
+    begun = spark.createDataFrame(starts, "_block int, _rep int, before bigint, ahead int, start array<double>")
+    fade = F.pow(F.lit(keep), (F.col("_run") + F.col("ahead")).cast("double"))
     curve = F.zip_with("local", "start", lambda a, s: a + fade * s)
     out = (
         scanned.join(F.broadcast(begun), ["_block", "_rep"])

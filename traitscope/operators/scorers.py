@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions import prompts
 from ..functions.text import col, first_match, parse_assignment, parse_similarity, parse_yes_no, token_bit
+from ..session import materialise
 
 BATCH = 16
 
@@ -132,7 +133,11 @@ class FirstMatchCommitter(Committer):
 
 
 class PromptCommitter(Committer):
-    """A language model that answers with an index in brackets."""
+    """A language model that answers with an index in brackets.
+
+    Each distinct text is asked about once. With a ``cache`` (an ``EmbeddingCache``) answers are
+    kept by template, predicates and text, so a later call pays for new texts alone.
+    """
 
     def __init__(
         self,
@@ -140,16 +145,46 @@ class PromptCommitter(Committer):
         template: str = prompts.ASSIGN,
         add_null: bool = False,
         batch: int = BATCH,
+        cache=None,
+        name: str = "committer",
     ):
         self.fn, self.template, self.add_null, self.batch = fn, template, add_null, batch
+        self.cache, self.name = cache, name
 
     def commit(self, texts: DataFrame, predicates: list[str]) -> DataFrame:
+        rows = texts.withColumn("_key", F.unhex(F.md5("text")))
+        if self.cache is not None:
+            asked = [self.template, str(self.add_null), *predicates]
+            digest = hashlib.md5("\0".join(asked).encode()).hexdigest()[:16]
+            found = self.cache.embed(texts, _Answers(self, predicates, f"{self.name}-{digest}"))
+            return found.withColumn("phi", F.transform("embedding", lambda x: x.cast("int"))).drop("embedding")
+        first = rows.groupBy("_key").agg(F.min("text_id").alias("text_id")).select("text_id")
+        answers = self.ask(rows.join(first, "text_id", "left_semi").select("_key", "text"), predicates)
+        answers = materialise(answers.select("_key", "phi"), "committed")
+        # A text may be a third of all rows: its answer is dealt over tasks with the rows.
+        salts = 8
+        dealt = answers.select(F.col("_key").alias("_k"), "phi", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_s"))
+        own = F.pmod(F.xxhash64("text_id"), F.lit(salts))
+        return rows.join(dealt, (F.col("_key") == F.col("_k")) & (own == F.col("_s"))).select(*texts.columns, "phi")
+
+    def ask(self, texts: DataFrame, predicates: list[str]) -> DataFrame:
+        """Append ``phi``, one call per row."""
         listed = F.array(*[F.lit(p) for p in predicates])
         asked = texts.withColumn("prompt", prompts.assign_prompt(listed, "text", self.add_null, self.template))
         told = call_batches(asked, self.fn, ["prompt"], T.StructField("response", T.StringType()), self.batch)
         return told.withColumn("phi", parse_assignment("response", len(predicates))).drop("prompt", "response")
 
 
+class _Answers:
+    """The answers of a committer as vectors, for a cache of vectors."""
+
+    def __init__(self, committer: PromptCommitter, predicates: list[str], name: str):
+        self.committer, self.predicates, self.name = committer, predicates, name
+
+    def embed(self, texts: DataFrame) -> DataFrame:
+        return self.committer.ask(texts, self.predicates).withColumnRenamed("phi", "embedding")
+
+
 class SimilarityJudge:
     """Judges whether two descriptions mean the same: yes 1, related 0.5, no 0."""
 

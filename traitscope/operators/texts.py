@@ -1,7 +1,8 @@
 """Corpus tables: distinct texts and the deduplication rules of the three problem types.
 
-All of them group on the text with fixed-width aggregates, so copies of one text are
-merged before the shuffle, however many there are.
+All of them group on the text, and copies of one text are merged before the shuffle, however
+many there are. Smallest ids and times are fixed-width aggregates; ``dedup_last_label`` with
+labels that are strings and ``dedup_by_prefix`` keep a string and are sorted by Spark.
 """
 
 from __future__ import annotations

@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import l2_normalize
 from ..operators import agreement, geometry, patterns
-from ..operators.denote import denote, phi_column
+from ..operators.denote import denote, inference_count, phi_column
 from ..operators.embedders import Embedder, HashedBowEmbedder
-from ..operators.passes import Held, Passes, Rows, compact, count_rows, solve
+from ..operators.passes import Held, Passes, Rows, count_rows, solve
 from ..operators.proposers import Proposer, TokenProposer
 from ..operators.sampling import SCREEN, screen_sample
 from ..operators.scorers import Committer, FirstMatchCommitter, Scorer, SimilarityJudge, TokenScorer
@@ -137,6 +137,7 @@ class Model:
             self.verdicts = VerdictCache(self.spark, f"{shared_folder(self.spark)}/traitscope/verdicts-{uuid.uuid4().hex}")
         self.pool: dict[str, np.ndarray] = {}
         self.inferences = 0
+        self.superseded: list[DataFrame] = []
 
     # --- what a problem defines ---------------------------------------------------------
 
@@ -165,7 +166,8 @@ class Model:
         if self.n == 0:
             raise ValueError("there are no texts to explain")
         sample = screen_sample(self.base, self.screen, self.seed, total=self.n)
-        self.sampled = materialise(sample.coalesce(1), "screen")
+        # A shuffle of at most ``screen`` rows; coalesce would pull the scan of the corpus into one task.
+        self.sampled = materialise(sample.repartition(1), "screen")
         held = self.sampled.select("text_id", "embedding").orderBy("text_id").collect()  # at most ``screen`` rows
         self.sample_vectors = np.array([r["embedding"] for r in held], dtype=float)
         picked = geometry.kmeanspp_seed(self.base, self.k, self.seed).orderBy("step").collect()
@@ -174,8 +176,16 @@ class Model:
     def denotation(self, predicates: Sequence[str]) -> DataFrame:
         return denote(self.base, predicates, self.scorer, self.verdicts, self.max_tokens)
 
+    def count_inferences(self, texts: DataFrame, predicates: Sequence[str], rows: int) -> None:
+        """Add the verdicts that scoring would compute: pairs for a native scorer, misses of the cache else."""
+        if self.scorer.native:
+            self.inferences += rows * len(predicates)
+        else:
+            self.inferences += inference_count(texts, predicates, self.scorer, self.verdicts).first()[0]
+
     def set_predicates(self, predicates: list[str]) -> None:
         self.predicates = list(predicates)
+        self.count_inferences(self.base, predicates, self.n)
         if self.scorer.native:
             wide = self.base.select(
                 "text_id", "y", "embedding", phi_column("text", predicates, self.scorer).alias("phi")
@@ -183,7 +193,9 @@ class Model:
         else:
             den = self.denotation(predicates)
             wide = self.base.select("text_id", "y", "embedding").join(den, "text_id")
-        self.state = materialise(compact(wide, self.n), "state")
+        replaced, self.state = getattr(self, "state", None), materialise(wide, "state")
+        if replaced is not None:
+            self.superseded.append(replaced)
 
     def grouped(self, wide: DataFrame, k: int) -> DataFrame:
         """Pattern counts per target value, written once: everything else reads this small table."""
@@ -210,8 +222,8 @@ class Model:
         new = [d for d in dict.fromkeys(descriptions) if d not in self.pool]
         if not new:
             return
+        self.count_inferences(self.sampled, new, len(self.sample_vectors))
         den = denote(self.sampled, new, self.scorer, self.verdicts, self.max_tokens)
-        self.inferences += len(new) * len(self.sample_vectors)
         held = np.array([r["phi"] for r in den.orderBy("text_id").collect()], dtype=float)
         for i, d in enumerate(new):
             self.pool[d] = held[:, i]
@@ -235,7 +247,7 @@ class Model:
 
     def fit(self) -> Explanation:
         self.prepare()
-        blank = compact(self.base.select("y", "embedding", F.array(*[F.lit(0)] * self.k).alias("phi")), self.n)
+        blank = self.base.select("y", "embedding", F.array(*[F.lit(0)] * self.k).alias("phi"))
         (directions,) = solve(Passes(blank), [self.directions_solver(list(range(self.k)), self.seeds)])
         for descriptions in self.proposals(directions):
             self.add(descriptions)
@@ -266,8 +278,6 @@ class Model:
             loss = self.losses(table.withColumn("variant", F.lit(0)), self.k)[0]
             trajectory.append(Step(f"iteration_{round_}", self.evaluate(loss)))
         last = trajectory[-1].evaluation
-        if self.commits and last.after is None:
-            last.after = self.committed()
         return Explanation(
             last.predicates,
             last.after if self.commits else last.before,
@@ -287,6 +297,7 @@ class Model:
 
     def candidate_results(self, slot: int, candidates: list[str]) -> dict[int, float]:
         """Fitness with each candidate in ``slot``: all candidates in one scan of the texts."""
+        self.count_inferences(self.base, candidates, self.n)
         if self.scorer.native:
             phi = phi_column("text", [*self.predicates, *candidates], self.scorer)
             wide = self.base.select("y", phi.alias("phi"))
@@ -295,23 +306,18 @@ class Model:
             held = self.state.select("text_id", "y", F.col("phi").cast("array<double>").alias("phi"))
             joined = held.join(den, "text_id")
             wide = joined.select("y", F.concat("phi", F.col("extra").cast("array<double>")).alias("phi"))
-        self.inferences += self.n * len(candidates)
         table = self.grouped(wide, self.k + len(candidates))
         return self.losses(patterns.swapped(table, self.k, slot, len(candidates), "y"), self.k)
 
     # --- evaluation ---------------------------------------------------------------------
 
     def evaluate(self, loss: float) -> Evaluation:
-        """The current predicates against the reference if there is one.
-
-        Commitment looks at every text again, so steps that nothing compares to a reference
-        leave it to the end of the fit.
-        """
+        """The current predicates, committed where the model commits, and against the reference if there is one."""
         before = self.state.select("text_id", "phi")
         result = Evaluation(list(self.predicates), loss, before)
         metrics = result.metrics
         final = before
-        if self.commits and self.reference is not None:
+        if self.commits:
             final = result.after = self.committed()
         if self.reference is not None:
             gold = self.reference.denotation

@@ -90,7 +90,10 @@ class EmbeddingCache:
     def embed(self, texts: DataFrame, embedder) -> DataFrame:
         """Append ``embedding`` to ``texts``, computing only the texts not yet in the table."""
         keyed = texts.withColumn("text_key", F.unhex(F.md5("text")))
-        misses = keyed.dropDuplicates(["text_key"]).join(self.read(embedder.name), "text_key", "left_anti")
+        # Only keys and ids meet the cache; texts are fetched for the misses alone.
+        keys = keyed.groupBy("text_key").agg(F.min("text_id").alias("text_id"))
+        missing = keys.join(self.read(embedder.name).select("text_key"), "text_key", "left_anti").select("text_id")
+        misses = keyed.join(missing, "text_id", "left_semi")
         (
             embedder.embed(misses)
             .select("text_key", F.col("embedding").cast("array<float>"), F.lit(embedder.name).alias("model"))
