@@ -17,6 +17,7 @@ from traitscope import (
     EmbeddingCache,
     HashedBowEmbedder,
     OneHotEmbedder,
+    PromptCommitter,
     PromptProposer,
     PromptScorer,
     Reference,
@@ -32,7 +33,9 @@ from traitscope import (
 from traitscope.operators import agreement, proposers
 from traitscope.operators.denote import denote, inference_count
 from traitscope.operators.texts import dedup_by_prefix
-from traitscope.plans.explain import classification_weights
+from traitscope.operators.passes import Passes
+from traitscope.plans.explain import classification_weights, series_texts
+from traitscope.session import materialise
 from traitscope.sources import problems, results
 
 LETTERS = "abcd"
@@ -215,8 +218,9 @@ def test_clustering_with_a_paid_scorer_gives_the_same(spark, tmp_path):
     texts = planted(80)
     log = tmp_path / "calls"
     scorer = BatchScorer(counting(str(log)), "paid")
-    out = ClusteringModel(text_frame(spark, texts), 4, scorer=scorer, rounds=1).fit()
+    out = ClusteringModel(text_frame(spark, texts), 4, scorer=scorer, rounds=2, gain=1e-3).fit()
     assert sorted(out.predicates) == list(LETTERS)
+    assert out.predicates == ClusteringModel(text_frame(spark, texts), 4, rounds=2, gain=1e-3).fit().predicates
     lines = log.read_text().splitlines()
     assert len(lines) == len(set(lines))
 
@@ -253,13 +257,66 @@ def test_trend_recovers_planted_predicates(spark):
     rng = np.random.default_rng(5)
     texts = [f"{'efgh'[rng.integers(4)]} {LETTERS[i // 40]} {rng.random():.12f}" for i in range(160)]
     rows = spark.createDataFrame([(2 * i, t) for i, t in enumerate(texts)] + [(999, texts[0])], "time bigint, text string")
-    out = explain_trend(rows, 3, buckets=160)
+    out = explain_trend(rows, 3, buckets=160, gain=1e-3)
     assert len(set(out.explanation.predicates) & set(LETTERS)) == 3
     curves = out.curves.orderBy("t").collect()
     assert len(curves) == 161 and curves[-1]["time"] == 999
     assert out.features.count() == 161
 
 
+def test_trend_with_tied_times_of_any_type(spark):
+    """Ids are places, not times: texts of one moment stay apart."""
+    import datetime
+
+    texts = [f"{LETTERS[i // 20]} {i % 7} {i}" for i in range(80)]
+    rows = [(datetime.datetime(2024, 1, 1 + i // 10), t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame([*rows, (datetime.datetime(2024, 2, 1), texts[0])], "time timestamp, text string")
+    placed = series_texts(df).orderBy("t").collect()
+    assert [r["t"] for r in placed] == list(range(80)) == [r["text_id"] for r in placed]
+    assert [r["first_at"] for r in placed] == sorted(t for t, _ in rows) and {r["text"] for r in placed} == set(texts)
+    out = explain_trend(df, 2, buckets=8, rounds=1, gain=1e-3)
+    assert out.features.count() == 81 and out.curves.count() == 81
+
+
+def test_committers_ask_once_per_text(spark, tmp_path):
+    log = tmp_path / "asked"
+
+    def answer(prompts):
+        with open(log, "a") as f:
+            f.writelines(f"{len(p)}\n" for p in prompts)
+        return ["[1]"] * len(prompts)
+
+    df = text_frame(spark, ["a", "b", "a", "a", "c"])
+    got = PromptCommitter(answer).commit(df, ["x", "y"])
+    assert sorted(tuple(r["phi"]) for r in got.collect()) == [(0, 1)] * 5
+    assert len(log.read_text().splitlines()) == 3
+    cache = EmbeddingCache(spark, str(tmp_path / "answers"))
+    for _ in range(2):
+        got = PromptCommitter(answer, cache=cache).commit(df, ["x", "y"])
+        assert sorted(tuple(r["phi"]) for r in got.collect()) == [(0, 1)] * 5
+    assert len(log.read_text().splitlines()) == 6
+    PromptCommitter(answer, cache=cache).commit(df, ["x", "z"]).collect()
+    assert len(log.read_text().splitlines()) == 9
+
+
+def test_the_scan_of_a_fit_is_not_one_task(spark):
+    """The screen and the state keep the partitions of the texts."""
+    model = ClusteringModel(text_frame(spark, planted(80)).repartition(3), 2, rounds=0, gain=1e-3)
+    model.fit()
+    assert model.state.rdd.getNumPartitions() == model.base.rdd.getNumPartitions() >= 3
+    plan = model.state._jdf.queryExecution().toString() + model.sampled._jdf.queryExecution().toString()
+    assert "Coalesce" not in plan
+
+
+def test_sums_do_not_depend_on_partitions(spark):
+    table = materialise(spark.range(500).select(F.array(F.col("id").cast("double"), F.lit(1.0)).alias("embedding")).repartition(40), "t")
+    passes = Passes(table)
+    passes.partitions = 300
+    kernel = lambda rows: np.concatenate([rows.x.sum(axis=0), np.full(9000, len(rows.x), float)])
+    got = passes.sums([kernel, kernel])
+    assert all(g[0] == 499 * 250 and g[1] == 500 and (g[2:] == 500).all() and len(g) == 9002 for g in got)
+
+
 def test_random_update_and_empty_pool(spark):
     texts = planted(40)
     out = ClusteringModel(text_frame(spark, texts), 2, random_update=True, rounds=1).fit()

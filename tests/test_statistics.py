@@ -75,11 +75,12 @@ def smooth(x, rate, seed_n):
 
 
 @pytest.mark.parametrize("n,parts", [(3, 2), (40, 1), (3000, 5)])
-def test_ema_matches_the_recursion(spark, n, parts):
+@pytest.mark.parametrize("rate", [0.05, 0.8, 1.0, 0.0])
+def test_ema_matches_the_recursion(spark, n, parts, rate):
     x = RNG.random((n, 2))
     df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "t0 bigint, x array<double>").repartition(parts)
-    got = ordered.ema_curve(df, ["t0"], "x", 0.05, 50).orderBy("t").toPandas()
-    want = np.column_stack([smooth(x[:, j], 0.05, 50) for j in range(2)])
+    got = ordered.ema_curve(df, ["t0"], "x", rate, 50).orderBy("t").toPandas()
+    want = np.column_stack([smooth(x[:, j], rate, 50) for j in range(2)])
     assert list(got["t"]) == list(range(n)) == list(got["t0"])
     np.testing.assert_allclose(np.stack(got["curve"]), want, atol=1e-10)
 
