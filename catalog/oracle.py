@@ -376,6 +376,11 @@ SELECT vec_id AS text_id, CAST(k AS INT) AS cluster FROM s QUALIFY row_number()
         "ema_curve_fast": recursive_curve_sql(50, 0.8),
         "ema_curve_at_once": recursive_curve_sql(50, 1.0),
         "class_fitness": class_fitness_sql(),
+        "own_model": f"WITH {distinct_bits(PREDICATES)} "
+        + " UNION ALL ".join(
+            f"SELECT {v} AS variant, {r('avg(CASE WHEN ' + ' AND '.join(f'p{i} = 0' for i in range(4) if i != v) + ' THEN 1.0 ELSE 0.0 END)')} AS loss FROM b"
+            for v in range(-1, 4)
+        ),
         "permutation_band": f"""WITH {PLACED}, c AS (SELECT t AS t0, {ema('e', 'x0', 'c0', 100)}, {ema('e', 'x1', 'c1', 100)} FROM e),
 s AS (SELECT rep, c0, c1, row_number() OVER (PARTITION BY rep ORDER BY md5('0:' || rep || ':' || t0)) - 1 AS t FROM c, range(100) AS z(rep)),
 k AS (SELECT {ema('s', 'c0', 'v0', 100, 'rep')}, {ema('s', 'c1', 'v1', 100, 'rep')} FROM s)

@@ -16,7 +16,7 @@ from traitscope.operators import agreement, denote, embedders, geometry, ordered
 from traitscope.operators.passes import Passes, solve
 from traitscope.plans import solvers
 from traitscope.plans.explain import classification_weights, series_texts
-from traitscope.plans.models import ClusteringModel, Reference
+from traitscope.plans.models import ClusteringModel, Model, Reference
 from traitscope.session import materialise, shared_folder, ship_package
 from traitscope.sources import problems, results
 from traitscope.sources.caches import EmbeddingCache, VerdictCache
@@ -100,7 +100,7 @@ def token_pairs(batch: list) -> list[float]:
 
 @query
 def load_problem(spark, folder):
-    """Each document as a problem: its lines are the parallel array of texts."""
+    """Each document as a problem in a file: its lines are the parallel array of texts."""
     lines = F.split("text", "\n")
     raw = table(spark, folder, "documents").select(
         "doc_id",
@@ -109,7 +109,9 @@ def load_problem(spark, folder):
         F.transform(lines, lambda x: F.length(x) % 2).alias("labels"),
         F.transform(lines, lambda x: F.array((F.length(x) % 3).cast("double"))).alias("reference_phi_denotation"),
     )
-    rows = problems.problem_rows(raw)
+    path = scratch(spark, "problems")
+    raw.drop("doc_id").write.json(path)
+    rows, _ = problems.load_problem(spark, path)
     return rows.groupBy("position").agg(
         F.count("*").alias("n"),
         F.sum("label").alias("labels"),
@@ -460,8 +462,7 @@ def predicate_counts(spark, folder):
 
 @query
 def predicate_report(spark, folder):
-    distinct = texts.dedup_texts(docs(spark, folder))
-    report = patterns.predicate_report(den(spark, folder), distinct, PREDICATES)
+    report = patterns.predicate_report(den(spark, folder), docs(spark, folder), PREDICATES)
     return report.select("predicate_id", "predicate", "matches", F.md5(F.array_join("sample", "|")).alias("sample_md5"))
 
 
@@ -930,6 +931,30 @@ def series_directions(spark, folder):
     return as_rows(spark, solve(Passes(v), [solvers.series_directions(3, [0, 1, 2], seeds, seeds, 20, 1.0)])[0])
 
 
+class Covering(Model):
+    """A problem of one's own: predicates of which at least one holds for as many texts as possible."""
+
+    def directions_solver(self, ks, begin):
+        yield lambda rows: np.array([float(len(rows.y))])
+        return begin if begin is not None else self.seeds[ks]
+
+    def losses(self, table, k):
+        bare = F.sum(F.when(F.aggregate("phi", F.lit(0), lambda a, x: a + x.cast("int")) == 0, F.col("cnt")).otherwise(0))
+        rows = table.groupBy("variant").agg((bare / F.sum("cnt")).alias("loss")).collect()
+        return {r["variant"]: float(r["loss"]) for r in rows}
+
+
+@query
+def own_model(spark, folder):
+    """Loss of each ablation of four predicates under a model of one's own."""
+    model = Covering(texts.dedup_texts(docs(spark, folder)), 4)
+    model.prepare()
+    model.set_predicates(PREDICATES)
+    table = patterns.ablated(model.grouped(model.state, 4), 4, "y")
+    rows = [(int(v), float(x)) for v, x in model.losses(table, 4).items()]
+    return spark.createDataFrame(rows, "variant int, loss double").withColumn("loss", r9("loss"))
+
+
 def found(spark, explanation) -> DataFrame:
     rows = [(i, p, explanation.loss) for i, p in enumerate(explanation.predicates)]
     return spark.createDataFrame(rows, "predicate_id int, predicate string, loss double")

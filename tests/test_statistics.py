@@ -85,6 +85,21 @@ def test_ema_matches_the_recursion(spark, n, parts, rate):
     np.testing.assert_allclose(np.stack(got["curve"]), want, atol=1e-10)
 
 
+def test_large_scores_do_not_overflow():
+    """Scores of any size give finite totals and the plain assignment."""
+    from traitscope.operators.passes import Rows
+    from traitscope.plans import solvers
+
+    phi = RNG.random((50, 3)) * 90
+    rows = Rows(np.zeros((50, 0)), phi, np.zeros(50, np.int64), np.ones(50))
+    top = solvers.live_bound(phi.max(axis=0), 3, ())
+    totals = solvers.column_totals((), np.zeros((0, 0)), 0.1, top)(rows)
+    assert np.isfinite(totals).all() and (totals > 0).all()
+    got = solvers.assigned(rows, (), np.zeros((0, 0)), np.log(totals), top, 0.1)
+    z = np.max(phi / 0.1, axis=0) + np.log(np.exp(phi / 0.1 - np.max(phi / 0.1, axis=0)).sum(axis=0))
+    assert (got == np.argmax(phi / 0.1 - z, axis=1)).all()
+
+
 def test_permutation_band(spark):
     import hashlib
 

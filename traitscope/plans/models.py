@@ -41,6 +41,10 @@ class Reference:
     predicates: list[str] | None = None
 
 
+def ids(row) -> dict:
+    return {"ref_id": row["ref_id"], "pred_id": row["pred_id"]}
+
+
 @dataclass
 class Evaluation:
     predicates: list[str]
@@ -48,6 +52,7 @@ class Evaluation:
     before: DataFrame
     after: DataFrame | None = None
     metrics: dict = field(default_factory=dict)
+    details: list[dict] = field(default_factory=list)
     aligned: list[str] | None = None
 
 
@@ -76,6 +81,17 @@ class Explanation:
         named = long.select("text_id", F.element_at(names, F.col("i") + 1).alias("predicate"), F.col("value").cast("int"))
         return named.join(texts.select("text_id", "text"), "text_id").select("predicate", "text", "value")
 
+    def details_table(self) -> DataFrame:
+        """(step, measure, ref_id, pred_id, value): the F1 of every pair of a reference and a found
+        predicate, the metrics of each one-to-one match, and the similarity of each aligned pair."""
+        spark = self.denotation.sparkSession
+        rows = [
+            (i, d["measure"], d["ref_id"], d["pred_id"], None if d["value"] is None else float(d["value"]))
+            for i, s in enumerate(self.trajectory)
+            for d in s.evaluation.details
+        ]
+        return spark.createDataFrame(rows, "step int, measure string, ref_id int, pred_id int, value double")
+
     def trajectory_table(self) -> DataFrame:
         spark = self.denotation.sparkSession
         rows = [
@@ -137,7 +153,7 @@ class Model:
             self.verdicts = VerdictCache(self.spark, f"{shared_folder(self.spark)}/traitscope/verdicts-{uuid.uuid4().hex}")
         self.pool: dict[str, np.ndarray] = {}
         self.inferences = 0
-        self.superseded: list[DataFrame] = []
+        self.bound: np.ndarray | None = None  # largest score per predicate, where scores are not 0/1
 
     # --- what a problem defines ---------------------------------------------------------
 
@@ -193,9 +209,11 @@ class Model:
         else:
             den = self.denotation(predicates)
             wide = self.base.select("text_id", "y", "embedding").join(den, "text_id")
-        replaced, self.state = getattr(self, "state", None), materialise(wide, "state")
-        if replaced is not None:
-            self.superseded.append(replaced)
+        # Earlier states stay: the trajectory reads them.
+        self.state = materialise(wide, "state")
+        if not self.binary:
+            sizes = [F.max(F.abs(F.get("phi", F.lit(i)).cast("double"))).alias(f"m{i}") for i in range(self.k)]
+            self.bound = np.array([v or 0.0 for v in self.state.agg(*sizes).first()])
 
     def grouped(self, wide: DataFrame, k: int) -> DataFrame:
         """Pattern counts per target value, written once: everything else reads this small table."""
@@ -323,16 +341,25 @@ class Model:
             gold = self.reference.denotation
             f1s = agreement.pairwise_f1(agreement.paired_patterns(agreement.paired(gold, before)))
             metrics["before_f1"] = metrics["main_f1"] = agreement.mean_best_f1(f1s).first()[0]
+            # K x K rows and K rows.
+            result.details += [{"measure": "f1", "value": r["f1"], **ids(r)} for r in f1s.orderBy("ref_id", "pred_id").collect()]
             if self.commits:
-                matched = agreement.matched_means(agreement.matched_metrics(agreement.paired(gold, final), self.k)).first()
+                each = materialise(agreement.matched_metrics(agreement.paired(gold, final), self.k), "matched")
+                for r in each.orderBy("ref_id").collect():
+                    measured = ("cosine", "auc", "f1", "precision", "recall", "size")
+                    result.details += [{"measure": f"matched_{m}", "value": r[m], **ids(r)} for m in measured]
+                matched = agreement.matched_means(each).first()
                 metrics.update(main_f1=matched["mean_f1"], after_cosine=matched["mean_cosine"], after_auc=matched["mean_auc"])
             if self.reference.predicates is not None:
                 f1s = agreement.pairwise_f1(agreement.paired_patterns(agreement.paired(gold, final)))
                 best = agreement.best_matches(f1s).orderBy("ref_id").collect()  # K rows
                 result.aligned = [self.predicates[r["pred_id"]] for r in best]
                 pairs = self.spark.createDataFrame(list(zip(self.reference.predicates, result.aligned)), "a string, b string")
-                judged = agreement.surface_similarity(pairs, "a", "b", self.judge)
-                metrics["surface_similarity"] = judged.agg(F.avg("similarity")).first()[0]
+                judged = agreement.surface_similarity(pairs, "a", "b", self.judge).collect()  # K rows
+                metrics["surface_similarity"] = float(np.mean([r["similarity"] for r in judged]))
+                told = {(r["a"], r["b"]): r["similarity"] for r in judged}
+                for r, a, b in zip(best, self.reference.predicates, result.aligned):
+                    result.details.append({"measure": "similarity", "value": told[a, b], **ids(r)})
         metrics["inferences"] = self.inferences
         return result
 
@@ -348,6 +375,13 @@ class Model:
         merged = table.groupBy("variant", "phi").agg(F.sum("cnt").alias("weight"))
         return self._gather(merged, k)
 
+    def table_bound(self, table: DataFrame, k: int) -> np.ndarray | None:
+        """Largest score per column of a pattern table; None where scores are 0/1."""
+        if self.binary:
+            return None
+        sizes = [F.max(F.abs(F.get("phi", F.lit(i)).cast("double"))) for i in range(k)]
+        return np.array([v or 0.0 for v in table.agg(*sizes).first()])
+
     def _gather(self, merged: DataFrame, k: int) -> dict[int, Held | Passes]:
         if self.binary and k <= HELD_BITS:
             rows = merged.toPandas()
@@ -372,7 +406,7 @@ class ClusteringModel(Model):
         self.smoothing = smoothing
 
     def directions_solver(self, ks: list[int], begin: np.ndarray | None):
-        return solvers.cluster_directions(self.k, ks, self.seeds, begin, self.n, self.smoothing, self.temperature, self.gain)
+        return solvers.cluster_directions(self.k, ks, self.seeds, begin, self.n, self.smoothing, self.temperature, self.gain, self.bound)
 
     def losses(self, table: DataFrame, k: int) -> dict[int, float]:
         result = patterns.cluster_fitness(table, k, self.smoothing, ["variant"])
@@ -429,7 +463,7 @@ class TimeSeriesModel(Model):
         return texts.withColumn("y", F.floor(F.col("t") * F.lit(self.buckets) / F.lit(length)).cast("int"))
 
     def directions_solver(self, ks: list[int], begin: np.ndarray | None):
-        return solvers.series_directions(self.k, ks, self.seeds, begin, self.buckets, self.penalty, self.gain)
+        return solvers.series_directions(self.k, ks, self.seeds, begin, self.buckets, self.penalty, self.gain, self.bound)
 
     def losses(self, table: DataFrame, k: int) -> dict[int, float]:
         out = {}
@@ -447,6 +481,6 @@ class TimeSeriesModel(Model):
             at = part["y"].to_numpy(np.int64)
             sizes[at] = part["n"]
             sums[at] = part[[f"s{i}" for i in range(k)]].to_numpy(float)
-            ((_, loss),) = solve(source, [solvers.series_weights(k, sizes, sums, self.penalty)])
+            ((_, loss),) = solve(source, [solvers.series_weights(k, sizes, sums, self.penalty, bound=self.table_bound(table, k))])
             out[variant] = loss
         return out

@@ -21,9 +21,12 @@ PROBLEM = T.StructType(
 )
 
 
-def read_problem(spark: SparkSession, path: str) -> DataFrame:
-    """The raw one-object JSON file: a row of parallel arrays and scalars."""
-    return spark.read.schema(PROBLEM).option("multiLine", True).json(path)
+def read_problem(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """The raw JSON objects, one per line: rows of parallel arrays and scalars.
+
+    ``multi_line`` is for a file with one object over several lines, which one task has to read.
+    """
+    return spark.read.schema(PROBLEM).option("multiLine", multi_line).json(path)
 
 
 def problem_rows(raw: DataFrame) -> DataFrame:
@@ -42,9 +45,9 @@ def problem_rows(raw: DataFrame) -> DataFrame:
     )
 
 
-def load_problem(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
+def load_problem(spark: SparkSession, path: str, multi_line: bool = False) -> tuple[DataFrame, dict]:
     """Rows and settings of a problem file."""
-    raw = read_problem(spark, path)
+    raw = read_problem(spark, path, multi_line)
     settings = raw.select(
         "K", "goal", "smoothing_prob", "discontinuity_penalty", "reference_phi_predicate_strings"
     ).first()
