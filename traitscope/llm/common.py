@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,8 +20,34 @@ LOWER = {c: c + 32 for c in range(65, 91)}
 LOWER_BYTES = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
+#: Texts differ in length a thousandfold, so batches for Python tasks are bounded by bytes.
+BATCH_BYTES, BATCH_SETTING = "4m", "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def prepare(spark: SparkSession) -> None:
+    """Send the package to the workers, and bound the bytes of their batches for this session."""
     ship_package(spark)
+    spark.conf.set(BATCH_SETTING, BATCH_BYTES)
+
+
+def trimmed(run):
+    """An Arrow-batch function that gives freed memory back when a task ends.
+
+    Python workers serve many tasks; what one of them freed would else stay with the worker.
+    """
+
+    def outer(source):
+        yield from run(source)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+    return outer
+
+
+def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    prepare(spark)
     return spark.read.parquet(os.path.join(folder, f"{name}.parquet"))
 
 

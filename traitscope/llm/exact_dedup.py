@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from traitscope.llm.common import barrier, rows_of, salted_join, whole
+from traitscope.llm.common import barrier, rows_of, salted_join, trimmed, whole
 from traitscope.session import materialise
 
 #: Two primes below 2^31 and their bases; products of two residues fit 64 bits.
@@ -122,7 +122,7 @@ def _confirmed(docs: DataFrame, repeated: DataFrame, chunk_bytes: int, per_salt:
     hit = salted_join(hit, repeated, ["fp", "n_bytes"], F.col("doc_id")).select(
         "fp", "n_bytes", "doc_id", "keep_id", "copies", "text"
     )
-    parts = materialise(hit.mapInArrow(_chunks(chunk_bytes), FIELDS), "exact-chunks")
+    parts = materialise(hit.mapInArrow(trimmed(_chunks(chunk_bytes)), FIELDS), "exact-chunks")
     salts = F.ceil(F.col("copies") / per_salt).cast("long")
     own = parts.where(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).withColumn(
         "salt", F.pmod(F.xxhash64("doc_id"), salts)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from traitscope.llm.common import LOWER_BYTES, whole
+from traitscope.llm.common import LOWER_BYTES, trimmed, whole
 from traitscope.session import materialise
 
 #: Base phrases and their labels.
@@ -142,7 +142,7 @@ def scan_licenses(docs: DataFrame, cover: float = COVER) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels and score of every row of ``docs``."""
     spark = docs.sparkSession
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), whole().alias("text"))
-    scanned = materialise(rows.mapInArrow(_scan(PHRASES, TEMPLATES, K), SCAN), "license-scan")
+    scanned = materialise(rows.mapInArrow(trimmed(_scan(PHRASES, TEMPLATES, K)), SCAN), "license-scan")
     found = spans(scanned.where(F.size("hits") > 0), template_positions(spark))
     labels = found.groupBy("uid").agg(
         F.collect_set(F.when(F.col("cover") >= cover, F.col("label"))).alias("own"), F.max("cover").alias("best")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from traitscope.llm.common import components, rows_of, salted_join, whole
+from traitscope.llm.common import components, rows_of, salted_join, trimmed, whole
 from traitscope.llm.simhash import EDGE, beyond, links, majority, planes_of, shingle_hashes
 from traitscope.llm.substring_dedup import FILTER_BITS, IN_SHINGLE, SHINGLE, _mix, _odd, bands_for, bit_of, bitmap, text_rows, words_of
 from traitscope.session import materialise
@@ -144,7 +144,7 @@ def similar_links(docs: DataFrame, marks: DataFrame, similarity: float = SIMILAR
     met = rows.groupBy("key").agg(F.min("text_key").alias("low"), F.max("text_key").alias("high")).where("low <> high").select("key")
     members = materialise(salted_join(rows, met, ["key"], F.col("text_key"), salts=4).distinct(), "near-members")
     shared = docs.sparkSession.sparkContext.broadcast(bitmap(members.select("text_key")))
-    sets = docs.select(F.xxhash64(whole()).alias("text_key"), whole().alias("text")).mapInArrow(_sets(shared, FILTER_BITS), "text_key long, shingles binary")
+    sets = docs.select(F.xxhash64(whole()).alias("text_key"), whole().alias("text")).mapInArrow(trimmed(_sets(shared, FILTER_BITS)), "text_key long, shingles binary")
     sets = materialise(sets.groupBy("text_key").agg(F.first("shingles").alias("shingles")), "near-sets")
     sizes = members.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     dealt = salted_join(members, sizes, ["key"], F.col("text_key"), salts=4)
@@ -152,7 +152,7 @@ def similar_links(docs: DataFrame, marks: DataFrame, similarity: float = SIMILAR
     dealt = dealt.select("*", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     dealt = dealt.select("key", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "text_key", "fp").join(sets, "text_key")
     dealt = dealt.select("key", "bi", "bj", "text_key", "fp", "shingles").repartition("key", "bi", "bj")
-    return dealt.sortWithinPartitions("key", "bi", "bj").mapInArrow(_verify(similarity), "a long, b long")
+    return dealt.sortWithinPartitions("key", "bi", "bj").mapInArrow(trimmed(_verify(similarity)), "a long, b long")
 
 
 def drop_near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -164,7 +164,7 @@ def drop_near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFra
         whole().alias("text"),
     )
     schema = "doc_id long, text_key long, text_sha256 string, fp long, keys array<long>"
-    marks = materialise(texts.mapInArrow(_mark, schema), "near-marks")
+    marks = materialise(texts.mapInArrow(trimmed(_mark), schema), "near-marks")
     first = materialise(marks.groupBy("fp").agg(F.min("text_key").alias("first")), "near-fingerprints")
     same = salted_join(marks.select("text_key", "fp").distinct(), first, ["fp"], F.col("text_key")).select(F.col("text_key").alias("a"), F.col("first").alias("b"))
     close = links(first.select("fp"))

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from traitscope.llm.common import whole
+from traitscope.llm.common import trimmed, whole
 from traitscope.llm.tokens import encoder, slices
 from traitscope.session import materialise
 
@@ -219,7 +219,7 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 1024, end: int = 2, s
     """
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), whole().alias("text"))
     schema = "uid long, doc_id long, n long, crcs array<long>" + (", ids binary" if keep_ids else "")
-    counted = materialise(rows.mapInArrow(_tokenize(vocabulary, end, capacity, keep_ids), schema), "pack-tokens")
+    counted = materialise(rows.mapInArrow(trimmed(_tokenize(vocabulary, end, capacity, keep_ids)), schema), "pack-tokens")
     shards = max(1, -(-counted.count() // shard))
     fields = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
     return (

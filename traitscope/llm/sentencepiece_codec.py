@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from traitscope.llm.common import whole
+from traitscope.llm.common import trimmed, whole
 from traitscope.llm.tokens import LONGEST, ROOM, alone, encode_units, opening_ids, slices
 
 MARK = "▁"
@@ -234,7 +234,7 @@ def sentencepiece_code(docs: DataFrame, model: str, threads: int = 2, check: boo
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole().alias("text"))
     schema = "doc_id long, n_tokens long, ids_crc32 long, round_trip boolean, parity boolean"
-    return rows.mapInArrow(_code(model, threads, check, keep_ids), schema + (", ids array<int>" if keep_ids else ""))
+    return rows.mapInArrow(trimmed(_code(model, threads, check, keep_ids)), schema + (", ids array<int>" if keep_ids else ""))
 
 
 def _decode(path: str, threads: int):
@@ -249,4 +249,4 @@ def _decode(path: str, threads: int):
 
 def sentencepiece_decode(coded: DataFrame, model: str, threads: int = 2) -> DataFrame:
     """(doc_id, text) of rows (doc_id, ids)."""
-    return coded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(_decode(model, threads), "doc_id long, text string")
+    return coded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(trimmed(_decode(model, threads)), "doc_id long, text string")

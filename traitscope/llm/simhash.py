@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from traitscope.llm.common import LOWER_BYTES, components, salted_join, whole
+from traitscope.llm.common import LOWER_BYTES, components, salted_join, trimmed, whole
 from traitscope.session import materialise
 
 RADIUS, SHINGLE, BLOCK = 2, 3, 4096
@@ -177,7 +177,7 @@ def links(fps: DataFrame, block: int = BLOCK) -> DataFrame:
     dealt = dealt.select(
         "which", "key", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "fp"
     ).repartition("which", "key", "bi", "bj")
-    return dealt.sortWithinPartitions("which", "key", "bi", "bj").mapInArrow(_compare(2 * block), "a long, b long").distinct()
+    return dealt.sortWithinPartitions("which", "key", "bi", "bj").mapInArrow(trimmed(_compare(2 * block)), "a long, b long").distinct()
 
 
 def component_of(marks: DataFrame, block: int = BLOCK) -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from traitscope.llm.common import components, salted_join, whole
+from traitscope.llm.common import components, salted_join, trimmed, whole
 from traitscope.llm.tokens import slices
 from traitscope.session import materialise
 
@@ -104,8 +104,8 @@ def anchors(docs: np.ndarray, shingles: np.ndarray, window: int) -> np.ndarray:
     found = []
     if len(docs) >= window:
         view = np.lib.stride_tricks.sliding_window_view(shingles, window)
-        for at in range(0, len(view), 1 << 17):
-            part = view[at : at + (1 << 17)]
+        for at in range(0, len(view), 1 << 15):
+            part = view[at : at + (1 << 15)]
             ok = docs[at : at + len(part)] == docs[at + window - 1 : at + window - 1 + len(part)]
             found.append(np.unique((part.argmin(1) + np.arange(at, at + len(part)))[ok]))
     for head, size in zip(heads[sizes < window].tolist(), sizes[sizes < window].tolist()):
@@ -151,7 +151,7 @@ def paragraphs(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
 def text_rows(batch: pa.RecordBatch, at: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """First row, bytes and offsets of bounded runs of a batch's texts (column ``at``)."""
     column = batch.column(at).cast(pa.string())
-    for a, b in slices(pc.binary_length(column).to_pylist()):
+    for a, b in slices(pc.binary_length(column).to_pylist(), 1 << 20):
         part = column.slice(a, b - a)
         offsets = np.frombuffer(part.buffers()[1], np.int32)[part.offset : part.offset + len(part) + 1].astype(np.int64)
         data = np.frombuffer(part.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
@@ -189,7 +189,7 @@ def _key_bits(bits: int):
 
 def bitmap(keys: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
     """Bitmap of 2^bits cells of a table of keys: at most 2^(bits-6) words reach the driver."""
-    words = keys.mapInArrow(_key_bits(bits), "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()
+    words = keys.mapInArrow(trimmed(_key_bits(bits)), "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()
     out = np.zeros(1 << (bits - 6), np.uint64)
     out[words["word"].to_numpy()] = words["bit"].to_numpy().view(np.uint64)
     return out
@@ -318,7 +318,7 @@ def repeated_passages(docs: DataFrame, block: int = BLOCK, filter_bits: int = FI
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(whole()).alias("text_key"), whole().alias("text"))
-    keys = docs.select("text").mapInArrow(_band_keys, "first boolean, bkey long, paragraph long")
+    keys = docs.select("text").mapInArrow(trimmed(_band_keys), "first boolean, bkey long, paragraph long")
     met = keys.groupBy("bkey").agg(
         F.count("*").alias("n"), F.min("paragraph").alias("low"), F.max("paragraph").alias("high"), F.max("first").alias("first")
     )
@@ -327,7 +327,7 @@ def repeated_passages(docs: DataFrame, block: int = BLOCK, filter_bits: int = FI
         met.where("n > 1 and (first or low <> high)").select("bkey", (F.col("low") != F.col("high")).alias("differ")), "passage-keys"
     )
     shared = spark.sparkContext.broadcast(bitmap(met.select("bkey"), filter_bits))
-    found = docs.mapInArrow(_met_again(shared, filter_bits), MEMBER)
+    found = docs.mapInArrow(trimmed(_met_again(shared, filter_bits)), MEMBER)
     found = salted_join(found, met, ["bkey"], F.col("paragraph") + F.col("word"), salts=4)
     found = materialise(found, "passage-members")
     classes = found.where("differ").select("bkey", "paragraph", "shingles").distinct()
@@ -336,7 +336,7 @@ def repeated_passages(docs: DataFrame, block: int = BLOCK, filter_bits: int = FI
     own = F.pmod(F.xxhash64("paragraph", F.lit(1)), F.col("blocks")).cast("int")
     dealt = dealt.select("*", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     dealt = dealt.select("bkey", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "paragraph", "shingles")
-    links = dealt.repartition("bkey", "bi", "bj").sortWithinPartitions("bkey", "bi", "bj").mapInArrow(_verify, "a long, b long")
+    links = dealt.repartition("bkey", "bi", "bj").sortWithinPartitions("bkey", "bi", "bj").mapInArrow(trimmed(_verify), "a long, b long")
     roots = materialise(components(links.distinct(), "passage-links").withColumnRenamed("node", "paragraph"), "passage-roots")
     place = ["doc_id", "text_key", "word", "start", "end"]
     members = found.select(*place, "paragraph").distinct()

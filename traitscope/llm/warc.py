@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from traitscope.llm.common import salted_join
+from traitscope.llm.common import salted_join, trimmed
 from traitscope.session import materialise, shared_folder
 
 LEAST, ARCHIVE_BYTES, GAP, RANGE = 100, 256 << 20, 1 << 16, 16 << 20
@@ -151,7 +151,7 @@ def write_archives(pages: DataFrame, folder: str, least: int = LEAST, archive_by
     joined = salted_join(marked, first, ["digest"], F.coalesce("page_id", F.lit(-1).cast("long")), how="left")
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id"))
     rows = joined.select("page_id", "url", "html", "digest", refers.alias("refers_to"))
-    return materialise(rows.mapInArrow(_write(folder, archive_bytes), INDEX), "warc-index")
+    return materialise(rows.mapInArrow(trimmed(_write(folder, archive_bytes)), INDEX), "warc-index")
 
 
 RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -208,7 +208,7 @@ def read_archives(index: DataFrame, folder: str, payloads: bool = False, span: i
     """
     places = index.select("archive", "offset", "length").repartition("archive", F.floor(F.col("offset") / span))
     return places.sortWithinPartitions("archive", "offset").mapInArrow(
-        _read(folder, payloads), RECORD + (", payload binary" if payloads else "")
+        trimmed(_read(folder, payloads)), RECORD + (", payload binary" if payloads else "")
     )
 
 
