@@ -10,42 +10,42 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from traitscope.llm.common import read
+from traitscope.llm.common import prepare, read
 from traitscope.llm.exact_dedup import drop_copies
 from traitscope.llm.near_copies import drop_near_copies
 from traitscope.llm.packing import pack
 from traitscope.llm.quality_rules import keep_documents
 from traitscope.llm.substring_dedup import remove_passages
-from traitscope.session import materialise, ship_package
+from traitscope.session import materialise
 
 
 def quality(spark, docs, sf_dir):
     """Documents that the adaptive quality rules keep."""
-    ship_package(spark)
+    prepare(spark)
     return keep_documents(docs)
 
 
 def exact(spark, docs, sf_dir):
     """Of equal texts the one with the largest doc_id."""
-    ship_package(spark)
+    prepare(spark)
     return drop_copies(docs)
 
 
 def near(spark, docs, sf_dir):
     """Of texts linked by close fingerprints or similar shingles the one with the smallest doc_id."""
-    ship_package(spark)
+    prepare(spark)
     return drop_near_copies(docs)
 
 
 def passages(spark, docs, sf_dir):
     """Texts without the passages that an earlier document has; texts left empty go."""
-    ship_package(spark)
+    prepare(spark)
     return remove_passages(docs)
 
 
 def packing(spark, docs, sf_dir):
     """Pieces of the texts' token ids, packed into sequences of 1024."""
-    ship_package(spark)
+    prepare(spark)
     return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
