@@ -344,7 +344,7 @@ def test_labels_of_the_held_out_fold_are_not_used(spark, odd, empty):
 
 
 def test_features():
-    lexicon, starts = {"moron": 4.0}, {"réeux": 3.0}
+    lexicon, starts = {b"moron": 4.0}, {"réeux".encode()[:5]: 3.0}
     f = dict(zip(T.FEATURES, T.features("You MORON!! réeuxment m0ron", lexicon, starts)))
     assert f["word_hits"] == pytest.approx(math.log(2)) and f["closest"] == 0.5 and f["hidden_hits"] == pytest.approx(math.log(2))
     assert f["start_rate"] > 0 and f["strongest"] == 4.0 and f["capitals"] > 0 and f["exclamations"] > 0

@@ -21,31 +21,34 @@ from collections import Counter
 from collections.abc import Iterator
 from math import log, sqrt
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from traitscope.llm.common import fold, whole
+from traitscope.llm.common import fold, trimmed, whole
 from traitscope.llm.tokens import slices
 from traitscope.session import materialise
 
 HELD, FOLDS, SAMPLE, ENTRIES, LEAST, THRESHOLD = 2, 4, 30_000, 400, 4, 0.3
-BEGINNINGS = (4, 5, 6, 7)
-LETTERS = re.compile(r"[^\W\d_]+")
-#: A letter, then digits or signs that stand for letters, then a letter; or letters apart by single signs.
-MIXED = re.compile(r"[^\W\d_]+(?:[0-9@$!*+|]+[^\W\d_]+)+|\b(?:[^\W\d_][.\-*_ ]){3,}[^\W\d_]\b")
+#: Lengths, in bytes, of the word beginnings that may become entries.
+BEGINNINGS = (5, 7)
+#: Everything but letters separates words; bytes of other characters are parts of words.
+WORDS = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+#: Digits or signs between letters, where they stand for letters, and letters apart by single signs.
+INSIDE = re.compile(r"(?<=[^\W\d_])[0-9@$!*+|]+(?=[^\W\d_])|(?<=[^\W\d_])[.\-*_](?=[^\W\d_][.\-*_][^\W\d_])")
 LEET = str.maketrans("013457@$!|+", "oieastasiit")
-STRETCHED = re.compile(r"([^\W\d_])\1{2,}")
-SHOUTED = re.compile(r"\b[^\W\d_a-z]{3,}\b")
 SECOND = set(
-    "you your yours yourself u ur du dich dir dein deine deiner deinem deinen tu te toi ton ta tes vous votre vos usted ustedes tú ti tuyo vosotros os".split()
+    w.encode() for w in "you your yours yourself u ur du dich dir dein deine deiner deinem deinen tu te toi ton ta tes vous votre vos usted ustedes tú ti tuyo vosotros os".split()
 )
 #: Common insults, a lexicon to begin with where labelled rows are few.
 INSULTS = set(
+    w.encode() for w in (
     "idiot idiots moron morons stupid dumb fool pathetic worthless loser losers scum trash garbage disgusting clown jerk "
     "bastard creep filthy vermin dummkopf blödmann arschloch abschaum drecksack trottel versager imbécile idiote crétin "
-    "connard ordure salaud abruti estúpido estúpida imbécil basura asqueroso escoria payaso inútil".split()
+    "connard ordure salaud abruti estúpido estúpida imbécil basura asqueroso escoria payaso inútil"
+    ).split()
 )
 FEATURES = [
     "words", "insults", "insult_rate", "word_hits", "word_rate", "word_weight", "start_hits", "start_rate", "start_weight", "strongest", "second",
@@ -53,10 +56,14 @@ FEATURES = [
 ]
 
 
-def _entries(text: str) -> set[str]:
+def words_of(lowered: bytes) -> list[bytes]:
+    return lowered.translate(WORDS).split()
+
+
+def _entries(text: str) -> set[bytes]:
     """Words of a text, and their beginnings marked by a trailing hyphen."""
-    words = set(LETTERS.findall(text.lower()))
-    return words | {w[:n] + "-" for w in words for n in BEGINNINGS if len(w) >= n}
+    words = set(words_of(text.lower().encode()))
+    return words | {w[:n] + b"-" for w in words for n in BEGINNINGS if len(w) >= n}
 
 
 def _count(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,32 +74,47 @@ def _count(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             (toxic if label else other).update(_entries(text))
         names = list(toxic.keys() | other.keys())
         counts = [pa.array([c[n] for n in names], pa.int64()) for c in (toxic, other)]
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *counts], ["entry", "toxic", "other"])
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), *counts], ["entry", "toxic", "other"])
 
 
-def learn_lexicon(rows: DataFrame, entries: int = ENTRIES, least: int = LEAST) -> dict[str, float]:
+def learn_lexicon(rows: DataFrame, entries: int = ENTRIES, least: int = LEAST) -> dict[bytes, float]:
     """At most ``entries`` words and as many beginnings with their weights, from written rows (toxic, text)."""
     total = {bool(r["toxic"]): r["count"] for r in rows.groupBy("toxic").count().collect()}
     n1, n0 = total.get(True, 0), total.get(False, 0)
     if not n1 or not n0:
         return {}
-    seen = rows.select("toxic", "text").mapInArrow(_count, "entry string, toxic long, other long").groupBy("entry")
+    seen = rows.select("toxic", "text").mapInArrow(trimmed(_count), "entry binary, toxic long, other long").groupBy("entry")
     seen = seen.agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")).where(F.col("toxic") >= least)
     odds = F.log((F.col("toxic") + 0.5) / (n1 + 1)) - F.log((F.col("other") + 0.5) / (n0 + 1))
     error = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("other") + 0.5))
     ranked = seen.withColumn("weight", odds).withColumn("z", odds / error).where("weight > 1.5 and z > 3")
-    out: dict[str, float] = {}
-    for kind in (F.col("entry").endswith("-"), ~F.col("entry").endswith("-")):
+    out: dict[bytes, float] = {}
+    start = F.endswith("entry", F.lit(b"-"))
+    for kind in (start, ~start):
         for r in ranked.where(kind).orderBy(F.desc("z"), "entry").limit(entries).collect():
-            out[r["entry"]] = r["weight"]
+            out[bytes(r["entry"])] = r["weight"]
     return out
 
 
-def features(text: str, words_known: dict[str, float], starts_known: dict[str, float]) -> list[float]:
+def _runs(mask: np.ndarray, n: int = 3) -> int:
+    """Places where ``n`` neighbours all hold."""
+    size = max(len(mask) - n + 1, 0)
+    return int(np.count_nonzero(np.logical_and.reduce([mask[i : i + size] for i in range(n)])))
+
+
+def _hidden(text: str, at: int) -> bytes:
+    """The run of non-blanks around a place, with signs read as letters."""
+    a = max(text.rfind(" ", 0, at), text.rfind("\n", 0, at)) + 1
+    ends = [e for e in (text.find(" ", at), text.find("\n", at)) if e >= 0]
+    token = text[a : min(ends, default=len(text))][:64]
+    return re.sub(r"[\W_]", "", token.lower().translate(LEET)).encode()
+
+
+def features(text: str, words_known: dict[bytes, float], starts_known: dict[bytes, float]) -> list[float]:
     """Dense features of one text, in the order of FEATURES."""
-    words = LETTERS.findall(text.lower())
+    lowered = text.lower().encode()
+    words = words_of(lowered)
     n = len(words) or 1
-    chars = len(text) or 1
     hits = [i for i, w in enumerate(words) if w in words_known or w in INSULTS]
     weight = [words_known.get(words[i], 0.0) for i in hits]
     insults = sum(words[i] in INSULTS for i in hits)
@@ -104,11 +126,13 @@ def features(text: str, words_known: dict[str, float], starts_known: dict[str, f
     for i in hits if seconds else ():
         j = bisect_left(seconds, i)
         gaps.append(min(abs(i - seconds[k]) for k in (j - 1, j) if 0 <= k < len(seconds)))
-    mixed = MIXED.findall(text)
-    plain = [re.sub(r"[^\w]|_", "", m.lower().translate(LEET)) for m in mixed]
-    hidden = sum(w in words_known or w in INSULTS for w in plain)
+    mixed = [m.start() for m in INSIDE.finditer(text)]
+    hidden = sum(w in words_known or w in INSULTS for w in {_hidden(text, at) for at in mixed})
     data = text.encode()
-    capitals = len(data) - len(data.translate(None, b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
+    chars = len(data) or 1
+    codes, small = np.frombuffer(data, np.uint8), np.frombuffer(lowered, np.uint8)
+    upper = (codes >= 65) & (codes <= 90)
+    again = (small[1:] == small[:-1]) & (small[1:] >= 97) & (small[1:] <= 122)
     marks = len(data) - len(data.translate(None, b"!\"#$%&'()*+,-./:;<=>?@[]^_`{|}~"))
     loud = len(data) - len(data.translate(None, b"!?"))
     return [
@@ -125,19 +149,19 @@ def features(text: str, words_known: dict[str, float], starts_known: dict[str, f
         len(seconds) / n,
         1 / (1 + min(gaps)) if gaps else 0.0,
         sum(g <= 5 for g in gaps) / n,
-        capitals / chars,
-        len(SHOUTED.findall(text)) / n,
+        int(np.count_nonzero(upper)) / chars,
+        _runs(upper) / n,
         loud / chars,
         marks / chars,
-        len(STRETCHED.findall(text)) / n,
+        _runs(again, 2) / n,
         len(mixed) / n,
         log(1 + hidden),
     ]
 
 
-def _features(lexicon: dict[str, float]):
-    words_known = {k: v for k, v in lexicon.items() if not k.endswith("-")}
-    starts_known = {k[:-1]: v for k, v in lexicon.items() if k.endswith("-")}
+def _features(lexicon: dict[bytes, float]):
+    words_known = {k: v for k, v in lexicon.items() if not k.endswith(b"-")}
+    starts_known = {k[:-1]: v for k, v in lexicon.items() if k.endswith(b"-")}
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
@@ -151,10 +175,10 @@ def _features(lexicon: dict[str, float]):
     return run
 
 
-def with_features(rows: DataFrame, lexicon: dict[str, float]) -> DataFrame:
+def with_features(rows: DataFrame, lexicon: dict[bytes, float]) -> DataFrame:
     """``rows`` with the features in place of their last column, the text."""
     kept = ", ".join(f"{n} {t}" for n, t in rows.dtypes[:-1])
-    return rows.mapInArrow(_features(lexicon), ", ".join(x for x in (kept, *(f"{f} double" for f in FEATURES)) if x))
+    return rows.mapInArrow(trimmed(_features(lexicon)), ", ".join(x for x in (kept, *(f"{f} double" for f in FEATURES)) if x))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
