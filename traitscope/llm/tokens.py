@@ -15,7 +15,7 @@ import numpy as np
 CUT = re.compile(r"(?<=\S) ")
 GLUED = re.compile(r"\s ")
 #: Units kept by a worker, and the longest unit that is kept.
-ROOM, LONGEST = 500_000, 48
+ROOM, LONGEST = 600_000, 48
 
 
 def alone(tokenizer, texts: list[str]) -> list[bytes]:
@@ -38,19 +38,20 @@ def encode_units(tokenizer, opens: np.ndarray, units: list[str], blanks: str, to
     with a blank. A unit with a blank of its own, without any character or with white space at its
     end could grow together with its neighbour and is encoded alone.
     """
-    plain = [bool(u) and not u[-1].isspace() and not any(c in u for c in blanks) for u in units]
+    found = re.compile(f"[{blanks}]|\\s$").search
+    plain = [u != "" and found(u) is None for u in units]
     joined = [u for u, ok in zip(units, plain) if ok]
     texts = [" " + " ".join(joined[i : i + together]) for i in range(0, len(joined), together)]
-    found: list[bytes] = []
+    cut_ids: list[bytes] = []
     for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False):
         ids = np.array(e.ids, "<u4")
         cuts = [*np.flatnonzero(opens[ids]).tolist(), len(ids)]
         data = ids.tobytes()
-        found += [data[4 * a : 4 * b] for a, b in zip(cuts[:-1], cuts[1:])]
-    if len(found) != len(joined):
+        cut_ids += [data[4 * a : 4 * b] for a, b in zip(cuts[:-1], cuts[1:])]
+    if len(cut_ids) != len(joined):
         raise ValueError("the tokenizer joins units across blanks")
     rest = iter(alone(tokenizer, [" " + u for u, ok in zip(units, plain) if not ok]))
-    cut = iter(found)
+    cut = iter(cut_ids)
     return [next(cut) if ok else next(rest) for ok in plain]
 
 
@@ -81,15 +82,13 @@ class UnitEncoder:
             units = (CUT if GLUED.search(text) else _BLANK).split(text) if text else []
             cut.append(units)
             missing.update(units[1:])
-        missing = [u for u in missing if u not in self.units]
-        found = dict(zip(missing, self._encode(missing)))
-        first = self._alone([units[0] if units else "" for units in cut])
         known = self.units
-        known.update(found)
+        missing = [u for u in missing if u not in known]
+        known.update(zip(missing, self._encode(missing)))
+        first = self._alone([units[0] if units else "" for units in cut])
         out = [b"".join([head, *map(known.__getitem__, units[1:])]) for head, units in zip(first, cut)]
-        for u in missing:
-            if len(u) > LONGEST:
-                del known[u]
+        for u in [u for u in missing if len(u) > LONGEST]:
+            del known[u]
         return out
 
 
