@@ -78,15 +78,30 @@ def barrier(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select(*kept, F.explode(F.array(packed)).alias("_new")).select(*kept, "_new.*")
 
 
-def salted_join(left: DataFrame, right: DataFrame, keys: list[str], spread: Column, salts: int = 16, how: str = "inner") -> DataFrame:
+#: Rows of a written table that may be sent to every task; its columns are a few numbers and names.
+SENT = 20_000
+
+
+def salted_join(
+    left: DataFrame, right: DataFrame, keys: list[str], spread: Column, salts: int = 16, how: str = "inner", written: bool = False
+) -> DataFrame:
     """Join on ``keys`` (nulls match) with every key of ``left`` dealt over ``salts`` tasks.
 
     ``right`` holds few rows per key and is repeated ``salts`` times; ``spread`` is a long that
-    tells rows of one key apart. Beyond that many parts Spark's own skew handling goes on.
+    tells rows of one key apart. Beyond that many parts Spark's own skew handling goes on. The
+    repeated side is never broadcast, as Spark judges its size without the repetition. Where
+    ``right`` is a written table its rows are counted first: up to SENT of them are broadcast, and
+    ``left`` is not shuffled.
     """
-    a = left.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)))
-    b = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys], F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_r_salt"))
-    on = F.col("_salt") == F.col("_r_salt")
+    few = written and right.count() <= SENT
+    a = left if few else left.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)))
+    named = [F.col(k).alias(f"_r_{k}") for k in keys]
+    rest = [F.col(c) for c in right.columns if c not in keys]
+    if few:
+        b, on = F.broadcast(right.select(*named, *rest)), F.lit(True)
+    else:
+        salt = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_r_salt")
+        b, on = right.select(*named, *rest, salt).hint("merge"), F.col("_salt") == F.col("_r_salt")
     for k in keys:
         on = on & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
     return a.join(b, on, how).drop("_salt", "_r_salt", *[f"_r_{k}" for k in keys])

@@ -119,7 +119,7 @@ def _confirmed(docs: DataFrame, repeated: DataFrame, chunk_bytes: int, per_salt:
     copies, each of which gets the chunks of the row that stays.
     """
     hit = barrier(docs, fp=_fingerprints("text"), n_bytes=F.octet_length("text").cast("long"))
-    hit = salted_join(hit, repeated, ["fp", "n_bytes"], F.col("doc_id")).select(
+    hit = salted_join(hit, repeated, ["fp", "n_bytes"], F.col("doc_id"), written=True).select(
         "fp", "n_bytes", "doc_id", "keep_id", "copies", "text"
     )
     parts = materialise(hit.mapInArrow(trimmed(_chunks(chunk_bytes)), FIELDS), "exact-chunks")

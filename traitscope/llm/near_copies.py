@@ -166,7 +166,7 @@ def drop_near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFra
     schema = "doc_id long, text_key long, text_sha256 string, fp long, keys array<long>"
     marks = materialise(texts.mapInArrow(trimmed(_mark), schema), "near-marks")
     first = materialise(marks.groupBy("fp").agg(F.min("text_key").alias("first")), "near-fingerprints")
-    same = salted_join(marks.select("text_key", "fp").distinct(), first, ["fp"], F.col("text_key")).select(F.col("text_key").alias("a"), F.col("first").alias("b"))
+    same = salted_join(marks.select("text_key", "fp").distinct(), first, ["fp"], F.col("text_key"), written=True).select(F.col("text_key").alias("a"), F.col("first").alias("b"))
     close = links(first.select("fp"))
     for end in ("a", "b"):
         close = close.join(first.select(F.col("fp").alias(end), F.col("first").alias(f"{end}_key")), end)

@@ -143,7 +143,7 @@ def verdict() -> Column:
 def judged(table: DataFrame, reach: int = REACH, enough: int = ENOUGH) -> DataFrame:
     """A written table of measures with base_failed and kept."""
     limits = materialise(thresholds(table, reach, enough), "quality-thresholds")
-    joined = salted_join(table, limits, ["lang", "source"], F.col("n_words") * 1000003 + F.col("word_chars"), how="left")
+    joined = salted_join(table, limits, ["lang", "source"], F.xxhash64("n_words", "word_chars"), how="left", written=True)
     return joined.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & verdict())
 
 

@@ -171,7 +171,7 @@ def links(fps: DataFrame, block: int = BLOCK) -> DataFrame:
     rows = fps.select("fp", F.inline(F.array(*keys)))
     sizes = rows.groupBy("which", "key").agg(F.count("*").alias("n")).where("n > 1")
     sizes = materialise(sizes.withColumn("blocks", F.ceil(F.col("n") / block).cast("int")), "simhash-buckets")
-    dealt = salted_join(rows, sizes, ["which", "key"], F.col("fp"), salts=4)
+    dealt = salted_join(rows, sizes, ["which", "key"], F.col("fp"), salts=4, written=True)
     own = F.pmod(F.xxhash64("fp", F.lit(1)), F.col("blocks")).cast("int")
     dealt = dealt.select("which", "key", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     dealt = dealt.select(

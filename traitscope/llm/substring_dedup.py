@@ -328,7 +328,7 @@ def repeated_passages(docs: DataFrame, block: int = BLOCK, filter_bits: int = FI
     )
     shared = spark.sparkContext.broadcast(bitmap(met.select("bkey"), filter_bits))
     found = docs.mapInArrow(trimmed(_met_again(shared, filter_bits)), MEMBER)
-    found = salted_join(found, met, ["bkey"], F.col("paragraph") + F.col("word"), salts=4)
+    found = salted_join(found, met, ["bkey"], F.xxhash64("paragraph", "word"), salts=4, written=True)
     found = materialise(found, "passage-members")
     classes = found.where("differ").select("bkey", "paragraph", "shingles").distinct()
     sizes = classes.groupBy("bkey").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
@@ -340,14 +340,14 @@ def repeated_passages(docs: DataFrame, block: int = BLOCK, filter_bits: int = FI
     roots = materialise(components(links.distinct(), "passage-links").withColumnRenamed("node", "paragraph"), "passage-roots")
     place = ["doc_id", "text_key", "word", "start", "end"]
     members = found.select(*place, "paragraph").distinct()
-    members = salted_join(members, roots, ["paragraph"], F.col("word") + F.col("text_key") % 1000, salts=4, how="left")
+    members = salted_join(members, roots, ["paragraph"], F.xxhash64("word", "text_key"), salts=4, how="left", written=True)
     members = materialise(members.select(*place, F.coalesce("root", "paragraph").alias("cluster_id")), "passage-clusters")
     order = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "text_key", "word")
     document = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "text_key")
     heads = members.groupBy("cluster_id").agg(F.min(order).alias("head"), F.max(document).alias("last"))
     heads = heads.where(~F.struct("head.z", "head.doc_id", "head.text_key").eqNullSafe(F.struct("last.z", "last.doc_id", "last.text_key")))
     heads = materialise(heads.select("cluster_id", "head"), "passage-heads")
-    marked = salted_join(members, heads, ["cluster_id"], F.col("word") + F.col("text_key") % 1000)
+    marked = salted_join(members, heads, ["cluster_id"], F.xxhash64("word", "text_key"), written=True)
     stays = F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("text_key") == F.col("head.text_key"))
     marked = marked.withColumn("removed", ~stays)
     return _merged(marked)

@@ -148,7 +148,7 @@ def write_archives(pages: DataFrame, folder: str, least: int = LEAST, archive_by
     marked = pages.select("*", F.sha2("html", 256).alias("digest"))
     first = marked.where(F.octet_length("html") >= least).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n"))
     first = materialise(first.where("n > 1").select("digest", "first_id"), "warc-first")
-    joined = salted_join(marked, first, ["digest"], F.coalesce("page_id", F.lit(-1).cast("long")), how="left")
+    joined = salted_join(marked, first, ["digest"], F.coalesce("page_id", F.lit(-1).cast("long")), how="left", written=True)
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id"))
     rows = joined.select("page_id", "url", "html", "digest", refers.alias("refers_to"))
     return materialise(rows.mapInArrow(trimmed(_write(folder, archive_bytes)), INDEX), "warc-index")
