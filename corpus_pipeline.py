@@ -8,13 +8,12 @@ as each operator's module says: a null or empty text fails the quality rules.
 
 from __future__ import annotations
 
-import public_tokenizers
-
 from traitscope.llm.common import prepare, read
 from traitscope.llm.exact_dedup import drop_copies
 from traitscope.llm.near_copies import drop_near_copies
 from traitscope.llm.packing import pack
 from traitscope.llm.quality_rules import keep_documents
+from traitscope.llm.queries import vocabulary
 from traitscope.llm.substring_dedup import remove_passages
 from traitscope.session import materialise
 
@@ -46,7 +45,7 @@ def passages(spark, docs, sf_dir):
 def packing(spark, docs, sf_dir):
     """Pieces of the texts' token ids, packed into sequences of 1024."""
     prepare(spark)
-    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return pack(docs, vocabulary("byte_bpe_50k.json"))
 
 
 STAGES = [
