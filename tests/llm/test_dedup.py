@@ -243,6 +243,34 @@ def test_passages_blocks_and_filter_do_not_change_the_result(spark):
     assert whole == Counter(map(tuple, D.repeated_passages(docs, block=2, filter_bits=8).collect()))
 
 
+def test_whole_passages_go(spark):
+    """Every word of a stretch of PASSAGE words or more that an earlier document has is removed."""
+    rng = random.Random(11)
+    fresh = iter(range(10**9))
+    new = lambda n: [f"w{next(fresh)}" for _ in range(n)]
+    rows, want = [], {}
+    for k in range(40):
+        passage = new(rng.randrange(D.PASSAGE, 120))
+        for copy in range(3):
+            # The second document has the passage's first half and a little more; the third has it all.
+            own = passage[: len(passage) // 2 + 20] if copy == 1 else passage
+            before, after = new(rng.randrange(0, 60)), new(rng.randrange(0, 60))
+            rows.append((3 * k + copy, " ".join(before + own + after)))
+            want[3 * k + copy] = (before, after) if copy and len(own) >= D.PASSAGE else (before + own + after, [])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = {r.doc_id: r.text.split() for r in D.remove_passages(docs).collect()}
+    full = [d for d, t in rows if len(want[d][0] + want[d][1]) < len(t.split())]
+    assert len(full) > 70
+    for d in full:
+        # A paragraph with another first or last word is still similar, so one word more may go at either end.
+        before, after = want[d]
+        assert left.get(d, []) in [before[: len(before) - x] + after[y:] for x in (0, 1) for y in (0, 1)]
+    assert all(left[d] == t.split() for d, t in rows if d % 3 == 0)
+    out = D.repeated_passages(docs).collect()
+    assert all(str(r.doc_id // 3 * 3) in r.keep_doc_ids.split(",") for r in out if r.removed)
+    assert all(str(r.cluster_id) in r.cluster_ids.split(",") for r in out)
+
+
 def test_passages_of_odd_rows(odd, empty):
     out = D.repeated_passages(odd)
     assert {r.doc_id for r in out.collect()} == {4, 5, 6, 7}

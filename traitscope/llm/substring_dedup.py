@@ -16,6 +16,10 @@ share a paragraph, wherever the passage stands.
    doc_id, then text hash) stay, those of its other documents are removed.
    Paragraphs of a document that touch are merged, and with the words between them those on one
    diagonal of one first document.
+5. Anchors leave up to ``GAP`` words at either end of a passage. Around the paragraphs near the ends
+   of a merged run every window of ``PARAGRAPH`` words is looked up, in all documents that have the
+   paragraph; a window that an earlier document has is removed too. So every stretch of ``PASSAGE``
+   words or more that an earlier document has goes to its last word.
 
 Defined cases: null and short texts (under ``PARAGRAPH`` words) have no paragraph; null doc_ids
 count as larger than all others and are told apart by their texts; rows that agree in doc_id and
@@ -40,6 +44,8 @@ from traitscope.session import materialise
 
 SHINGLE, PARAGRAPH, PASSAGE, SIMILARITY, RECALL, ROWS = 5, 16, 50, 0.8, 0.98, 2
 BLOCK, FILTER_BITS = 2048, 27
+#: Words from an end of a common passage to the nearest common paragraph, at most.
+GAP = PASSAGE - PARAGRAPH
 M64 = (1 << 64) - 1
 
 
@@ -115,31 +121,39 @@ def anchors(docs: np.ndarray, shingles: np.ndarray, window: int) -> np.ndarray:
     return picked[~same]  # of a run of one word only the first
 
 
-def paragraphs(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
-    """Anchored paragraphs of concatenated texts with their hash, band keys and shingles."""
-    docs, starts, ends, hashes = words_of(data, offsets)
-    n = len(docs) - PARAGRAPH + 1
-    if n <= 0:
-        n = 0
+def _anchored(docs: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First words of the paragraphs, and the shingle that begins at every word."""
+    n = max(len(docs) - PARAGRAPH + 1, 0)
     count = max(len(docs) - SHINGLE + 1, 0)
     raw = np.zeros(count, np.uint64)
     for j in range(SHINGLE):
         raw += hashes[j : j + count] * IN_SHINGLE[j]
     shingles = _mix(raw)
     able = np.flatnonzero(docs[:n] == docs[PARAGRAPH - 1 : PARAGRAPH - 1 + n])
-    at = able[anchors(docs[able], shingles[able], PASSAGE - PARAGRAPH + 1)]
-    own = shingles[at[:, None] + np.arange(PARAGRAPH - SHINGLE + 1)]
-    least = np.stack([(own * a + b).min(1) for a, b in zip(PERM, SHIFT)], 1) if len(at) else np.zeros((0, BANDS * ROWS), np.uint64)
+    return able[anchors(docs[able], shingles[able], GAP + 1)], shingles
+
+
+def window_hashes(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Hash of the ``PARAGRAPH`` words from each place on."""
     total = np.zeros(len(at), np.uint64)
     for j in range(PARAGRAPH):
         total += hashes[at + j] * IN_WORD[j]
+    return _mix(total).view(np.int64)
+
+
+def paragraphs(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
+    """Anchored paragraphs of concatenated texts with their hash, band keys and shingles."""
+    docs, starts, ends, hashes = words_of(data, offsets)
+    at, shingles = _anchored(docs, hashes)
+    own = shingles[at[:, None] + np.arange(PARAGRAPH - SHINGLE + 1)]
+    least = np.stack([(own * a + b).min(1) for a, b in zip(PERM, SHIFT)], 1) if len(at) else np.zeros((0, BANDS * ROWS), np.uint64)
     first = np.searchsorted(docs, docs[at], "left")
     keys = [
         _mix((least[:, ROWS * b : ROWS * (b + 1)] * IN_BAND).sum(1, dtype=np.uint64) + np.uint64(b)) for b in range(BANDS)
     ]
     return {
         "doc": docs[at],
-        "hash": _mix(total).view(np.int64),
+        "hash": window_hashes(hashes, at),
         "word": (at - first).astype(np.int32),
         "start": starts[at] - offsets[docs[at]],
         "end": ends[at + PARAGRAPH - 1] - offsets[docs[at]],
@@ -231,6 +245,49 @@ def _met_again(shared, bits: int):
     return run
 
 
+def _around(shared, bits: int):
+    """(doc_id, text_key, text) -> the paragraphs in the bitmap with the windows up to ``GAP`` words before and after."""
+    steps = np.r_[-GAP:0, 1 : GAP + 1]
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = shared.value
+        for batch in source:
+            for a, data, offsets in text_rows(batch, 2):
+                docs, starts, ends, hashes = words_of(data, offsets)
+                at, _ = _anchored(docs, hashes)
+                names = window_hashes(hashes, at)
+                cell = bit_of(names, bits)
+                on = np.flatnonzero(cells[cell >> np.uint64(6)] >> (cell & np.uint64(63)) & np.uint64(1))
+                for b in range(0, len(on), 1 << 12):
+                    own = at[on[b : b + (1 << 12)]]
+                    first = np.searchsorted(docs, docs[own], "left")
+                    last = np.searchsorted(docs, docs[own], "right") - PARAGRAPH
+                    places = own[:, None] + steps
+                    ok = (places >= first[:, None]) & (places <= last[:, None])
+                    flat, of = places[ok], np.nonzero(ok)[0]
+                    rows = pa.array(docs[own] + a)
+                    base = offsets[docs[flat]]
+                    fields = [
+                        pa.array(window_hashes(hashes, flat)),
+                        pa.array((flat - first[of]).astype(np.int32)),
+                        pa.array((starts[flat] - base).astype(np.int32)),
+                        pa.array((ends[flat + PARAGRAPH - 1] - base).astype(np.int32)),
+                    ]
+                    cuts = pa.array(np.r_[0, np.cumsum(ok.sum(1))].astype(np.int32))
+                    windows = pa.ListArray.from_arrays(cuts, pa.StructArray.from_arrays(fields, ["window", "word", "start", "end"]))
+                    columns = [
+                        pa.array(names[on[b : b + (1 << 12)]]),
+                        batch.column(0).take(rows),
+                        batch.column(1).take(rows),
+                        pa.array((own - first).astype(np.int32)),
+                        windows,
+                    ]
+                    yield pa.RecordBatch.from_arrays(columns, ["paragraph", "doc_id", "text_key", "at", "windows"])
+
+    return run
+
+
+AROUND = "paragraph long, doc_id long, text_key long, at int, windows array<struct<window:bigint,word:int,start:int,end:int>>"
 MEMBER = "bkey long, doc_id long, text_key long, paragraph long, word int, start long, end long, shingles binary"
 EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -314,7 +371,9 @@ def repeated_passages(docs: DataFrame, block: int = BLOCK, filter_bits: int = FI
     """Passages of ``docs`` (doc_id, text) that repeat across documents, one row for each and its document.
 
     doc_id, text_key, first_word, n_words, start, end (bytes of the text), keep_doc_id (document of
-    the copy that stays), cluster_id, removed (false for the copies that stay).
+    the copy that stays), cluster_id, removed (false for the copies that stay), keep_doc_ids and
+    cluster_ids (all of a merged run, apart by commas; keep_doc_id and cluster_id are the least). A
+    stretch without a removed paragraph of its own has its windows' hashes as clusters.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(whole()).alias("text_key"), whole().alias("text"))
@@ -341,35 +400,85 @@ def repeated_passages(docs: DataFrame, block: int = BLOCK, filter_bits: int = FI
     place = ["doc_id", "text_key", "word", "start", "end"]
     members = found.select(*place, "paragraph").distinct()
     members = salted_join(members, roots, ["paragraph"], F.xxhash64("word", "text_key"), salts=4, how="left", written=True)
-    members = materialise(members.select(*place, F.coalesce("root", "paragraph").alias("cluster_id")), "passage-clusters")
+    members = materialise(members.select(*place, "paragraph", F.coalesce("root", "paragraph").alias("cluster_id")), "passage-clusters")
+    marked = _runs(_headed(members, "cluster_id", "passage-heads"))
+    marked = materialise(marked, "passage-marked")
+    ends = materialise(_ends(marked), "passage-ends")
+    shared = spark.sparkContext.broadcast(bitmap(ends.select("paragraph"), filter_bits))
+    around = docs.mapInArrow(trimmed(_around(shared, filter_bits)), AROUND)
+    around = salted_join(around, ends, ["paragraph"], F.xxhash64("at", "text_key"), salts=4, written=True)
+    wanted = F.filter("windows", lambda w: (w["word"] <= F.col("at") - F.col("left")) | (w["word"] >= F.col("at") + F.col("right")))
+    windows = materialise(around.select("doc_id", "text_key", F.inline(wanted)), "passage-windows")
+    return _merged(marked, _headed(windows, "window", "passage-window-heads"))
+
+
+def _headed(members: DataFrame, name: str, label: str) -> DataFrame:
+    """The rows whose ``name`` several documents have, with its first place (head), and whether they are removed."""
     order = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "text_key", "word")
     document = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "text_key")
-    heads = members.groupBy("cluster_id").agg(F.min(order).alias("head"), F.max(document).alias("last"))
+    heads = members.groupBy(name).agg(F.min(order).alias("head"), F.max(document).alias("last"))
     heads = heads.where(~F.struct("head.z", "head.doc_id", "head.text_key").eqNullSafe(F.struct("last.z", "last.doc_id", "last.text_key")))
-    heads = materialise(heads.select("cluster_id", "head"), "passage-heads")
-    marked = salted_join(members, heads, ["cluster_id"], F.xxhash64("word", "text_key"), written=True)
+    heads = materialise(heads.select(name, "head"), label)
+    headed = salted_join(members, heads, [name], F.xxhash64("word", "text_key"), written=True)
     stays = F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("text_key") == F.col("head.text_key"))
-    marked = marked.withColumn("removed", ~stays)
-    return _merged(marked)
+    return headed.withColumn("removed", ~stays)
 
 
-def _merged(marked: DataFrame) -> DataFrame:
-    """Join the paragraphs of a document that touch, or continue each other on one diagonal."""
+def _runs(marked: DataFrame) -> DataFrame:
+    """Number the runs of a document's paragraphs that touch, or continue each other on one diagonal."""
     line = F.xxhash64("head.doc_id", "head.text_key", F.col("word") - F.col("head.word"))
     by = Window.partitionBy("doc_id", "text_key", "removed").orderBy("word", "cluster_id")
     apart = F.col("word") - F.lag("word").over(by)
     goes_on = (apart <= PARAGRAPH) | ((F.col("line") == F.lag("line").over(by)) & (apart <= PASSAGE))
     step = marked.withColumn("line", line).withColumn("new", F.when(goes_on, 0).otherwise(1))
+    return step.withColumn("run", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0))).drop("line", "new")
+
+
+def _ends(marked: DataFrame) -> DataFrame:
+    """Paragraphs removed near an end of a run, and how far before (left) or after (right) them its outside begins.
+
+    Not the outermost alone: that one may be no anchor in the document with the longer common stretch.
+    """
+    run = Window.partitionBy("doc_id", "text_key", "removed", "run")
+    left = F.col("word") - F.min("word").over(run) + 1
+    right = F.max("word").over(run) - F.col("word") + 1
+    near = marked.where("removed").select("paragraph", left.alias("left"), right.alias("right"))
+    # Windows touch the paragraph, which may be the outermost one in the other document.
+    touch = [F.when(F.col(c) <= GAP + 1, F.least(c, F.lit(PARAGRAPH))).alias(c) for c in ("left", "right")]
+    near = near.select("paragraph", *touch)
+    return near.where("left is not null or right is not null").groupBy("paragraph").agg(F.min("left").alias("left"), F.min("right").alias("right"))
+
+
+def _merged(marked: DataFrame, windows: DataFrame) -> DataFrame:
+    """Runs and windows of a document that touch, as one passage."""
+    place = ["doc_id", "text_key", "removed"]
+    keeps = F.collect_set(F.coalesce(F.col("head.doc_id").cast("string"), F.lit("null"))).alias("keeps")
+    spans = [F.min("word").alias("word"), (F.max("word") + PARAGRAPH).alias("until"), F.min("start").alias("start"), F.max("end").alias("end")]
+    least = F.min("head.doc_id").alias("keep")
+    runs = marked.groupBy(*place, "run").agg(*spans, least, keeps, F.min("cluster_id").alias("cluster"), F.collect_set("cluster_id").alias("clusters"))
+    more = windows.groupBy(*place, "word").agg(
+        F.first("start").cast("long").alias("start"), F.first("end").cast("long").alias("end"), F.first("head.doc_id").alias("keep"), F.min("window").alias("cluster")
+    )
+    keep = F.array(F.coalesce(F.col("keep").cast("string"), F.lit("null"))).alias("keeps")
+    more = more.select(*place, "word", (F.col("word") + PARAGRAPH).alias("until"), "start", "end", "keep", keep, "cluster", F.array("cluster").alias("clusters"), F.lit(True).alias("_window"))
+    by = Window.partitionBy(*place).orderBy("word", "until")
+    before = F.max("until").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    step = runs.drop("run").withColumn("_window", F.lit(False)).unionByName(more).withColumn("new", F.when(F.col("word") <= before, 0).otherwise(1))
     step = step.withColumn("run", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    out = step.groupBy("doc_id", "text_key", "removed", "run").agg(
+    every = lambda lists: F.concat_ws(",", F.array_sort(F.array_distinct(F.flatten(F.collect_list(lists)))).cast("array<string>"))
+    # Windows have ids of their own only where they touch no paragraph.
+    step = step.withColumn("alone", F.min("_window").over(Window.partitionBy(*place, "run")))
+    own = ~F.col("_window") | F.col("alone")
+    return step.groupBy(*place, "run").agg(
         F.min("word").alias("first_word"),
-        (F.max("word") + PARAGRAPH - F.min("word")).alias("n_words"),
+        (F.max("until") - F.min("word")).alias("n_words"),
         F.min("start").alias("start"),
         F.max("end").alias("end"),
-        F.min("cluster_id").alias("cluster_id"),
-        F.min("head.doc_id").alias("keep_doc_id"),
-    )
-    return out.select("doc_id", "text_key", "first_word", "n_words", "start", "end", "keep_doc_id", "cluster_id", "removed")
+        F.min("keep").alias("keep_doc_id"),
+        F.min(F.when(own, F.col("cluster"))).alias("cluster_id"),
+        every("keeps").alias("keep_doc_ids"),
+        every(F.when(own, F.col("clusters"))).alias("cluster_ids"),
+    ).select("doc_id", "text_key", "first_word", "n_words", "start", "end", "keep_doc_id", "cluster_id", "removed", "keep_doc_ids", "cluster_ids")
 
 
 @F.arrow_udf(StringType())
