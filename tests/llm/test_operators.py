@@ -318,6 +318,16 @@ def test_changed_notices_are_verified(spark):
 # --- toxicity ----------------------------------------------------------------------------
 
 
+def test_hidden_words_and_capitals_of_any_script():
+    of = lambda text: dict(zip(T.FEATURES, T.features(text, {}, {})))
+    far = "x" * 100 + "."
+    for text in ("you i d i o t there", "a i-d-i-o-t", f"{far}idi0t", "word\tidi0t\tword", "well-idi0t!", "i*d*i*o*t"):
+        assert of(text)["hidden_hits"] > 0, text
+    assert of("I am a man, e.g. of a to b c")["hidden_hits"] == 0
+    assert of("ÄÖÜ ist das")["shouted"] > 0 and of("ééé oui")["stretched"] > 0 and of("ÄÖÜ")["capitals"] > 0
+    assert {b"abcd-", b"abcdef-"} <= T._entries("abcdefg")
+
+
 def test_toxicity_on_held_out_rows(spark, folder):
     import os
 

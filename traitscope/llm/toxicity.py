@@ -19,6 +19,7 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from math import log, sqrt
 
 import numpy as np
@@ -33,11 +34,15 @@ from traitscope.session import materialise
 
 HELD, FOLDS, SAMPLE, ENTRIES, LEAST, THRESHOLD = 2, 4, 30_000, 400, 4, 0.3
 #: Lengths, in bytes, of the word beginnings that may become entries.
-BEGINNINGS = (5, 7)
+BEGINNINGS = (4, 5, 6, 7)
 #: Everything but letters separates words; bytes of other characters are parts of words.
 WORDS = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-#: Digits or signs between letters, where they stand for letters, and letters apart by single signs.
-INSIDE = re.compile(r"(?<=[^\W\d_])[0-9@$!*+|]+(?=[^\W\d_])|(?<=[^\W\d_])[.\-*_](?=[^\W\d_][.\-*_][^\W\d_])")
+#: Digits or signs between letters, where they stand for letters, and the run of letters and signs around them.
+INSIDE, RUN, SIGNS = re.compile(r"(?<=[^\W\d_])[0-9@$!*+|]+(?=[^\W\d_])"), re.compile(r"(?:[^\W_]|[@$!*+|])*"), "0123456789@$!*+|"
+#: Four or more letters apart by single signs or blanks.
+SPACED = re.compile(r"(?<![^\W\d_])[^\W\d_](?:[.\-*_ ][^\W\d_](?![^\W\d_])){3,}")
+#: Characters looked at on either side of a sign, and the longest word looked up among letters that stand apart.
+REACH, LONGEST = 64, 24
 LEET = str.maketrans("013457@$!|+", "oieastasiit")
 SECOND = set(
     w.encode() for w in "you your yours yourself u ur du dich dir dein deine deiner deinem deinen tu te toi ton ta tes vous votre vos usted ustedes tú ti tuyo vosotros os".split()
@@ -102,12 +107,28 @@ def _runs(mask: np.ndarray, n: int = 3) -> int:
     return int(np.count_nonzero(np.logical_and.reduce([mask[i : i + size] for i in range(n)])))
 
 
-def _hidden(text: str, at: int) -> bytes:
-    """The run of non-blanks around a place, with signs read as letters."""
-    a = max(text.rfind(" ", 0, at), text.rfind("\n", 0, at)) + 1
-    ends = [e for e in (text.find(" ", at), text.find("\n", at)) if e >= 0]
-    token = text[a : min(ends, default=len(text))][:64]
-    return re.sub(r"[\W_]", "", token.lower().translate(LEET)).encode()
+@lru_cache(1)
+def _letters() -> tuple[np.ndarray, np.ndarray]:
+    """Of every code point, whether it is a capital and whether it is a letter."""
+    every = [chr(c) for c in range(0x110000)]
+    return np.array([c.isupper() for c in every]), np.array([c.isalpha() for c in every])
+
+
+def _hidden(text: str) -> tuple[int, list[list[bytes]]]:
+    """Number of signs inside words and of spaced words, and for each place the words that it may hide."""
+    found, count = {}, 0
+    for m in SPACED.finditer(text):
+        count += 1
+        word = re.sub(r"[\W_]", "", m[0].lower())
+        # A word of one letter may stand beside the spaced word.
+        found[m.start()] = [word[a : a + n].encode() for a in range(len(word)) for n in range(4, min(LONGEST, len(word) - a) + 1)]
+    for m in INSIDE.finditer(text):
+        count += 1
+        at = m.start()
+        left = RUN.match(text[max(0, at - REACH) : at][::-1])[0]
+        token = (left[::-1] + RUN.match(text, at, at + REACH)[0]).strip(SIGNS)
+        found.setdefault(at - len(left), [re.sub(r"[\W_]", "", token.lower().translate(LEET)).encode()])
+    return count, list(found.values())
 
 
 def features(text: str, words_known: dict[bytes, float], starts_known: dict[bytes, float]) -> list[float]:
@@ -126,13 +147,17 @@ def features(text: str, words_known: dict[bytes, float], starts_known: dict[byte
     for i in hits if seconds else ():
         j = bisect_left(seconds, i)
         gaps.append(min(abs(i - seconds[k]) for k in (j - 1, j) if 0 <= k < len(seconds)))
-    mixed = [m.start() for m in INSIDE.finditer(text)]
-    hidden = sum(w in words_known or w in INSULTS for w in {_hidden(text, at) for at in mixed})
+    mixed, places = _hidden(text)
+    hidden = sum(any(w in words_known or w in INSULTS for w in place) for place in places)
     data = text.encode()
     chars = len(data) or 1
-    codes, small = np.frombuffer(data, np.uint8), np.frombuffer(lowered, np.uint8)
-    upper = (codes >= 65) & (codes <= 90)
-    again = (small[1:] == small[:-1]) & (small[1:] >= 97) & (small[1:] <= 122)
+    if len(data) == len(text):
+        codes, small = np.frombuffer(data, np.uint8), np.frombuffer(lowered, np.uint8)
+        upper, letter = (codes >= 65) & (codes <= 90), (small >= 97) & (small <= 122)
+    else:
+        codes, small = (np.frombuffer(t.encode("utf-32-le"), np.uint32) for t in (text, text.lower()))
+        upper, letter = _letters()[0][codes], _letters()[1][small]
+    again = (small[1:] == small[:-1]) & letter[1:]
     marks = len(data) - len(data.translate(None, b"!\"#$%&'()*+,-./:;<=>?@[]^_`{|}~"))
     loud = len(data) - len(data.translate(None, b"!?"))
     return [
@@ -154,7 +179,7 @@ def features(text: str, words_known: dict[bytes, float], starts_known: dict[byte
         loud / chars,
         marks / chars,
         _runs(again, 2) / n,
-        len(mixed) / n,
+        mixed / n,
         log(1 + hidden),
     ]
 
