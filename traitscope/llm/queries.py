@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from traitscope.llm.common import read
+from traitscope.llm.conversation_repair import conversation_repair
 from traitscope.llm.exact_dedup import exact_dedup
 from traitscope.llm.licenses import scan_licenses
 from traitscope.llm.lm_scoring import score_texts
@@ -80,3 +81,8 @@ def op9_simhash(spark, folder):
 @query
 def op10_toxicity(spark, folder):
     return toxicity(read(spark, folder, "documents"), read(spark, folder, "labels"))
+
+
+@query
+def op11_conversation_repair(spark, folder):
+    return conversation_repair(read(spark, folder, "conversations"))
