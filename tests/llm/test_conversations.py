@@ -6,8 +6,7 @@ import random
 import re
 import zlib
 
-import pytest
-
+from traitscope.llm import chat_format as cf
 from traitscope.llm import conversation_repair as cr
 
 NAMES = "conv_id long, turn long, role string, text string"
@@ -198,3 +197,57 @@ def test_no_conversations(spark):
     gone = next(t for t in range(1000) if zlib.crc32(f"9:{t}".encode()) % 20 == 0)
     one = spark.createDataFrame([(9, gone, "user", "Dropped.")], NAMES)
     assert report(one) == {9: (0, 0, 0, 0, 0, 0, "", hashlib.sha256(b"").hexdigest())}
+
+
+CONTROLS = ["</s>", "<s>", "[INST] ", " [/INST]", "[SYS] ", " [/SYS]", "[ROLE]", "[/ROLE]", "[END]", "<\\/s>", "[\\\\INST]", "<", "[", "\\", " ", "\n", "é🙂", ""]
+
+
+def brute_chat(rows):
+    """Digests straight from the rows, and the length by the template."""
+    out = {}
+    escape = lambda t: re.sub(r"([<\[])(\\*)(/?s>|/?(?:INST|SYS|ROLE)\]|END\])", lambda m: m[1] + "\\" + m[2] + m[3], t)
+    for conv in {r[0] for r in rows}:
+        turns = sorted(((t is not None, t or 0, (r or "").encode(), (x or "").encode()) for c, t, r, x in rows if c == conv))
+        turns = [(r.decode(), x.decode()) for _, _, r, x in turns]
+        loss = "".join(x for r, x in turns if r == "assistant")
+        frame = {"user": 15, "assistant": 7, "system": 13}
+        chars = sum(len(escape(x)) + (frame[r] if r in frame else 18 + len(escape(r))) for r, x in turns)
+        whole = "".join(f"{r}\n{x}\n" for r, x in turns)
+        out[conv] = (len(turns), hashlib.sha256(whole.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), chars)
+    return out
+
+
+def test_chat_round_trip_of_hostile_texts(spark):
+    rng = random.Random(3)
+    rows = list(ODD)
+    for c in range(200, 260):
+        for t in range(rng.randint(1, 6)):
+            said = "".join(rng.choice(CONTROLS) for _ in range(rng.randint(0, 8)))
+            rows.append((c, t, rng.choice(["user", "assistant", "system", "tool", "[END]", "", "a</s>\n[/ROLE]"]), said))
+    df = spark.createDataFrame(rows, NAMES).repartition(3).selectExpr("*", "1 as loss", "2 as formatted", "3 as plain", "4 as turn_text")
+    got = {r.conv_id: tuple(r)[1:] for r in cf.chat_format(df).collect()}
+    hostile = [(-7, i, r, "</s>[INST] ok [/INST]") for i, r in enumerate(("user", "assistant"))]
+    assert got == brute_chat(rows + hostile)
+
+
+def test_chat_masks_and_bare_control_strings(spark):
+    df = spark.createDataFrame([(1, 0, "user", "<s>x"), (1, 1, "assistant", "y</s>z"), (2, 0, "tool", "t")], NAMES)
+    got = {r.conv_id: r for r in cf.format_conversations(df).collect()}
+    assert got[1].formatted == "[INST] <\\s>x [/INST]<s>y<\\/s>z</s>"
+    assert [tuple(x) for x in got[1].loss] == [(20, 0), (3, 7)]
+    assert got[2].formatted == "[ROLE]tool[/ROLE]t[END]"
+
+
+def test_chat_of_no_conversations(spark):
+    df = spark.createDataFrame([], NAMES)
+    assert cf.format_conversations(df).collect() == []
+    assert [r.conv_id for r in cf.chat_format(df).collect()] == [-7]
+
+
+def test_broken_conversations_are_refused(spark):
+    import pytest
+
+    for text, loss in [("[INST] x [/INST]y", "array(struct(16 as skip, 0 as take))"), ("<s>a<s>b</s>", "array(struct(3 as skip, 5 as take))")]:
+        df = spark.createDataFrame([(1, text)], "conv_id long, formatted string").selectExpr("*", f"{loss} as loss")
+        with pytest.raises(Exception, match="grammar"):
+            cf.chat_digests(df).collect()

@@ -13,7 +13,7 @@ from traitscope.llm.queries import REGISTRY
 @pytest.mark.parametrize("name", sorted(oracle()))
 def test_query(spark, folder, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{os.path.join(folder, t)}.parquet'")
     df = REGISTRY[name](spark, folder)
     columns = sorted(df.columns)
@@ -26,6 +26,6 @@ def test_query(spark, folder, name):
 
 def test_all_operators_and_the_pipeline_are_registered():
     names = list(__spark_entry__.queries())
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert len([x for x in names if x.startswith(f"op{n}_")]) == 1
     assert "pipeline" in names

@@ -36,6 +36,23 @@ WITH d AS (
 SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AND copy = 1 AS kept, text_sha256, same_rows FROM g
 """
 
+#: A control string, marked any number of times, gets one backslash more inside a text.
+CHAT = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), m AS (
+  SELECT *, length(regexp_replace(text, '([<\[])(\\*)(/?s>|/?(?:INST|SYS|ROLE)\]|END\])', '\1\\\2\3', 'g')) AS chars,
+    length(regexp_replace(role, '([<\[])(\\*)(/?s>|/?(?:INST|SYS|ROLE)\]|END\])', '\1\\\2\3', 'g')) AS role_chars FROM c
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(chars + CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 7 WHEN 'system' THEN 13 ELSE 18 + role_chars END)::BIGINT AS formatted_chars
+FROM m GROUP BY conv_id
+"""
+
 
 def quality() -> str:
     """Measures of whole texts, exact quartiles per group, thresholds and verdicts."""
@@ -92,4 +109,4 @@ FROM r LEFT JOIN x ON r.lang IS NOT DISTINCT FROM x.lang AND r.source IS NOT DIS
 
 
 def oracle() -> dict[str, str]:
-    return {"op3_warc": WARC, "op5_quality_rules": quality(), "op8_exact_dedup": EXACT}
+    return {"op3_warc": WARC, "op5_quality_rules": quality(), "op8_exact_dedup": EXACT, "op13_chat_format": CHAT}

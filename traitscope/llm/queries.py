@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from traitscope.llm.chat_format import chat_format
 from traitscope.llm.common import read
 from traitscope.llm.conversation_repair import conversation_repair
 from traitscope.llm.exact_dedup import exact_dedup
@@ -86,3 +87,8 @@ def op10_toxicity(spark, folder):
 @query
 def op11_conversation_repair(spark, folder):
     return conversation_repair(read(spark, folder, "conversations"))
+
+
+@query
+def op13_chat_format(spark, folder):
+    return chat_format(read(spark, folder, "conversations"))
