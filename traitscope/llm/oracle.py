@@ -53,6 +53,34 @@ SELECT conv_id, count(*) AS n_turns,
 FROM m GROUP BY conv_id
 """
 
+PHRASES = r"""
+WITH w AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents)
+), n AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY lang
+), g AS (
+  SELECT lang, m, ws[i:i + m - 1] AS ws, array_to_string(ws[i:i + m - 1], ' ') AS phrase, count(*) AS f
+  FROM (SELECT lang, ws, m, unnest(range(1, len(ws) - m + 2)) AS i FROM w, range(1, 6) t(m) WHERE len(ws) >= m)
+  GROUP BY ALL HAVING count(*) >= 100
+), cuts AS (
+  SELECT c.lang, c.phrase, c.f AS a, l.f AS l, r.f AS r, n.n, k, ((1000::HUGEINT * c.f * n.n) // (l.f::HUGEINT * r.f))::BIGINT AS score
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM g WHERE m > 1) c JOIN n USING (lang)
+  JOIN g l ON l.lang = c.lang AND l.phrase = array_to_string(c.ws[1:k], ' ')
+  JOIN g r ON r.lang = c.lang AND r.phrase = array_to_string(c.ws[k + 1:], ' ')
+), best AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), inner_parts AS (
+  SELECT DISTINCT lang, array_to_string(ws[i:i + size - 1], ' ') AS phrase, f
+  FROM (SELECT *, unnest(range(1, m - size + 2)) AS i FROM (SELECT *, unnest(range(2, m)) AS size FROM g WHERE m > 2))
+), kept AS (
+  SELECT b.* FROM best b WHERE NOT EXISTS (FROM inner_parts p WHERE p.lang = b.lang AND p.phrase = b.phrase AND 100 * p.f >= 100 * b.a)
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM kept QUALIFY rank <= 2000
+"""
+
 
 def quality() -> str:
     """Measures of whole texts, exact quartiles per group, thresholds and verdicts."""
@@ -109,4 +137,4 @@ FROM r LEFT JOIN x ON r.lang IS NOT DISTINCT FROM x.lang AND r.source IS NOT DIS
 
 
 def oracle() -> dict[str, str]:
-    return {"op3_warc": WARC, "op5_quality_rules": quality(), "op8_exact_dedup": EXACT, "op13_chat_format": CHAT}
+    return {"op3_warc": WARC, "op5_quality_rules": quality(), "op8_exact_dedup": EXACT, "op12_phrases": PHRASES, "op13_chat_format": CHAT}

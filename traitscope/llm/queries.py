@@ -13,6 +13,7 @@ from traitscope.llm.exact_dedup import exact_dedup
 from traitscope.llm.licenses import scan_licenses
 from traitscope.llm.lm_scoring import score_texts
 from traitscope.llm.packing import pack
+from traitscope.llm.phrases import phrase_collocations
 from traitscope.llm.quality_rules import quality_rules
 from traitscope.llm.sentencepiece_codec import sentencepiece_code
 from traitscope.llm.simhash import simhash_components
@@ -89,6 +90,11 @@ def op11_conversation_repair(spark, folder):
     return conversation_repair(read(spark, folder, "conversations"))
 
 
+@query
+def op12_phrases(spark, folder):
+    return phrase_collocations(read(spark, folder, "documents"))
+
+
 @query
 def op13_chat_format(spark, folder):
     return chat_format(read(spark, folder, "conversations"))
