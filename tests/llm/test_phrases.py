@@ -76,19 +76,28 @@ def test_phrases_of_the_table(spark, documents):
 
 def test_totals_of_stripes_are_the_prefixes_counts(spark):
     df = spark.createDataFrame([(i, "to be or not to be. to be", "en") for i in range(60)], NAMES).select("lang", "text")
-    first = ph.stripes(df, 1, [], ph.text_pieces)
-    second = ph.stripes(df, 2, [ph.frequent_filter(ph.extensions(first))], ph.text_pieces)
+    first = df.mapInArrow(ph._reading(1, {}), ph.PASS)
+    shared = {1: [ph.frequent_filter(ph.extensions(ph.stripes(first, 1)))], 2: [ph.bucket_filter(first)]}
+    second = ph.stripes(df.mapInArrow(ph._reading(2, shared), ph.PASS), 2)
     totals = {r.prefix: r.t for r in second.groupBy("prefix").agg({"total": "sum"}).withColumnRenamed("sum(total)", "t").collect()}
     assert totals == {"to": 180, "be": 180}
     assert {(r.prefix, r.word): r.f for r in ph.extensions(second).collect()} == {("to", "be"): 180}
 
 
-def test_full_filter_changes_nothing(spark, monkeypatch):
+def test_full_filters_change_nothing(spark, monkeypatch):
     docs = corpus()
-    monkeypatch.setattr(ph, "_loaded", lambda shared: type("All", (), {"__getitem__": lambda self, at: np.ones(len(at), bool)})())
+    monkeypatch.setattr(ph, "_lookup", lambda shared: lambda hashes: np.ones(len(hashes), bool))
     assert mined(spark.createDataFrame(docs, NAMES)) == brute([(lang, text) for _, text, lang in docs])
 
 
+def test_buckets_are_packed_and_added_up():
+    rng = np.random.default_rng(0)
+    numbers = np.unique(rng.integers(0, 1 << 20, 5000))
+    counts = rng.integers(1, 101, len(numbers))
+    back, times = ph._unpack(ph._pack(numbers, counts), len(numbers))
+    assert (back == numbers).all() and (times == counts).all()
+
+
 def test_scores_of_huge_counts():
     n = 10**17
     assert ph.worst_cut(10**15, n, [10**16, 10**15], [10**15, 10**16]) == (1000, 10**16, 10**16)

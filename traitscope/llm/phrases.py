@@ -4,22 +4,27 @@ For every language, phrases of 2 to 5 words that occur ``ENOUGH`` times or more
 cut, floor(1000 * a * n / (l * r)), and those that occur only inside a longer one are dropped.
 
 Method. A stripe is (language, prefix) -> {next word: count}; the empty prefix has the words
-themselves, and what follows the last word of a piece counts as END. A task keeps the words of its
-texts as numbers, counts all (prefix, next) of a level with array sorts, and emits its stripes; stripes
-of a prefix are merged element by element. From a merged stripe come the frequent extensions (counts of
+themselves, and what is no possible extension counts as END. A task keeps the words of its texts as
+numbers, counts all (prefix, next) of a level with array sorts, and emits its stripes; stripes of a
+prefix are merged element by element. From a merged stripe come the frequent extensions (counts of
 ``ENOUGH`` or more), the prefix's total (the sum with END) and the largest extension, which tells
 whether the prefix is subsumed on its right; the same entries, keyed without their first word, tell
-about the left. One level's frequent phrases limit the next level: both its parts must be frequent.
+about the left.
 
-That limit travels as a bitmap of fixed size over the phrases' hashes (``FILTER_BITS`` bits, 16 MB).
-A full bitmap lets more through, never less, so it changes work, not results; counts are of the words
-themselves, not of hashes. After the pairs, only the stretches of frequent pairs are written and read
-again by the levels above.
+Two filters of fixed size limit a level; both let more through when they are full, never less, so they
+change work, not results (counts are of the words themselves). One has the frequent phrases of the level
+below: both parts of a phrase must be in it. The other has the phrases' own hash buckets: while a level
+is counted, the next level's phrases are counted by bucket (``BUCKET_BITS`` bits of their hash, up to
+``ENOUGH``), as compressed runs of numbers that are added up range by range; only buckets that reach
+``ENOUGH`` may enter a stripe. So rare phrases cost a byte or two each in the shuffle, not their words.
+The texts are read twice; the second reading writes the stretches of possible pairs, which the levels
+above read.
 
 Skew. A task combines its counts before it emits, so a common prefix has one stripe per task, however
 often it occurs. The stripe of a common word may be as large as the vocabulary: stripes are cut by a hash
 of the next word into ``PARTS`` parts that are merged apart, in a stream of one part at a time. Scores
-and cuts are joined by phrase, and the first ``TOP`` of a language are cut down on the map side first.
+and cuts are joined by phrase, and the first ``TOP`` of a language are chosen per slice of it first.
+A task holds ``HELD`` bytes of text, but for a longer single text, with some ten numbers a word.
 
 Cases: a null lang is ``und``, a null text empty. Repeated rows count as often as they stand there; ids
 do not matter. Very long texts are whole. Ties: equal scores go by count, then by the phrase's UTF-8
@@ -29,42 +34,46 @@ an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from traitscope.llm.common import lowered, salted_join, trimmed, whole
+from traitscope.llm.common import salted_join, trimmed, whole
 from traitscope.session import materialise
 
 LONGEST, ENOUGH, TOP = 5, 100, 2000
-PIECE = re.compile(r"[.,;:!?\x0A-\x0D]")
 #: Parts of a stripe by the number of words of its phrases; short prefixes have long stripes.
 PARTS = {1: 512, 2: 16, 3: 4, 4: 4, 5: 4}
-FILTER_BITS = 27
-#: Words that a task holds before it counts them.
-HELD = 2_000_000
-#: Number of the mark between pieces, which no phrase spans.
-GAP = 0
+#: Bits of the filter of frequent phrases, of the buckets' numbers, and of a bucket's number in its range.
+FILTER_BITS, BUCKET_BITS, RANGE_BITS = 27, 28, 20
+#: Bytes of text that a task holds before it counts them.
+HELD = 24_000_000
+#: Slices of a language when its first phrases are chosen.
+SLICES = 32
 END = ""
 
-
-# --- numbers for words ---------------------------------------------------------------------
+#: Bytes as words are read: A-Z lowered, ends of pieces as a line feed, a tab as a blank.
+_BYTES = np.arange(256, dtype=np.uint8)
+_BYTES[65:91] += 32
+_BYTES[[*b".,;:!?", 10, 11, 12, 13]] = 10
+_BYTES[9] = 32
 
 _U = np.uint64
 
 
+# --- numbers for words ---------------------------------------------------------------------
+
+
 def _mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> _U(31))) * _U(0x9E3779B97F4A7C15)
     return h ^ (h >> _U(29))
 
 
 def word_hash(words: list[str]) -> np.ndarray:
-    import xxhash
-
-    return np.array([xxhash.xxh64_intdigest(w.encode()) for w in words], dtype=np.uint64)
+    return np.fromiter((xxhash.xxh64_intdigest(w) for w in words), dtype=np.uint64, count=len(words))
 
 
 def join_hash(first: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -77,112 +86,193 @@ def slots(hashes: np.ndarray, bits: int = FILTER_BITS) -> np.ndarray:
     return (hashes >> _U(64 - bits)).astype(np.int64)
 
 
-class _Held:
-    """Words of one task and language, as numbers: GAP between pieces, a number per different word."""
-
-    def __init__(self):
-        self.numbers, self.ids, self.size = {END: GAP}, [], 0
-
-    def add(self, words: list[str]):
-        number = self.numbers
-        self.ids.append([number.setdefault(w, len(number)) for w in words])
-        self.ids.append([GAP])
-        self.size += len(words) + 1
-
-    def arrays(self, lang: str):
-        """Numbers of all words, and per number the word and its hash in this language."""
-        words = list(self.numbers)
-        ids = np.fromiter((i for part in self.ids for i in part), dtype=np.int64, count=self.size)
+class Words:
+    """The words of some texts of a language: ``ids`` into ``names`` and ``hashes``; ``linked`` if the next word is in the same piece."""
+
+    def __init__(self, lang: str, texts: list[str]):
+        data = _BYTES[np.frombuffer("\n".join(texts).encode(), dtype=np.uint8)]
+        ends = data == 10
+        blank = ends | (data == 32)
+        edge = np.diff(np.r_[True, blank, True].view(np.int8))
+        starts = np.flatnonzero(edge == -1)
+        lengths = np.flatnonzero(edge == 1) - starts
+        offsets = np.r_[0, np.cumsum(lengths)].astype(np.int64)
+        piece = np.cumsum(ends, dtype=np.int32)[starts]
+        flat = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(data[~blank]))
+        coded = flat.dictionary_encode()
+        self.lang, self.ids = lang, coded.indices.to_numpy(zero_copy_only=False)
+        self.names = coded.dictionary.cast(pa.string())
+        self.linked = np.r_[piece[1:] == piece[:-1], np.zeros(min(len(piece), 1), dtype=bool)]
         with np.errstate(over="ignore"):
-            hashes = _mix(word_hash(words) + word_hash([lang])[0])
-        return ids, words, hashes
-
-
-def held_words(source, pieces):
-    """Batches (lang, text) -> (lang, _Held) whenever HELD words are together, and at the end."""
-    held, total = {}, 0
+            self.hashes = _mix(word_hash(self.names.to_pylist()) + word_hash([lang])[0])
+
+    def windows(self, filters: dict, level: int):
+        """(passes, shorter, hashes): whether the window of ``level`` words from each word passes, and that of one word less.
+
+        A window passes if it is inside a piece, both its shorter windows pass, and it is in the filter of its own length.
+        """
+        base = self.hashes[self.ids]
+        ok, h, shorter = np.ones(len(base), dtype=bool), base, None
+        for m in range(1, level + 1):
+            if m > 1:
+                shorter, below = ok, h
+                ok = np.zeros(len(base), dtype=bool)
+                ok[:-1] = shorter[:-1] & shorter[1:]
+                if m == 2:
+                    ok &= self.linked
+                at, h = np.flatnonzero(ok), np.zeros(len(base), dtype=np.uint64)
+                h[at] = join_hash(below[at], base[at + m - 1])
+            for lookup in filters.get(m, ()):
+                at = np.flatnonzero(ok)
+                ok[at] = lookup(h[at])
+        return ok, shorter, h
+
+
+def held_words(source):
+    """Batches (lang, text) -> Words whenever HELD bytes are together, and at the end."""
+    held, size = {}, 0
     for batch in source:
         for lang, text in zip(*[c.to_pylist() for c in batch.columns]):
-            for words in pieces(text):
-                held.setdefault(lang, _Held()).add(words)
-                total += len(words) + 1
-                if total >= HELD:
-                    yield from held.items()
-                    held, total = {}, 0
-    yield from held.items()
+            held.setdefault(lang, []).append(text)
+            size += len(text)
+            if size >= HELD:
+                yield from (Words(k, held.pop(k)) for k in list(held))
+                size = 0
+    yield from (Words(k, held.pop(k)) for k in list(held))
 
 
-def text_pieces(text: str):
-    """Words of the pieces of a text, A-Z lowered."""
-    for piece in PIECE.split(lowered(text)):
-        words = piece.replace("\t", " ").split(" ")
-        words = [w for w in words if w]
-        if words:
-            yield words
+# --- stripes and buckets -------------------------------------------------------------------
 
 
-def stretch_pieces(text: str):
-    """Words of the stretches written by ``stretches``, one a line."""
-    for line in text.split("\n"):
-        yield line.split(" ")
-
-
-# --- windows and stripes -------------------------------------------------------------------
-
-
-def _passing(ids, hashes, filters, level):
-    """Per word, whether the window of ``level`` words that it starts is inside a piece and both its shorter windows pass.
-
-    With the same for its first ``level - 1`` words, and the windows' hashes where they pass. ``filters``
-    are the bitmaps of the levels 1, 2, ... below.
-    """
-    base = hashes[ids]
-    ok, h, shorter = ids != GAP, base, None
-    for m in range(1, level + 1):
-        if m > 1:
-            shorter, below = ok, h
-            ok = np.r_[ok[:-1] & ok[1:], False]
-            at, h = np.flatnonzero(ok), np.zeros(len(ids), dtype=np.uint64)
-            h[at] = join_hash(below[at], base[at + m - 1])
-        if m < level:
-            at = np.flatnonzero(ok)
-            ok[at] = filters[m - 1][slots(h[at])]
-    return ok, shorter, h
-
-
-def _local(ids, starts, words: int):
-    """A number per different run of ``words`` words at ``starts``; and for each number one start."""
-    if not words:
+def _numbered(ids, starts, n: int):
+    """A number per different run of ``n`` words at ``starts``, and one start for each number."""
+    if not n:
         return np.zeros(len(starts), dtype=np.int64), starts[:1]
-    code = ids[starts]
-    for k in range(1, words):
+    code = ids[starts].astype(np.int64)
+    for k in range(1, n):
         _, code = np.unique(code, return_inverse=True)
-        code = code * (1 << 32) + ids[starts + k]
+        code = (code << 32) + ids[starts + k]
     _, first, code = np.unique(code, return_index=True, return_inverse=True)
     return code, starts[first]
 
 
-def stripe_rows(lang, ids, words, hashes, filters, level):
-    """Stripes of one task: prefix, part, next words, counts; END counts what is no frequent extension here."""
-    full, starts, _ = _passing(ids, hashes, filters, level)
-    prefixes = np.flatnonzero(full if starts is None else starts)
+def stripe_batches(words: Words, ok, shorter, level: int):
+    """Stripes of one task as batches; END counts what is no possible extension."""
+    prefixes = np.flatnonzero(ok if shorter is None else shorter)
     if not len(prefixes):
         return
-    last = np.minimum(prefixes + level - 1, len(ids) - 1)
-    nexts = np.where(full[prefixes], ids[last], GAP)
-    prefix, at = _local(ids, prefixes, level - 1)
-    code, count = np.unique(prefix * (1 << 32) + nexts, return_counts=True)
+    last = np.minimum(prefixes + level - 1, len(words.ids) - 1)
+    nexts = np.where(ok[prefixes], words.ids[last], len(words.names)).astype(np.int64)
+    prefix, at = _numbered(words.ids, prefixes, level - 1)
+    code, count = np.unique((prefix << 32) + nexts, return_counts=True)
     prefix, nexts = code >> 32, code & ((1 << 32) - 1)
-    part = (hashes[nexts] % _U(PARTS[level])).astype(np.int64)
-    order = np.lexsort((nexts, part, prefix))
+    part = (np.r_[words.hashes, _U(0)][nexts] % _U(PARTS[level])).astype(np.int32)
+    order = np.lexsort((part, prefix))
     prefix, nexts, part, count = prefix[order], nexts[order], part[order], count[order]
     new = np.flatnonzero(np.r_[True, (prefix[1:] != prefix[:-1]) | (part[1:] != part[:-1])])
-    names = {}
-    for a, b in zip(new, np.r_[new[1:], len(prefix)]):
-        p = prefix[a]
-        if p not in names:
-            names = {p: " ".join(words[i] for i in ids[at[p] : at[p] + level - 1])}
-        yield lang, names[p], int(part[a]), [words[i] for i in nexts[a:b]], count[a:b].tolist()
+    names = pa.concat_arrays([words.names, pa.array([END])])
+    spelled = [words.names.take(pa.array(words.ids[at + k])) for k in range(level - 1)]
+    spelled = pc.binary_join_element_wise(*spelled, " ") if spelled else pa.array([""])
+    bounds = np.r_[new, len(prefix)]
+    for i in range(0, len(new), 20_000):
+        cut = bounds[i : i + 20_001]
+        offsets, inside = pa.array((cut - cut[0]).astype(np.int32)), slice(cut[0], cut[-1])
+        yield {
+            "lang": pa.array([words.lang] * (len(cut) - 1)),
+            "prefix": spelled.take(pa.array(prefix[cut[:-1]])),
+            "part": pa.array(part[cut[:-1]]),
+            "nexts": pa.ListArray.from_arrays(offsets, names.take(pa.array(nexts[inside]))),
+            "counts": pa.ListArray.from_arrays(offsets, pa.array(count[inside])),
+        }
+
+
+def _pack(numbers: np.ndarray, counts: np.ndarray) -> bytes:
+    """Rising numbers below 2^32 and counts up to 255, compressed; the numbers as steps, byte by byte."""
+    steps = np.diff(numbers, prepend=0).astype("<u4").view(np.uint8).reshape(-1, 4).T
+    return pa.compress(np.ascontiguousarray(np.r_[steps, counts.astype(np.uint8)[None]]).tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpack(blob: bytes, n: int):
+    planes = np.frombuffer(pa.decompress(blob, 5 * n, codec="zstd", asbytes=True), dtype=np.uint8).reshape(5, n)
+    return np.cumsum(np.ascontiguousarray(planes[:4].T).view("<u4").ravel().astype(np.int64)), planes[4]
+
+
+def bucket_batches(words: Words, ok, h, level: int):
+    """Buckets of the phrases one word longer whose both parts pass, counted up to ENOUGH, range by range."""
+    longer = np.zeros(len(ok), dtype=bool)
+    longer[:-1] = ok[:-1] & ok[1:]
+    if level == 1:
+        longer &= words.linked
+    at = np.flatnonzero(longer)
+    if not len(at):
+        return
+    found = slots(join_hash(h[at], words.hashes[words.ids[at + level]]), BUCKET_BITS).astype(np.uint32)
+    numbers, counts = np.unique(found, return_counts=True)
+    counts = np.minimum(counts, ENOUGH)
+    which = numbers >> np.uint32(RANGE_BITS)
+    edges = np.r_[np.flatnonzero(np.r_[True, which[1:] != which[:-1]]), len(numbers)]
+    spans = list(zip(edges[:-1], edges[1:]))
+    inner = numbers & np.uint32((1 << RANGE_BITS) - 1)
+    yield {
+        "part": pa.array([int(which[a]) for a, _ in spans], pa.int32()),
+        "size": pa.array([int(b - a) for a, b in spans], pa.int32()),
+        "blob": pa.array([_pack(inner[a:b], counts[a:b]) for a, b in spans], pa.binary()),
+    }
+
+
+def stretch_batches(words: Words, pairs):
+    """The stretches in which every pair passes and that have three words at least, as texts of one line each."""
+    starts = np.flatnonzero(pairs)
+    if not len(starts):
+        return
+    cut = np.flatnonzero(np.diff(starts) != 1) + 1
+    first, last = starts[np.r_[0, cut]], starts[np.r_[cut - 1, len(starts) - 1]] + 1
+    long = last - first > 1
+    first, last = first[long], last[long]
+    size = last - first + 1
+    ends = np.cumsum(size)
+    if not len(ends):
+        return
+    at = np.arange(ends[-1]) + np.repeat(first - (ends - size), size)
+    named = words.names.take(pa.array(words.ids[at]))
+    for i in range(0, len(ends), 50_000):
+        stop = ends[i : i + 50_000]
+        begin = stop[0] - size[i]
+        part = pa.ListArray.from_arrays(pa.array(np.r_[0, stop - begin].astype(np.int32)), named.slice(begin, stop[-1] - begin))
+        lines = pc.binary_join(part, " ")
+        yield {"lang": pa.array([words.lang]), "text": pa.array(["\n".join(lines.to_pylist())])}
+
+
+#: What one reading of the texts writes: stripes (kind 0), buckets (1) and stretches (2).
+_PASS = {
+    "kind": pa.int32(), "lang": pa.string(), "prefix": pa.string(), "part": pa.int32(), "nexts": pa.list_(pa.string()),
+    "counts": pa.list_(pa.int64()), "size": pa.int32(), "blob": pa.binary(), "text": pa.string(),
+}
+PASS = "kind int, lang string, prefix string, part int, nexts array<string>, counts array<long>, size int, blob binary, text string"
+
+
+def _filled(kind: int, columns: dict) -> pa.RecordBatch:
+    n = len(next(iter(columns.values())))
+    columns = {"kind": pa.array(np.full(n, kind, dtype=np.int32)), **columns}
+    return pa.RecordBatch.from_arrays([columns[c].cast(t) if c in columns else pa.nulls(n, t) for c, t in _PASS.items()], list(_PASS))
+
+
+def _reading(level: int, shared: dict):
+    """One pass over texts: stripes of ``level``, buckets of the next one, and after the pairs the stretches."""
+
+    def run(source):
+        filters = {m: [_lookup(f) for f in several] for m, several in shared.items()}
+        for words in held_words(source):
+            if not len(words.ids):
+                continue
+            ok, shorter, h = words.windows(filters, level)
+            yield from (_filled(0, x) for x in stripe_batches(words, ok, shorter, level))
+            if level < LONGEST:
+                yield from (_filled(1, x) for x in bucket_batches(words, ok, h, level))
+            if level == 2:
+                yield from (_filled(2, x) for x in stretch_batches(words, ok))
+
+    return run
 
 
 STRIPE = "lang string, prefix string, part int, nexts array<string>, counts array<long>"
@@ -190,10 +280,11 @@ _STRIPE = [("lang", pa.string()), ("prefix", pa.string()), ("part", pa.int32()),
 
 
 def _batches(rows, fields, most=20_000, entries=200_000):
+    """Rows as batches; a row's fourth field is a list whose entries count."""
     out, size = [], 0
     for row in rows:
         out.append(row)
-        size += len(row[3]) if len(row) > 3 and isinstance(row[3], list) else 1
+        size += len(row[3]) if isinstance(row[3], list) else 1
         if len(out) >= most or size >= entries:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*out), fields)], [n for n, _ in fields])
             out, size = [], 0
@@ -201,15 +292,6 @@ def _batches(rows, fields, most=20_000, entries=200_000):
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*out), fields)], [n for n, _ in fields])
 
 
-def _emit(level, shared, pieces):
-    def run(source):
-        filters = [_loaded(s) for s in shared]
-        rows = (row for lang, held in held_words(source, pieces) for row in stripe_rows(lang, *held.arrays(lang), filters, level))
-        yield from _batches(rows, _STRIPE)
-
-    return run
-
-
 def _merged(source):
     """Sorted stripes -> merged stripes: total, and the extensions met ENOUGH times."""
     key, counter = None, {}
@@ -234,25 +316,25 @@ def _merged(source):
     yield from _batches(rows(), [*_STRIPE, ("total", pa.int64())])
 
 
-def stripes(texts: DataFrame, level: int, shared: list, pieces) -> DataFrame:
-    """Merged stripes of the phrases of ``level`` words: a written table."""
-    own = texts.mapInArrow(trimmed(_emit(level, shared, pieces)), STRIPE)
+def stripes(read: DataFrame, level: int) -> DataFrame:
+    """Merged stripes of one reading: a written table."""
+    own = read.where("kind = 0").select("lang", "prefix", "part", "nexts", "counts")
     dealt = own.repartition("lang", "prefix", "part").sortWithinPartitions("lang", "prefix", "part")
     return materialise(dealt.mapInArrow(trimmed(_merged), f"{STRIPE}, total long"), f"phrases-stripes{level}")
 
 
-# --- the filter of frequent phrases --------------------------------------------------------
+# --- the filters ---------------------------------------------------------------------------
 
 
 def _slot_rows(source):
     for batch in source:
         lang, prefix, nexts = [c.to_pylist() for c in batch.columns]
+        rows = [[*p.split(" "), w] if p else [w] for p, w in zip(prefix, nexts)]
+        if not rows:
+            continue
         with np.errstate(over="ignore"):
             add = word_hash(lang)
-            rows = [[*p.split(" "), w] if p else [w] for p, w in zip(prefix, nexts)]
-            if not rows:
-                continue
-            columns = [_mix(word_hash(list(c)) + add) for c in zip(*rows)]
+            columns = [_mix(word_hash(c) + add) for c in zip(*rows)]
         h = columns[0]
         for last in columns[1:]:
             h = join_hash(h, last)
@@ -264,52 +346,49 @@ def frequent_filter(extensions: DataFrame):
     at = extensions.select("lang", "prefix", "word").mapInArrow(trimmed(_slot_rows), "slot long")
     cells = at.groupBy(F.shiftright("slot", 6).alias("cell")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits"))
     cells = cells.toArrow()
-    out = np.zeros(1 << (FILTER_BITS - 6), dtype=np.int64)
-    out[cells["cell"].to_numpy()] = cells["bits"].to_numpy()
-    return extensions.sparkSession.sparkContext.broadcast(out)
+    return extensions.sparkSession.sparkContext.broadcast((FILTER_BITS, cells["cell"].to_numpy(), cells["bits"].to_numpy()))
 
 
-def _loaded(shared):
-    """The bitmap as a lookup of slots."""
-    cells = shared.value
+def _reached(source):
+    """Sorted buckets -> per range the bits of those that reach ENOUGH, as (cell, bits) of 64."""
+    now, sums = None, None
 
-    class Lookup:
-        def __getitem__(self, at):
-            return ((cells[at >> 6] >> (at & 63)) & 1).astype(bool)
+    def done():
+        bits = np.packbits(sums >= ENOUGH, bitorder="little").view("<i8")
+        cells = np.flatnonzero(bits)
+        start = now << (RANGE_BITS - 6)
+        return pa.RecordBatch.from_arrays([pa.array(cells + start), pa.array(bits[cells])], ["cell", "bits"])
 
-    return Lookup()
+    for batch in source:
+        for part, size, blob in zip(*[c.to_pylist() for c in batch.columns]):
+            if part != now:
+                if now is not None:
+                    yield done()
+                now, sums = part, np.zeros(1 << RANGE_BITS, dtype=np.uint16)
+            numbers, counts = _unpack(blob, size)
+            sums[numbers] = np.minimum(sums[numbers] + counts, ENOUGH)
+    if now is not None:
+        yield done()
 
 
-def _stretches(shared):
-    """Texts -> the stretches of three words or more in which every pair may be frequent, one a line."""
+def bucket_filter(read: DataFrame):
+    """A broadcast bitmap of BUCKET_BITS bits: the buckets of one reading that reach ENOUGH."""
+    own = read.where("kind = 1").select("part", "size", "blob").repartition("part").sortWithinPartitions("part")
+    cells = own.mapInArrow(trimmed(_reached), "cell long, bits long").toArrow()
+    return read.sparkSession.sparkContext.broadcast((BUCKET_BITS, cells["cell"].to_numpy(), cells["bits"].to_numpy()))
 
-    def run(source):
-        filters = [_loaded(s) for s in shared]
-
-        def rows():
-            for lang, held in held_words(source, text_pieces):
-                ids, words, hashes = held.arrays(lang)
-                ok, _, h = _passing(ids, hashes, filters, 2)
-                starts = np.flatnonzero(ok)
-                starts = starts[filters[1][slots(h[starts])]]
-                if not len(starts):
-                    continue
-                cut = np.flatnonzero(np.diff(starts) != 1) + 1
-                lines, size = [], 0
-                for run_ in np.split(starts, cut):
-                    if len(run_) < 2:
-                        continue
-                    lines.append(" ".join([words[i] for i in ids[run_[0] : run_[-1] + 2]]))
-                    size += len(lines[-1])
-                    if size > 1 << 20:
-                        yield lang, "\n".join(lines)
-                        lines, size = [], 0
-                if lines:
-                    yield lang, "\n".join(lines)
-
-        yield from _batches(rows(), [("lang", pa.string()), ("text", pa.string())], most=4)
 
-    return run
+def _lookup(shared):
+    """Hashes -> whether their slot is set in a broadcast bitmap."""
+    bits, cells, values = shared.value
+    flags = np.zeros(1 << (bits - 6), dtype=np.int64)
+    flags[cells] = values
+
+    def lookup(hashes):
+        at = slots(hashes, bits)
+        return ((flags[at >> 6] >> (at & 63)) & 1).astype(bool)
+
+    return lookup
 
 
 # --- phrases -------------------------------------------------------------------------------
@@ -347,19 +426,19 @@ def mine_phrases(docs: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     ``left`` counts the first 1, 2, ... words of a phrase and ``right`` the last ones, the phrase itself
     left out; ``subsumed`` tells whether one more word on either side is always the same.
     """
-    texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), whole().alias("text"))
-    shared, tables, source, pieces = [], [], texts, text_pieces
-    sizes = None
+    source = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), whole().alias("text"))
+    shared, tables, sizes = {}, [], None
     for level in range(1, LONGEST + 1):
-        merged = stripes(source, level, shared, pieces)
+        read = materialise(source.mapInArrow(trimmed(_reading(level, shared)), PASS), f"phrases-pass{level}")
+        merged = stripes(read, level)
         found = extensions(merged)
+        tables.append((merged, found))
         if level == 1:
             sizes = materialise(merged.groupBy("lang").agg(F.sum("total").alias("n")), "phrases-sizes")
-        tables.append((merged, found))
+        if level == 2:
+            source = read.where("kind = 2").select("lang", "text")
         if level < LONGEST:
-            shared.append(frequent_filter(found))
-        if level == 2 and LONGEST > 2:
-            source, pieces = materialise(texts.mapInArrow(trimmed(_stretches(shared)), "lang string, text string"), "phrases-stretches"), stretch_pieces
+            shared = {**shared, level: [frequent_filter(found)], level + 1: [bucket_filter(read)]}
     return _counted(tables), sizes
 
 
@@ -403,6 +482,9 @@ def phrase_collocations(docs: DataFrame) -> DataFrame:
         rows = table if rows is None else rows.unionByName(table)
     rows = salted_join(rows, sizes, ["lang"], F.xxhash64("phrase"), written=True).select("lang", "phrase", F.col("f").alias("a"), "n", "left", "right")
     scored = rows.mapInArrow(trimmed(_score_rows), "lang string, phrase string, a long, l long, r long, n long, score long")
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= TOP)
+    order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
+    piece = F.pmod(F.xxhash64("phrase"), F.lit(SLICES))
+    best = scored.withColumn("_slice", piece).withColumn("rank", F.row_number().over(Window.partitionBy("lang", "_slice").orderBy(*order)))
+    best = best.where(F.col("rank") <= TOP)
+    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= TOP)
     return ranked.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
