@@ -17,6 +17,7 @@ from traitscope.operators.passes import Passes, solve
 from traitscope.plans import solvers
 from traitscope.plans.explain import classification_weights, series_texts
 from traitscope.plans.models import ClusteringModel, Model, Reference
+from traitscope.plans.series import path_weights, series_path
 from traitscope.session import materialise, shared_folder, ship_package
 from traitscope.sources import problems, results
 from traitscope.sources.caches import EmbeddingCache, VerdictCache
@@ -857,32 +858,57 @@ def class_fitness(spark, folder):
     return spark.createDataFrame([(int(n), round(loss, 6))], "n bigint, loss double")
 
 
-def document_series(spark, folder, buckets: int) -> tuple[DataFrame, int]:
-    """Distinct documents in order, with 0-based time bucket and denotation."""
+def series_patterns(spark, folder) -> tuple[DataFrame, int]:
+    """Pattern table of the distinct documents in order, one place for each, and the number of places."""
     t = series_texts(docs(spark, folder).withColumnRenamed("text_id", "time"))
-    length = int(t.agg(F.max("t")).first()[0]) + 1
     phi = denote.phi_column("text", PREDICATES, scorers.TokenScorer())
-    return t.select(F.floor(F.col("t") * F.lit(buckets) / F.lit(length)).cast("int").alias("y"), phi.alias("phi")), length
-
-
-def series_fit(spark, folder):
-    rows, _ = document_series(spark, folder, 50)
+    rows = t.select(F.lit(0).alias("variant"), phi.alias("phi"), F.col("t").alias("y"), F.lit(1).cast("long").alias("cnt"))
     rows = materialise(rows, "series")
-    counts = materialise(patterns.pattern_counts(rows, 4).select("phi", F.col("cnt").alias("weight")), "counts")
-    by = Passes(rows).sums([solvers.bucket_sums(50, (), None)])[0].reshape(50, 5)
-    return solve(Passes(counts), [solvers.series_weights(4, by[:, 0], by[:, 1:], 1.0)])[0]
+    return rows, int(rows.agg(F.max("y")).first()[0]) + 1
 
 
 @query
 def series_fitness(spark, folder):
-    return spark.createDataFrame([(float(series_fit(spark, folder)[1]),)], "loss double")
+    """Loss of the series model with a weight vector per document."""
+    table, length = series_patterns(spark, folder)
+    runs, losses = series_path(table, 4, 1.0, length)
+    runs.drop()
+    return spark.createDataFrame([(length, losses[0])], "places bigint, loss double")
 
 
 @query
 def series_weights(spark, folder):
-    w, _ = series_fit(spark, folder)
-    rows = [(t, k, float(v)) for t, row in enumerate(w) for k, v in enumerate(row)]
-    return spark.createDataFrame(rows, "t int, k int, w double")
+    """The weights of every document's place."""
+    table, length = series_patterns(spark, folder)
+    weights = path_weights(series_path(table, 4, 1.0, length)[0], spark)
+    return weights.select("t", F.posexplode("w").alias("k", "w"))
+
+
+@query
+def series_certificate(spark, folder):
+    """The gradient of the convex series loss at every weight, from its definition: zero, so the weights are the best."""
+    table, length = series_patterns(spark, folder)
+    runs, _ = series_path(table, 4, 1.0, length)
+    weights = materialise(path_weights(runs, spark), "series-weights")
+    runs.drop()
+    bits = F.transform("phi", lambda b: b.cast("double"))
+    found = table.groupBy("phi").agg(F.sum("cnt").alias("c")).collect()  # at most 2^4 patterns
+    ps = F.array(*[F.struct(F.array(*[F.lit(float(b)) for b in r["phi"]]).alias("p"), F.log(F.lit(float(r["c"]))).alias("base")) for r in found])
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    e = F.transform(ps, lambda q: F.struct(q["p"].alias("p"), F.exp(dot(q["p"], F.col("w")) + q["base"] - F.col("top")).alias("e")))
+    wide = weights.withColumn("top", F.array_max(F.transform(ps, lambda q: dot(q["p"], F.col("w")) + q["base"])))
+    wide = wide.select("t", "w", e.alias("es"))
+    z = F.aggregate("es", F.lit(0.0), lambda s, q: s + q["e"])
+    share = lambda k: F.aggregate("es", F.lit(0.0), lambda s, q: s + q["e"] * q["p"][k])
+    means = F.array(*[share(k) / z for k in range(4)])
+    here = wide.select("t", "w", means.alias("mean")).join(table.select(F.col("y").alias("t"), bits.alias("phi")), "t")
+    before = weights.select((F.col("t") + 1).alias("t"), F.col("w").alias("before"))
+    after = weights.select((F.col("t") - 1).alias("t"), F.col("w").alias("after"))
+    both = here.join(before, "t", "left").join(after, "t", "left")
+    jump = lambda k: F.coalesce(F.col("w")[k] - F.col("before")[k], F.lit(0.0)) + F.coalesce(F.col("w")[k] - F.col("after")[k], F.lit(0.0))
+    grads = [(F.col("mean")[k] - F.col("phi")[k]) / length + 2.0 / ((length - 1) * 4) * jump(k) for k in range(4)]
+    named = both.select("t", F.posexplode(F.array(*grads)).alias("k", "g"))
+    return named.select("t", "k", (F.round(F.col("g") * length, 4) + 0.0).alias("gradient"))
 
 
 def vector_table(spark, folder) -> tuple[DataFrame, np.ndarray, int]:
@@ -982,7 +1008,7 @@ def fit_labels(spark, folder):
 @query
 def fit_trend(spark, folder):
     rows = docs(spark, folder).withColumnRenamed("text_id", "time")
-    return explain_trend(rows, 2, buckets=32, rounds=2).curves.select("time", "t", F.get("curve", F.lit(0)).alias("c0"), F.get("curve", F.lit(1)).alias("c1"))
+    return explain_trend(rows, 2).curves.select("time", "t", F.get("curve", F.lit(0)).alias("c0"), F.get("curve", F.lit(1)).alias("c1"))
 
 
 @query

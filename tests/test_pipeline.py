@@ -257,8 +257,10 @@ def test_trend_recovers_planted_predicates(spark):
     rng = np.random.default_rng(5)
     texts = [f"{'efgh'[rng.integers(4)]} {LETTERS[i // 40]} {rng.random():.12f}" for i in range(160)]
     rows = spark.createDataFrame([(2 * i, t) for i, t in enumerate(texts)] + [(999, texts[0])], "time bigint, text string")
-    out = explain_trend(rows, 3, buckets=160, gain=1e-3)
+    out = explain_trend(rows, 3, gain=1e-3)
     assert len(set(out.explanation.predicates) & set(LETTERS)) == 3
+    weights = out.weights().orderBy("t").collect()
+    assert [r["t"] for r in weights] == list(range(160)) and {len(r["w"]) for r in weights} == {3}
     curves = out.curves.orderBy("t").collect()
     assert len(curves) == 161 and curves[-1]["time"] == 999
     assert out.features.count() == 161

@@ -27,6 +27,7 @@ from ..operators.scorers import Committer, FirstMatchCommitter, Scorer, Similari
 from ..session import materialise, shared_folder
 from ..sources.caches import EmbeddingCache, VerdictCache
 from . import solvers
+from .series import path_weights, series_path
 
 # Softmax temperature, rounds of the search, candidates tried per predicate.
 TEMPERATURE, ROUNDS, EXPLORE = 0.1, 10, 5
@@ -439,8 +440,10 @@ class ClassificationModel(Model):
 class TimeSeriesModel(Model):
     """Which K predicates drift over time? ``texts`` has ``t``, the 0-based place in time.
 
-    There is one weight vector per bucket of neighbouring places; with at most ``buckets``
-    texts each place is its own bucket.
+    There is one weight vector per place. Scores that are not 0/1 (``binary=False``) leave no small
+    pattern table, so their places share weights in ``knots`` buckets of neighbours, and so do the
+    directions' searches, whose scores are real numbers: a softmax over all texts for every place
+    would be a product of both. ``buckets`` asks for shared weights everywhere.
     """
 
     absolute = True
@@ -451,21 +454,40 @@ class TimeSeriesModel(Model):
         k: int,
         goal: str | None = None,
         discontinuity_penalty: float = 1.0,
-        buckets: int = 512,
+        buckets: int | None = None,
+        knots: int = 512,
         **options,
     ):
         super().__init__(texts, k, goal, **options)
-        self.penalty, self.max_buckets = discontinuity_penalty, buckets
+        self.penalty, self.max_buckets = discontinuity_penalty, buckets or knots
+        self.each = buckets is None and self.binary
 
     def with_target(self, texts: DataFrame) -> DataFrame:
-        length = int(texts.agg(F.max("t")).first()[0]) + 1
-        self.buckets = min(length, self.max_buckets)
-        return texts.withColumn("y", F.floor(F.col("t") * F.lit(self.buckets) / F.lit(length)).cast("int"))
+        self.length = int(texts.agg(F.max("t")).first()[0]) + 1
+        self.buckets = min(self.length, self.max_buckets)
+        shared = F.floor(F.col("t") * F.lit(self.buckets) / F.lit(self.length)).cast("int")
+        return texts.withColumn("y", F.col("t").cast("long") if self.each else shared)
 
     def directions_solver(self, ks: list[int], begin: np.ndarray | None):
-        return solvers.series_directions(self.k, ks, self.seeds, begin, self.buckets, self.penalty, self.gain, self.bound)
+        places = self.length if self.each else self.buckets
+        return solvers.series_directions(self.k, ks, self.seeds, begin, self.buckets, self.penalty, self.gain, self.bound, places)
+
+    def weights(self) -> DataFrame:
+        """(t, w): the weights of every place (or bucket) under the current predicates."""
+        table = self.grouped(self.state, self.k).withColumn("variant", F.lit(0))
+        if self.each:
+            return path_weights(series_path(table, self.k, self.penalty, self.length)[0], self.spark)
+        _, w = self.bucket_losses(table, self.k)[0]
+        return self.spark.createDataFrame([(t, [float(v) for v in row]) for t, row in enumerate(w)], "t bigint, w array<double>")
 
     def losses(self, table: DataFrame, k: int) -> dict[int, float]:
+        if self.each:
+            runs, losses = series_path(table, k, self.penalty, self.length)
+            runs.drop()
+            return losses
+        return {variant: loss for variant, (loss, _) in self.bucket_losses(table, k).items()}
+
+    def bucket_losses(self, table: DataFrame, k: int) -> dict[int, tuple[float, np.ndarray]]:
         out = {}
         per_bucket = (
             table.groupBy("variant", "y")
@@ -481,6 +503,6 @@ class TimeSeriesModel(Model):
             at = part["y"].to_numpy(np.int64)
             sizes[at] = part["n"]
             sums[at] = part[[f"s{i}" for i in range(k)]].to_numpy(float)
-            ((_, loss),) = solve(source, [solvers.series_weights(k, sizes, sums, self.penalty, bound=self.table_bound(table, k))])
-            out[variant] = loss
+            ((w, loss),) = solve(source, [solvers.series_weights(k, sizes, sums, self.penalty, bound=self.table_bound(table, k))])
+            out[variant] = (loss, w)
         return out

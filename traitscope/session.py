@@ -78,3 +78,14 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     path = os.path.join(shared_folder(spark), "traitscope", f"{label}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a table of ``materialise`` that nothing reads any more."""
+    spark = table.sparkSession
+    own = os.path.join(shared_folder(spark), "traitscope")
+    for name in {os.path.dirname(f) for f in table.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        if os.path.basename(own) != path.getParent().getName():
+            raise ValueError(f"not a written intermediate table: {name}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
