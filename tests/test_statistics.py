@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from traitscope.operators import agreement, geometry, ordered, patterns, proposers, sampling
 from traitscope.operators.denote import distinct_denotation, to_long, token_matches
 from traitscope.operators.embedders import HashedBowEmbedder, random_project
-from traitscope.operators.passes import Held, Passes, Rows, solve
+from traitscope.operators.passes import Held, Passes, Rows, Search, solve
 from traitscope.plans import solvers
 
 RNG = np.random.default_rng(3)
@@ -326,3 +326,29 @@ def test_hot_copies_change_nothing(spark):
     keyed = dedup_texts(df).select(text_key("text").alias("text_key"), F.col("text_id").alias("first"))
     back = scatter_back(df, keyed).select("text_id", "first").collect()
     assert {r["text_id"]: r["first"] for r in back} == {i: firsts[t] for i, t in enumerate(texts)}
+
+
+def test_searches_inside_tasks_equal_passes(spark):
+    x = RNG.normal(size=(120, 6))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = [(x[i].tolist(), [float(b) for b in RNG.random(3) < 0.4], int(i % 2)) for i in range(120)]
+    table = spark.createDataFrame(rows, "embedding array<double>, phi array<double>, y int").repartition(3)
+    searches = [
+        Search(solvers.cluster_directions, 3, [k], x[:3], None, 120, 1.0, 0.1) for k in (0, 1)
+    ] + [Search(solvers.class_directions, 3, [2], x[:3], None, 120, 2)]
+    apart = solve(Passes(table, 120), searches)
+    together = solve(Passes(table), searches)
+    for a, b in zip(apart, together):
+        np.testing.assert_allclose(a, b, atol=1e-6)
+
+
+def test_searches_end_where_nothing_moves():
+    """On groups that are apart, a search started from its own result stays there."""
+    centres = np.eye(5)[:3]
+    x = centres[np.arange(210) % 3] + 0.15 * RNG.normal(size=(210, 5))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    source = held(np.zeros((210, 3)), x=x)
+    (a,) = solve(source, [solvers.cluster_directions(3, [0, 1, 2], x[:3], x[:3], 210, 1.0, 0.1)])
+    (b,) = solve(source, [solvers.cluster_directions(3, [0, 1, 2], x[:3], a, 210, 1.0, 0.1)])
+    assert (a * b).sum(axis=1).min() > 0.998
+    assert [int(np.argmax(c)) for c in a] == [int(np.argmax(c)) for c in x[:3]]

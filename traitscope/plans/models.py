@@ -20,7 +20,7 @@ from ..functions.vectors import l2_normalize
 from ..operators import agreement, geometry, patterns
 from ..operators.denote import denote, inference_count, phi_column
 from ..operators.embedders import Embedder, HashedBowEmbedder
-from ..operators.passes import Held, Passes, Rows, count_rows, solve
+from ..operators.passes import Held, Passes, Rows, Search, count_rows, solve
 from ..operators.proposers import Proposer, TokenProposer
 from ..operators.sampling import SCREEN, screen_sample
 from ..operators.scorers import Committer, FirstMatchCommitter, Scorer, SimilarityJudge, TokenScorer
@@ -129,7 +129,7 @@ class Model:
         random_update: bool = False,
         max_tokens: int | None = None,
         binary: bool = True,
-        gain: float = solvers.GAIN,
+        gain: float | None = None,
         seed: int = 0,
     ):
         """``texts`` has distinct texts: text_id, text and, by problem, ``label`` or ``t``. It is
@@ -137,7 +137,7 @@ class Model:
 
         ``binary=False`` is for scorers with values other than 0 and 1: patterns are then
         grouped as arrays and stay in Spark. ``gain`` is what a step of a direction search must
-        win: less means more passes over the texts.
+        win to go on; each problem has its own.
         """
         self.spark = texts.sparkSession
         self.texts, self.k, self.goal = texts, k, goal
@@ -163,6 +163,7 @@ class Model:
         return texts.withColumn("y", F.lit(0))
 
     def directions_solver(self, ks: list[int], begin: np.ndarray | None):
+        """A solver (see ``operators.passes``), or a ``Search`` that starts one, for the directions of ``ks``."""
         raise NotImplementedError
 
     def losses(self, table: DataFrame, k: int) -> dict[int, float]:
@@ -267,7 +268,7 @@ class Model:
     def fit(self) -> Explanation:
         self.prepare()
         blank = self.base.select("y", "embedding", F.array(*[F.lit(0)] * self.k).alias("phi"))
-        (directions,) = solve(Passes(blank), [self.directions_solver(list(range(self.k)), self.seeds)])
+        (directions,) = solve(Passes(blank, self.n), [self.directions_solver(list(range(self.k)), self.seeds)])
         for descriptions in self.proposals(directions):
             self.add(descriptions)
         self.set_predicates([self.ranked(d)[0] for d in directions])
@@ -277,7 +278,7 @@ class Model:
         for round_ in range(self.rounds):
             order = self.by_uselessness(table, loss)
             asked = [self.directions_solver([k], None) for k in order]
-            found = dict(zip(order, solve(Passes(self.state.select("y", "embedding", "phi")), asked)))
+            found = dict(zip(order, solve(Passes(self.state.select("y", "embedding", "phi"), self.n), asked)))
             best = None
             for k, descriptions in zip(order, self.proposals([found[k][0] for k in order])):
                 direction = found[k][0]
@@ -407,7 +408,7 @@ class ClusteringModel(Model):
         self.smoothing = smoothing
 
     def directions_solver(self, ks: list[int], begin: np.ndarray | None):
-        return solvers.cluster_directions(self.k, ks, self.seeds, begin, self.n, self.smoothing, self.temperature, self.gain, self.bound)
+        return Search(solvers.cluster_directions, self.k, ks, self.seeds, begin, self.n, self.smoothing, self.temperature, self.gain, self.bound)
 
     def losses(self, table: DataFrame, k: int) -> dict[int, float]:
         result = patterns.cluster_fitness(table, k, self.smoothing, ["variant"])
@@ -426,7 +427,7 @@ class ClassificationModel(Model):
         return texts.withColumn("y", place.cast("int"))
 
     def directions_solver(self, ks: list[int], begin: np.ndarray | None):
-        return solvers.class_directions(self.k, ks, self.seeds, begin, self.n, len(self.classes), self.gain)
+        return Search(solvers.class_directions, self.k, ks, self.seeds, begin, self.n, len(self.classes), self.gain)
 
     def losses(self, table: DataFrame, k: int) -> dict[int, float]:
         merged = table.groupBy("variant", "phi", "y").agg(F.sum("cnt").alias("weight"))
@@ -470,7 +471,7 @@ class TimeSeriesModel(Model):
 
     def directions_solver(self, ks: list[int], begin: np.ndarray | None):
         places = self.length if self.each else self.buckets
-        return solvers.series_directions(self.k, ks, self.seeds, begin, self.buckets, self.penalty, self.gain, self.bound, places)
+        return Search(solvers.series_directions, self.k, ks, self.seeds, begin, self.buckets, self.penalty, self.gain, self.bound, places)
 
     def weights(self) -> DataFrame:
         """(t, w): the weights of every place (or bucket) under the current predicates."""
