@@ -4,12 +4,12 @@ For every language, phrases of 2 to 5 words that occur ``ENOUGH`` times or more
 cut, floor(1000 * a * n / (l * r)), and those that occur only inside a longer one are dropped.
 
 Method. A stripe is (language, prefix) -> {next word: count}; the empty prefix has the words
-themselves, and what is no possible extension counts as END. A task keeps the words of its texts as
-numbers, counts all (prefix, next) of a level with array sorts, and emits its stripes; stripes of a
-prefix are merged element by element. From a merged stripe come the frequent extensions (counts of
-``ENOUGH`` or more), the prefix's total (the sum with END) and the largest extension, which tells
-whether the prefix is subsumed on its right; the same entries, keyed without their first word, tell
-about the left.
+themselves. A task keeps the words of its texts as numbers, counts all (prefix, next) of a level with
+array sorts, and emits its stripes; stripes of a prefix are merged element by element. From the merged
+stripes come the frequent extensions (counts of ``ENOUGH`` or more), the prefixes' totals (n as the sum
+of the empty prefix's stripe, others as the entry of the prefix in the stripe one word shorter) and the
+largest extension, which tells whether a prefix is subsumed on its right; the same entries, keyed without
+their first word, tell about the left.
 
 Two filters of fixed size limit a level; both let more through when they are full, never less, so they
 change work, not results (counts are of the words themselves). One has the frequent phrases of the level
@@ -46,14 +46,13 @@ from traitscope.session import materialise
 
 LONGEST, ENOUGH, TOP = 5, 100, 2000
 #: Parts of a stripe by the number of words of its phrases; short prefixes have long stripes.
-PARTS = {1: 512, 2: 16, 3: 4, 4: 4, 5: 4}
+PARTS = {1: 512, 2: 4, 3: 2, 4: 1, 5: 1}
 #: Bits of the filter of frequent phrases, of the buckets' numbers, and of a bucket's number in its range.
 FILTER_BITS, BUCKET_BITS, RANGE_BITS = 27, 28, 20
 #: Bytes of text that a task holds before it counts them.
 HELD = 24_000_000
 #: Slices of a language when its first phrases are chosen.
 SLICES = 32
-END = ""
 
 #: Bytes as words are read: A-Z lowered, ends of pieces as a line feed, a tab as a blank.
 _BYTES = np.arange(256, dtype=np.uint8)
@@ -107,12 +106,12 @@ class Words:
             self.hashes = _mix(word_hash(self.names.to_pylist()) + word_hash([lang])[0])
 
     def windows(self, filters: dict, level: int):
-        """(passes, shorter, hashes): whether the window of ``level`` words from each word passes, and that of one word less.
+        """(passes, hashes) of the window of ``level`` words from each word.
 
         A window passes if it is inside a piece, both its shorter windows pass, and it is in the filter of its own length.
         """
         base = self.hashes[self.ids]
-        ok, h, shorter = np.ones(len(base), dtype=bool), base, None
+        ok, h = np.ones(len(base), dtype=bool), base
         for m in range(1, level + 1):
             if m > 1:
                 shorter, below = ok, h
@@ -125,7 +124,7 @@ class Words:
             for lookup in filters.get(m, ()):
                 at = np.flatnonzero(ok)
                 ok[at] = lookup(h[at])
-        return ok, shorter, h
+        return ok, h
 
 
 def held_words(source):
@@ -156,21 +155,19 @@ def _numbered(ids, starts, n: int):
     return code, starts[first]
 
 
-def stripe_batches(words: Words, ok, shorter, level: int):
-    """Stripes of one task as batches; END counts what is no possible extension."""
-    prefixes = np.flatnonzero(ok if shorter is None else shorter)
-    if not len(prefixes):
+def stripe_batches(words: Words, ok, level: int):
+    """Stripes of one task as batches."""
+    starts = np.flatnonzero(ok)
+    if not len(starts):
         return
-    last = np.minimum(prefixes + level - 1, len(words.ids) - 1)
-    nexts = np.where(ok[prefixes], words.ids[last], len(words.names)).astype(np.int64)
-    prefix, at = _numbered(words.ids, prefixes, level - 1)
+    nexts = words.ids[starts + level - 1].astype(np.int64)
+    prefix, at = _numbered(words.ids, starts, level - 1)
     code, count = np.unique((prefix << 32) + nexts, return_counts=True)
     prefix, nexts = code >> 32, code & ((1 << 32) - 1)
-    part = (np.r_[words.hashes, _U(0)][nexts] % _U(PARTS[level])).astype(np.int32)
+    part = (words.hashes[nexts] % _U(PARTS[level])).astype(np.int32)
     order = np.lexsort((part, prefix))
     prefix, nexts, part, count = prefix[order], nexts[order], part[order], count[order]
     new = np.flatnonzero(np.r_[True, (prefix[1:] != prefix[:-1]) | (part[1:] != part[:-1])])
-    names = pa.concat_arrays([words.names, pa.array([END])])
     spelled = [words.names.take(pa.array(words.ids[at + k])) for k in range(level - 1)]
     spelled = pc.binary_join_element_wise(*spelled, " ") if spelled else pa.array([""])
     bounds = np.r_[new, len(prefix)]
@@ -181,7 +178,7 @@ def stripe_batches(words: Words, ok, shorter, level: int):
             "lang": pa.array([words.lang] * (len(cut) - 1)),
             "prefix": spelled.take(pa.array(prefix[cut[:-1]])),
             "part": pa.array(part[cut[:-1]]),
-            "nexts": pa.ListArray.from_arrays(offsets, names.take(pa.array(nexts[inside]))),
+            "nexts": pa.ListArray.from_arrays(offsets, words.names.take(pa.array(nexts[inside]))),
             "counts": pa.ListArray.from_arrays(offsets, pa.array(count[inside])),
         }
 
@@ -265,8 +262,8 @@ def _reading(level: int, shared: dict):
         for words in held_words(source):
             if not len(words.ids):
                 continue
-            ok, shorter, h = words.windows(filters, level)
-            yield from (_filled(0, x) for x in stripe_batches(words, ok, shorter, level))
+            ok, h = words.windows(filters, level)
+            yield from (_filled(0, x) for x in stripe_batches(words, ok, level))
             if level < LONGEST:
                 yield from (_filled(1, x) for x in bucket_batches(words, ok, h, level))
             if level == 2:
@@ -297,7 +294,7 @@ def _merged(source):
     key, counter = None, {}
 
     def done():
-        kept = [(w, c) for w, c in counter.items() if c >= ENOUGH and w != END]
+        kept = [(w, c) for w, c in counter.items() if c >= ENOUGH]
         return (*key, [w for w, _ in kept], [c for _, c in kept], sum(counter.values()))
 
     def rows():
