@@ -22,7 +22,8 @@ above read.
 
 Skew. A task combines its counts before it emits, so a common prefix has one stripe per task, however
 often it occurs. The stripe of a common word may be as large as the vocabulary: stripes are cut by a hash
-of the next word into ``PARTS`` parts that are merged apart, in a stream of one part at a time. Scores
+of the next word into ``PARTS`` parts. Stripes travel in ``BUNDLES`` bundles a task, by a hash of prefix
+and part, so their rows do not grow with the number of phrases; a bundle at a time is merged. Scores
 and cuts are joined by phrase, and the first ``TOP`` of a language are chosen per slice of it first.
 A task holds ``HELD`` bytes of text, but for a longer single text, with some ten numbers a word.
 
@@ -46,7 +47,9 @@ from traitscope.session import materialise
 
 LONGEST, ENOUGH, TOP = 5, 100, 2000
 #: Parts of a stripe by the number of words of its phrases; short prefixes have long stripes.
-PARTS = {1: 512, 2: 4, 3: 2, 4: 1, 5: 1}
+PARTS = {1: 512, 2: 16, 3: 4, 4: 4, 5: 4}
+#: Bundles of stripes that a task emits for a level and language at most.
+BUNDLES = 1024
 #: Bits of the filter of frequent phrases, of the buckets' numbers, and of a bucket's number in its range.
 FILTER_BITS, BUCKET_BITS, RANGE_BITS = 27, 28, 20
 #: Bytes of text that a task holds before it counts them.
@@ -164,23 +167,26 @@ def stripe_batches(words: Words, ok, level: int):
     prefix, at = _numbered(words.ids, starts, level - 1)
     code, count = np.unique((prefix << 32) + nexts, return_counts=True)
     prefix, nexts = code >> 32, code & ((1 << 32) - 1)
-    part = (words.hashes[nexts] % _U(PARTS[level])).astype(np.int32)
-    order = np.lexsort((part, prefix))
-    prefix, nexts, part, count = prefix[order], nexts[order], part[order], count[order]
-    new = np.flatnonzero(np.r_[True, (prefix[1:] != prefix[:-1]) | (part[1:] != part[:-1])])
+    key = np.zeros(len(at), dtype=np.uint64)
+    if level > 1:
+        key = words.hashes[words.ids[at]]
+        for k in range(1, level - 1):
+            key = join_hash(key, words.hashes[words.ids[at + k]])
+    with np.errstate(over="ignore"):
+        bundle = ((key[prefix] + words.hashes[nexts] % _U(PARTS[level])) % _U(BUNDLES)).astype(np.int32)
+    order = np.lexsort((prefix, bundle))
+    prefix, nexts, bundle, count = prefix[order], nexts[order], bundle[order], count[order]
+    new = np.flatnonzero(np.r_[True, (prefix[1:] != prefix[:-1]) | (bundle[1:] != bundle[:-1])])
+    first = np.flatnonzero(np.r_[True, bundle[new][1:] != bundle[new][:-1]])
     spelled = [words.names.take(pa.array(words.ids[at + k])) for k in range(level - 1)]
     spelled = pc.binary_join_element_wise(*spelled, " ") if spelled else pa.array([""])
-    bounds = np.r_[new, len(prefix)]
-    for i in range(0, len(new), 20_000):
-        cut = bounds[i : i + 20_001]
-        offsets, inside = pa.array((cut - cut[0]).astype(np.int32)), slice(cut[0], cut[-1])
-        yield {
-            "lang": pa.array([words.lang] * (len(cut) - 1)),
-            "prefix": spelled.take(pa.array(prefix[cut[:-1]])),
-            "part": pa.array(part[cut[:-1]]),
-            "nexts": pa.ListArray.from_arrays(offsets, words.names.take(pa.array(nexts[inside]))),
-            "counts": pa.ListArray.from_arrays(offsets, pa.array(count[inside])),
-        }
+    inside = pa.array(np.r_[new, len(prefix)].astype(np.int32))
+    lists = [pa.ListArray.from_arrays(inside, x) for x in (words.names.take(pa.array(nexts)), pa.array(count))]
+    stripes_ = pa.StructArray.from_arrays([spelled.take(pa.array(prefix[new])), *lists], ["prefix", "nexts", "counts"])
+    held = pa.ListArray.from_arrays(pa.array(np.r_[first, len(new)].astype(np.int32)), stripes_)
+    for i in range(0, len(first), 128):
+        some = held.slice(i, 128)
+        yield {"lang": pa.array([words.lang] * len(some)), "part": pa.array(bundle[new[first[i : i + 128]]]), "stripes": some}
 
 
 def _pack(numbers: np.ndarray, counts: np.ndarray) -> bytes:
@@ -242,10 +248,11 @@ def stretch_batches(words: Words, pairs):
 
 #: What one reading of the texts writes: stripes (kind 0), buckets (1) and stretches (2).
 _PASS = {
-    "kind": pa.int32(), "lang": pa.string(), "prefix": pa.string(), "part": pa.int32(), "nexts": pa.list_(pa.string()),
-    "counts": pa.list_(pa.int64()), "size": pa.int32(), "blob": pa.binary(), "text": pa.string(),
+    "kind": pa.int32(), "lang": pa.string(), "part": pa.int32(),
+    "stripes": pa.list_(pa.struct([("prefix", pa.string()), ("nexts", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])),
+    "size": pa.int32(), "blob": pa.binary(), "text": pa.string(),
 }
-PASS = "kind int, lang string, prefix string, part int, nexts array<string>, counts array<long>, size int, blob binary, text string"
+PASS = "kind int, lang string, part int, stripes array<struct<prefix:string,nexts:array<string>,counts:array<bigint>>>, size int, blob binary, text string"
 
 
 def _filled(kind: int, columns: dict) -> pa.RecordBatch:
@@ -290,33 +297,36 @@ def _batches(rows, fields, most=20_000, entries=200_000):
 
 
 def _merged(source):
-    """Sorted stripes -> merged stripes: total, and the extensions met ENOUGH times."""
-    key, counter = None, {}
+    """Sorted bundles -> merged stripes: total, and the extensions met ENOUGH times."""
+    key, counters = None, {}
 
     def done():
-        kept = [(w, c) for w, c in counter.items() if c >= ENOUGH]
-        return (*key, [w for w, _ in kept], [c for _, c in kept], sum(counter.values()))
+        for prefix, counter in counters.items():
+            kept = [(w, c) for w, c in counter.items() if c >= ENOUGH]
+            yield key[0], prefix, key[1], [w for w, _ in kept], [c for _, c in kept], sum(counter.values())
 
     def rows():
-        nonlocal key, counter
+        nonlocal key, counters
         for batch in source:
-            for lang, prefix, part, nexts, counts in zip(*[c.to_pylist() for c in batch.columns]):
-                if key != (lang, prefix, part):
+            for lang, part, several in zip(*[c.to_pylist() for c in batch.columns]):
+                if key != (lang, part):
                     if key is not None:
-                        yield done()
-                    key, counter = (lang, prefix, part), {}
-                for w, c in zip(nexts, counts):
-                    counter[w] = counter.get(w, 0) + c
+                        yield from done()
+                    key, counters = (lang, part), {}
+                for stripe in several:
+                    counter = counters.setdefault(stripe["prefix"], {})
+                    for w, c in zip(stripe["nexts"], stripe["counts"]):
+                        counter[w] = counter.get(w, 0) + c
         if key is not None:
-            yield done()
+            yield from done()
 
     yield from _batches(rows(), [*_STRIPE, ("total", pa.int64())])
 
 
 def stripes(read: DataFrame, level: int) -> DataFrame:
     """Merged stripes of one reading: a written table."""
-    own = read.where("kind = 0").select("lang", "prefix", "part", "nexts", "counts")
-    dealt = own.repartition("lang", "prefix", "part").sortWithinPartitions("lang", "prefix", "part")
+    own = read.where("kind = 0").select("lang", "part", "stripes")
+    dealt = own.repartition("lang", "part").sortWithinPartitions("lang", "part")
     return materialise(dealt.mapInArrow(trimmed(_merged), f"{STRIPE}, total long"), f"phrases-stripes{level}")
 
 
