@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traitscope.session import materialise, ship_package
+from traitscope.session import discard, materialise, ship_package
 
 #: Words are runs of anything but blank and the control characters TAB to CR.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -22,12 +22,15 @@ LOWER_BYTES = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 #: Texts differ in length a thousandfold, so batches for Python tasks are bounded by bytes.
 BATCH_BYTES, BATCH_SETTING = "4m", "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Steps end in written tables, so the shuffle files of a step may go when it is done.
+CLEANUP_SETTING = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def prepare(spark: SparkSession) -> None:
-    """Send the package to the workers, and bound the bytes of their batches for this session."""
+    """Send the package to the workers, and bound the bytes of their batches and the life of shuffle files for this session."""
     ship_package(spark)
     spark.conf.set(BATCH_SETTING, BATCH_BYTES)
+    spark.conf.set(CLEANUP_SETTING, "true")
 
 
 def trimmed(run):
@@ -149,6 +152,8 @@ def components(edges: DataFrame, label: str, salts: int = 8) -> DataFrame:
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = salted_join(both, least, ["a"], F.col("b"), salts).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = materialise(large.distinct(), label)
+        discard(now)
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = salted_join(large, least, ["a"], F.col("b"), salts).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         now = materialise(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), label)
+        discard(large)

@@ -40,7 +40,7 @@ from pyspark.sql.types import StringType
 
 from traitscope.llm.common import components, salted_join, trimmed, whole
 from traitscope.llm.tokens import slices
-from traitscope.session import materialise
+from traitscope.session import discard, materialise
 
 SHINGLE, PARAGRAPH, PASSAGE, SIMILARITY, RECALL, ROWS = 5, 16, 50, 0.8, 0.98, 2
 BLOCK, FILTER_BITS = 2048, 27
@@ -245,49 +245,82 @@ def _met_again(shared, bits: int):
     return run
 
 
+def _hits(cells: np.ndarray, keys: np.ndarray, bits: int) -> np.ndarray:
+    """Places of the keys whose cell of the bitmap is set."""
+    at = bit_of(keys, bits)
+    return np.flatnonzero(cells[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1))
+
+
+def _beside(docs: np.ndarray, own: np.ndarray, steps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places ``steps`` words from each of ``own`` with a whole window in its document, and whose they are."""
+    first = np.searchsorted(docs, docs[own], "left")
+    last = np.searchsorted(docs, docs[own], "right") - PARAGRAPH
+    places = own[:, None] + steps
+    ok = (places >= first[:, None]) & (places <= last[:, None])
+    return places[ok], np.nonzero(ok)[0]
+
+
+def _sides(cells: tuple, names: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Runs of paragraphs that are an end on one side in some document, and the steps to that side."""
+    for side, steps in zip(cells, (np.arange(-GAP, 0), np.arange(1, GAP + 1))):
+        on = _hits(side, names, bits)
+        for b in range(0, len(on), 1 << 12):
+            yield on[b : b + (1 << 12)], steps
+
+
+def _window_names(shared, bits: int):
+    """(doc_id, text_key, text) -> (window, document) of every window beside an end, once for each place."""
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            ids = pc.fill_null(batch.column(0), -1).to_numpy().view(np.uint64)
+            nulls = np.asarray(batch.column(0).is_null())
+            document = _mix(_mix(ids + nulls) ^ batch.column(1).to_numpy().view(np.uint64)).view(np.int64)
+            for a, data, offsets in text_rows(batch, 2):
+                docs, _, _, hashes = words_of(data, offsets)
+                at, _ = _anchored(docs, hashes)
+                found = [_beside(docs, at[on], steps)[0] for on, steps in _sides(shared.value, window_hashes(hashes, at), bits)]
+                if found:
+                    flat = np.unique(np.concatenate(found))
+                    yield pa.RecordBatch.from_arrays([pa.array(window_hashes(hashes, flat)), pa.array(document[docs[flat] + a])], ["window", "document"])
+
+    return run
+
+
 def _around(shared, bits: int):
-    """(doc_id, text_key, text) -> the paragraphs in the bitmap with the windows up to ``GAP`` words before and after."""
-    steps = np.r_[-GAP:0, 1 : GAP + 1]
+    """(doc_id, text_key, text) -> the windows in the bitmap up to ``GAP`` words beside the ends."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = shared.value
+        *cells, met = shared.value
         for batch in source:
             for a, data, offsets in text_rows(batch, 2):
                 docs, starts, ends, hashes = words_of(data, offsets)
                 at, _ = _anchored(docs, hashes)
                 names = window_hashes(hashes, at)
-                cell = bit_of(names, bits)
-                on = np.flatnonzero(cells[cell >> np.uint64(6)] >> (cell & np.uint64(63)) & np.uint64(1))
-                for b in range(0, len(on), 1 << 12):
-                    own = at[on[b : b + (1 << 12)]]
-                    first = np.searchsorted(docs, docs[own], "left")
-                    last = np.searchsorted(docs, docs[own], "right") - PARAGRAPH
-                    places = own[:, None] + steps
-                    ok = (places >= first[:, None]) & (places <= last[:, None])
-                    flat, of = places[ok], np.nonzero(ok)[0]
-                    rows = pa.array(docs[own] + a)
-                    base = offsets[docs[flat]]
-                    fields = [
-                        pa.array(window_hashes(hashes, flat)),
-                        pa.array((flat - first[of]).astype(np.int32)),
-                        pa.array((starts[flat] - base).astype(np.int32)),
-                        pa.array((ends[flat + PARAGRAPH - 1] - base).astype(np.int32)),
-                    ]
-                    cuts = pa.array(np.r_[0, np.cumsum(ok.sum(1))].astype(np.int32))
-                    windows = pa.ListArray.from_arrays(cuts, pa.StructArray.from_arrays(fields, ["window", "word", "start", "end"]))
+                for on, steps in _sides(cells, names, bits):
+                    flat, of = _beside(docs, at[on], steps)
+                    window = window_hashes(hashes, flat)
+                    kept = _hits(met, window, bits)
+                    flat, of, window = flat[kept], of[kept], window[kept]
+                    if not len(flat):
+                        continue
+                    rows, base = pa.array(docs[flat] + a), offsets[docs[flat]]
                     columns = [
-                        pa.array(names[on[b : b + (1 << 12)]]),
+                        pa.array(names[on][of]),
                         batch.column(0).take(rows),
                         batch.column(1).take(rows),
-                        pa.array((own - first).astype(np.int32)),
-                        windows,
+                        pa.array(window),
+                        pa.array((flat - np.searchsorted(docs, docs[flat], "left")).astype(np.int32)),
+                        pa.array((starts[flat] - base).astype(np.int32)),
+                        pa.array((ends[flat + PARAGRAPH - 1] - base).astype(np.int32)),
+                        pa.array((flat - at[on][of]).astype(np.int32)),
                     ]
-                    yield pa.RecordBatch.from_arrays(columns, ["paragraph", "doc_id", "text_key", "at", "windows"])
+                    yield pa.RecordBatch.from_arrays(columns, ["paragraph", "doc_id", "text_key", "window", "word", "start", "end", "step"])
 
     return run
 
 
-AROUND = "paragraph long, doc_id long, text_key long, at int, windows array<struct<window:bigint,word:int,start:int,end:int>>"
+AROUND = "paragraph long, doc_id long, text_key long, window long, word int, start int, end int, step int"
 MEMBER = "bkey long, doc_id long, text_key long, paragraph long, word int, start long, end long, shingles binary"
 EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -389,6 +422,7 @@ def repeated_passages(docs: DataFrame, block: int = BLOCK, filter_bits: int = FI
     found = docs.mapInArrow(trimmed(_met_again(shared, filter_bits)), MEMBER)
     found = salted_join(found, met, ["bkey"], F.xxhash64("paragraph", "word"), salts=4, written=True)
     found = materialise(found, "passage-members")
+    discard(met)
     classes = found.where("differ").select("bkey", "paragraph", "shingles").distinct()
     sizes = classes.groupBy("bkey").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     dealt = salted_join(classes, sizes, ["bkey"], F.col("paragraph"), salts=4)
@@ -401,15 +435,33 @@ def repeated_passages(docs: DataFrame, block: int = BLOCK, filter_bits: int = FI
     members = found.select(*place, "paragraph").distinct()
     members = salted_join(members, roots, ["paragraph"], F.xxhash64("word", "text_key"), salts=4, how="left", written=True)
     members = materialise(members.select(*place, "paragraph", F.coalesce("root", "paragraph").alias("cluster_id")), "passage-clusters")
-    marked = _runs(_headed(members, "cluster_id", "passage-heads"))
-    marked = materialise(marked, "passage-marked")
+    discard(found)
+    discard(roots)
+    marked = materialise(_runs(_headed(members, "cluster_id", "passage-heads")), "passage-marked")
+    discard(members)
+    return _merged(marked, _headed(_end_windows(docs, marked, filter_bits), "window", "passage-window-heads"))
+
+
+def _end_windows(docs: DataFrame, marked: DataFrame, filter_bits: int) -> DataFrame:
+    """A written table of the windows beside the ends of runs that several documents have.
+
+    Most windows beside an end are met once. So their names are counted first, with one number for a
+    document, and a second reading of the texts gives places to those met again; a join on the
+    paragraph then decides exactly which of them lie beside an end.
+    """
+    context = docs.sparkSession.sparkContext
     ends = materialise(_ends(marked), "passage-ends")
-    shared = spark.sparkContext.broadcast(bitmap(ends.select("paragraph"), filter_bits))
-    around = docs.mapInArrow(trimmed(_around(shared, filter_bits)), AROUND)
-    around = salted_join(around, ends, ["paragraph"], F.xxhash64("at", "text_key"), salts=4, written=True)
-    wanted = F.filter("windows", lambda w: (w["word"] <= F.col("at") - F.col("left")) | (w["word"] >= F.col("at") + F.col("right")))
-    windows = materialise(around.select("doc_id", "text_key", F.inline(wanted)), "passage-windows")
-    return _merged(marked, _headed(windows, "window", "passage-window-heads"))
+    sides = tuple(bitmap(ends.where(f"{side} is not null").select("paragraph"), filter_bits) for side in ("left", "right"))
+    names = docs.mapInArrow(trimmed(_window_names(context.broadcast(sides), filter_bits)), "window long, document long")
+    met = names.groupBy("window").agg(F.min("document").alias("low"), F.max("document").alias("high")).where("low <> high")
+    met = materialise(met.select("window"), "passage-window-names")
+    shared = context.broadcast((*sides, bitmap(met, filter_bits)))
+    windows = salted_join(docs.mapInArrow(trimmed(_around(shared, filter_bits)), AROUND), ends, ["paragraph"], F.xxhash64("window", "text_key"), salts=4, written=True)
+    windows = windows.where("step <= -left or step >= right").select("doc_id", "text_key", "window", "word", "start", "end")
+    windows = materialise(windows, "passage-windows")
+    discard(ends)
+    discard(met)
+    return windows
 
 
 def _headed(members: DataFrame, name: str, label: str) -> DataFrame:
