@@ -19,7 +19,8 @@ share a paragraph, wherever the passage stands.
 5. Anchors leave up to ``GAP`` words at either end of a passage. Around the paragraphs near the ends
    of a merged run every window of ``PARAGRAPH`` words is looked up, in all documents that have the
    paragraph; a window that an earlier document has is removed too. So every stretch of ``PASSAGE``
-   words or more that an earlier document has goes to its last word.
+   words or more that an earlier document has goes to its last word. Copies that stay are followed
+   likewise, but for the parts of them that lie in a removed run of their document.
 
 Defined cases: null and short texts (under ``PARAGRAPH`` words) have no paragraph; null doc_ids
 count as larger than all others and are told apart by their texts; rows that agree in doc_id and
@@ -269,7 +270,7 @@ def _sides(cells: tuple, names: np.ndarray, bits: int) -> Iterator[tuple[np.ndar
 
 
 def _window_names(shared, bits: int):
-    """(doc_id, text_key, text) -> (window, document) of every window beside an end, once for each place."""
+    """(doc_id, text_key, text) -> (window, doc_id, document) of every window beside an end, once for each place."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
@@ -282,7 +283,9 @@ def _window_names(shared, bits: int):
                 found = [_beside(docs, at[on], steps)[0] for on, steps in _sides(shared.value, window_hashes(hashes, at), bits)]
                 if found:
                     flat = np.unique(np.concatenate(found))
-                    yield pa.RecordBatch.from_arrays([pa.array(window_hashes(hashes, flat)), pa.array(document[docs[flat] + a])], ["window", "document"])
+                    rows = docs[flat] + a
+                    columns = [pa.array(window_hashes(hashes, flat)), batch.column(0).take(pa.array(rows)), pa.array(document[rows])]
+                    yield pa.RecordBatch.from_arrays(columns, ["window", "doc_id", "document"])
 
     return run
 
@@ -439,28 +442,51 @@ def repeated_passages(docs: DataFrame, block: int = BLOCK, filter_bits: int = FI
     discard(roots)
     marked = materialise(_runs(_headed(members, "cluster_id", "passage-heads")), "passage-marked")
     discard(members)
-    return _merged(marked, _headed(_end_windows(docs, marked, filter_bits), "window", "passage-window-heads"))
+    return _merged(marked, _end_windows(docs, marked, filter_bits))
 
 
 def _end_windows(docs: DataFrame, marked: DataFrame, filter_bits: int) -> DataFrame:
-    """A written table of the windows beside the ends of runs that several documents have.
+    """A written table of the windows beside the ends of runs that several documents have, as ``_headed`` gives them.
 
-    Most windows beside an end are met once. So their names are counted first, with one number for a
-    document, and a second reading of the texts gives places to those met again; a join on the
-    paragraph then decides exactly which of them lie beside an end.
+    Windows in a removed run of their document, or in a run that stays if they stay, add nothing and
+    are left out. Most windows beside an end are met once, and most of the others lie in a removed run. So their
+    names are counted first, with the least id of each, and a second reading of the texts gives
+    places to those met again; joins on the paragraph, on the document's runs and on the name then
+    decide exactly.
     """
     context = docs.sparkSession.sparkContext
     ends = materialise(_ends(marked), "passage-ends")
     sides = tuple(bitmap(ends.where(f"{side} is not null").select("paragraph"), filter_bits) for side in ("left", "right"))
-    names = docs.mapInArrow(trimmed(_window_names(context.broadcast(sides), filter_bits)), "window long, document long")
-    met = names.groupBy("window").agg(F.min("document").alias("low"), F.max("document").alias("high")).where("low <> high")
-    met = materialise(met.select("window"), "passage-window-names")
-    shared = context.broadcast((*sides, bitmap(met, filter_bits)))
-    windows = salted_join(docs.mapInArrow(trimmed(_around(shared, filter_bits)), AROUND), ends, ["paragraph"], F.xxhash64("window", "text_key"), salts=4, written=True)
-    windows = windows.where("step <= -left or step >= right").select("doc_id", "text_key", "window", "word", "start", "end")
-    windows = materialise(windows, "passage-windows")
-    discard(ends)
-    discard(met)
+    names = docs.mapInArrow(trimmed(_window_names(context.broadcast(sides), filter_bits)), "window long, doc_id long, document long")
+    met = names.groupBy("window").agg(F.min("doc_id").alias("least"), F.min("document").alias("low"), F.max("document").alias("high"))
+    met = materialise(met.where("low <> high").select("window", "least"), "passage-window-names")
+    shared = context.broadcast((*sides, bitmap(met.select("window"), filter_bits)))
+    found = docs.mapInArrow(trimmed(_around(shared, filter_bits)), AROUND)
+    place = ["doc_id", "text_key", "window", "word", "start", "end"]
+
+    def beside(rows: DataFrame) -> DataFrame:
+        rows = salted_join(rows, ends, ["paragraph"], F.xxhash64("window", "text_key"), salts=4, written=True)
+        return rows.where("step <= -left or step >= right").select(*place)
+
+    spans = [F.collect_list(F.when(own, F.struct("from", "until"))).alias(c) for c, own in (("gone", F.col("removed")), ("stays", ~F.col("removed")))]
+    runs = marked.groupBy("doc_id", "text_key", "removed", "run").agg(F.min("word").alias("from"), F.max("word").alias("until"))
+    runs = materialise(runs.groupBy("doc_id", "text_key").agg(*spans), "passage-runs")
+    inside = {c: F.coalesce(F.exists(c, lambda x: F.col("word").between(x["from"], x["until"])), F.lit(False)) for c in ("gone", "stays")}
+    outside = salted_join(beside(found), runs, ["doc_id", "text_key"], F.col("word"), salts=2, how="left", written=True)
+    outside = outside.where(~inside["gone"]).select(*place, inside["stays"].alias("stays")).distinct()
+    headed = salted_join(outside, met, ["window"], F.xxhash64("word", "text_key"), salts=4, written=True)
+    removed = F.col("least").isNotNull() & (F.col("doc_id").isNull() | (F.col("least") < F.col("doc_id")))
+    again = materialise(marked.select("doc_id", "text_key").distinct().groupBy("doc_id").count().where("count > 1").select("doc_id"), "passage-ids")
+    if again.count():
+        # Documents of one id, or without any: the lesser text is the earlier one.
+        tied = beside(salted_join(found, again, ["doc_id"], F.col("window"), salts=4, written=True))
+        first = materialise(tied.groupBy("window", "doc_id").agg(F.min("text_key").alias("first")), "passage-ties")
+        headed = salted_join(headed, first, ["window", "doc_id"], F.xxhash64("word", "text_key"), salts=4, how="left", written=True)
+        removed = removed | F.coalesce(F.col("text_key") != F.col("first"), F.lit(False))
+    windows = headed.select(*place, "stays", F.struct(F.col("least").alias("doc_id")).alias("head"), removed.alias("removed"))
+    windows = materialise(windows.where("removed or not stays").drop("stays"), "passage-windows")
+    for table in (ends, met, runs, again):
+        discard(table)
     return windows
 
 
