@@ -291,7 +291,7 @@ def _window_names(shared, bits: int):
 
 
 def _around(shared, bits: int):
-    """(doc_id, text_key, text) -> the windows in the bitmap up to ``GAP`` words beside the ends."""
+    """(doc_id, text_key, text) -> for a document its windows in the bitmap up to ``GAP`` words beside the ends."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         *cells, met = shared.value
@@ -299,31 +299,30 @@ def _around(shared, bits: int):
             for a, data, offsets in text_rows(batch, 2):
                 docs, starts, ends, hashes = words_of(data, offsets)
                 at, _ = _anchored(docs, hashes)
-                names = window_hashes(hashes, at)
-                for on, steps in _sides(cells, names, bits):
-                    flat, of = _beside(docs, at[on], steps)
-                    window = window_hashes(hashes, flat)
-                    kept = _hits(met, window, bits)
-                    flat, of, window = flat[kept], of[kept], window[kept]
-                    if not len(flat):
-                        continue
-                    rows, base = pa.array(docs[flat] + a), offsets[docs[flat]]
-                    columns = [
-                        pa.array(names[on][of]),
-                        batch.column(0).take(rows),
-                        batch.column(1).take(rows),
-                        pa.array(window),
-                        pa.array((flat - np.searchsorted(docs, docs[flat], "left")).astype(np.int32)),
-                        pa.array((starts[flat] - base).astype(np.int32)),
-                        pa.array((ends[flat + PARAGRAPH - 1] - base).astype(np.int32)),
-                        pa.array((flat - at[on][of]).astype(np.int32)),
-                    ]
-                    yield pa.RecordBatch.from_arrays(columns, ["paragraph", "doc_id", "text_key", "window", "word", "start", "end", "step"])
+                found = [_beside(docs, at[on], steps)[0] for on, steps in _sides(cells, window_hashes(hashes, at), bits)]
+                flat = np.unique(np.concatenate(found)) if found else np.empty(0, int)
+                window = window_hashes(hashes, flat)
+                kept = _hits(met, window, bits)
+                flat, window = flat[kept], window[kept]
+                if not len(flat):
+                    continue
+                owner, heads = np.unique(docs[flat], return_index=True)
+                cuts = pa.array(np.r_[heads, len(flat)].astype(np.int32))
+                base = offsets[docs[flat]]
+                fields = [
+                    pa.array(window),
+                    pa.array((flat - np.searchsorted(docs, docs[flat], "left")).astype(np.int32)),
+                    pa.array((starts[flat] - base).astype(np.int32)),
+                    pa.array((ends[flat + PARAGRAPH - 1] - base).astype(np.int32)),
+                ]
+                rows = pa.array(owner + a)
+                lists = [pa.ListArray.from_arrays(cuts, field) for field in fields]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), *lists], ["doc_id", "text_key", "window", "word", "start", "end"])
 
     return run
 
 
-AROUND = "paragraph long, doc_id long, text_key long, window long, word int, start int, end int, step int"
+AROUND = "doc_id long, text_key long, window array<long>, word array<int>, start array<int>, end array<int>"
 MEMBER = "bkey long, doc_id long, text_key long, paragraph long, word int, start long, end long, shingles binary"
 EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -451,7 +450,7 @@ def _end_windows(docs: DataFrame, marked: DataFrame, filter_bits: int) -> DataFr
     Windows in a removed run of their document, or in a run that stays if they stay, add nothing and
     are left out. Most windows beside an end are met once, and most of the others lie in a removed run. So their
     names are counted first, with the least id of each, and a second reading of the texts gives
-    places to those met again; joins on the paragraph, on the document's runs and on the name then
+    places to those met again, a row for a document; joins on the document and on the name then
     decide exactly.
     """
     context = docs.sparkSession.sparkContext
@@ -463,29 +462,40 @@ def _end_windows(docs: DataFrame, marked: DataFrame, filter_bits: int) -> DataFr
     shared = context.broadcast((*sides, bitmap(met.select("window"), filter_bits)))
     found = docs.mapInArrow(trimmed(_around(shared, filter_bits)), AROUND)
     place = ["doc_id", "text_key", "window", "word", "start", "end"]
+    # Where a document's windows may begin, and where its runs make them needless. All its end
+    # paragraphs are marked, so this is exact whatever the bitmaps let through.
+    near = salted_join(marked.select("doc_id", "text_key", "paragraph", "word").distinct(), ends, ["paragraph"], F.xxhash64("word", "text_key"), salts=4, written=True)
+    reach = [F.struct((F.col("word") + low).alias("col1"), (F.col("word") + high).alias("col2")) for low, high in ((F.lit(-GAP), -F.col("left")), (F.col("right"), F.lit(GAP)))]
+    near = near.select("doc_id", "text_key", F.inline(F.array(*[F.struct(F.lit("near").alias("kind"), x["col1"].alias("from"), x["col2"].alias("until")) for x in reach])))
+    runs = marked.groupBy("doc_id", "text_key", "removed", "run").agg(F.min("word").alias("from"), F.max("word").alias("until"))
+    runs = runs.select("doc_id", "text_key", F.when(F.col("removed"), "gone").otherwise("stays").alias("kind"), "from", "until")
+    spans = near.where("until is not null and from is not null").unionByName(runs).groupBy("doc_id", "text_key").agg(
+        *[F.collect_set(F.when(F.col("kind") == k, F.struct("from", "until"))).alias(f"{k}_") for k in ("near", "gone", "stays")]
+    )
+    spans = materialise(spans, "passage-spans-of-documents")
 
-    def beside(rows: DataFrame) -> DataFrame:
-        rows = salted_join(rows, ends, ["paragraph"], F.xxhash64("window", "text_key"), salts=4, written=True)
-        return rows.where("step <= -left or step >= right").select(*place)
+    def inside(kind: str, w: Column) -> Column:
+        return F.exists(f"{kind}_", lambda x: w["word"].between(x["from"], x["until"]))
 
-    spans = [F.collect_list(F.when(own, F.struct("from", "until"))).alias(c) for c, own in (("gone", F.col("removed")), ("stays", ~F.col("removed")))]
-    runs = marked.groupBy("doc_id", "text_key", "removed", "run").agg(F.min("word").alias("from"), F.max("word").alias("until"))
-    runs = materialise(runs.groupBy("doc_id", "text_key").agg(*spans), "passage-runs")
-    inside = {c: F.coalesce(F.exists(c, lambda x: F.col("word").between(x["from"], x["until"])), F.lit(False)) for c in ("gone", "stays")}
-    outside = salted_join(beside(found), runs, ["doc_id", "text_key"], F.col("word"), salts=2, how="left", written=True)
-    outside = outside.where(~inside["gone"]).select(*place, inside["stays"].alias("stays")).distinct()
+    def beside(rows: DataFrame, wanted) -> DataFrame:
+        rows = salted_join(rows, spans, ["doc_id", "text_key"], F.col("text_key"), salts=1, written=True)
+        zipped = F.filter(F.arrays_zip("window", "word", "start", "end"), wanted)
+        placed = F.transform(zipped, lambda w: F.struct(*[w[c].alias(c) for c in place[2:]], inside("stays", w).alias("stays")))
+        return rows.select("doc_id", "text_key", F.inline(placed))
+
+    outside = beside(found, lambda w: inside("near", w) & ~inside("gone", w))
     headed = salted_join(outside, met, ["window"], F.xxhash64("word", "text_key"), salts=4, written=True)
     removed = F.col("least").isNotNull() & (F.col("doc_id").isNull() | (F.col("least") < F.col("doc_id")))
     again = materialise(marked.select("doc_id", "text_key").distinct().groupBy("doc_id").count().where("count > 1").select("doc_id"), "passage-ids")
     if again.count():
         # Documents of one id, or without any: the lesser text is the earlier one.
-        tied = beside(salted_join(found, again, ["doc_id"], F.col("window"), salts=4, written=True))
+        tied = beside(salted_join(found, again, ["doc_id"], F.col("text_key"), salts=4, written=True), lambda w: inside("near", w))
         first = materialise(tied.groupBy("window", "doc_id").agg(F.min("text_key").alias("first")), "passage-ties")
         headed = salted_join(headed, first, ["window", "doc_id"], F.xxhash64("word", "text_key"), salts=4, how="left", written=True)
         removed = removed | F.coalesce(F.col("text_key") != F.col("first"), F.lit(False))
     windows = headed.select(*place, "stays", F.struct(F.col("least").alias("doc_id")).alias("head"), removed.alias("removed"))
     windows = materialise(windows.where("removed or not stays").drop("stays"), "passage-windows")
-    for table in (ends, met, runs, again):
+    for table in (ends, met, spans, again):
         discard(table)
     return windows
 
