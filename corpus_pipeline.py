@@ -56,7 +56,7 @@ STAGES = [
     ("best-fit packing", packing),
 ]
 
-#: SQL has neither the fingerprints nor the packing; tests/llm holds run() against brute force.
+#: SQL has neither the fingerprints nor the packing; tests/llm tests the stages one by one.
 ORACLE_SQL = None
 
 
