@@ -152,6 +152,19 @@ def test_bit_sliced_distances(radius):
     assert (got == want).all()
 
 
+@pytest.mark.parametrize("n", [64, 1000, 4096])
+def test_blocks_are_abandoned(n):
+    """Queries without a near lane give up the block though they and the padding stand in it."""
+    rng = np.random.default_rng(2)
+    fps = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+    fps[-1] = fps[0] ^ np.uint64(1 << 62)
+    planes, own, left = S.planes_of(fps), np.arange(60), []
+    over = S.beyond(planes, fps[:60], 2, own, n, left)
+    want = np.bitwise_count(fps[:60, None] ^ fps[None, :]) > 2
+    assert (np.unpackbits(over.view(np.uint8), axis=1, bitorder="little")[:, :n] == want).all()
+    assert left == [59]
+
+
 def test_links_of_split_buckets(spark):
     """Buckets larger than a block give the same components."""
     rng = random.Random(5)

@@ -97,7 +97,8 @@ def similar_texts(fps: np.ndarray, sets: list[np.ndarray], similarity: float, wi
     root = np.arange(n)
     planes = planes_of(fps)
     for at in range(0, n, 128):
-        near = ~beyond(planes, fps[at : at + 128], wide)
+        queries = fps[at : at + 128]
+        near = ~beyond(planes, queries, wide, np.arange(at, at + len(queries)), n)
         hits = np.unpackbits(near.view(np.uint8), axis=1, bitorder="little")[:, :n]
         for i, row in enumerate(hits, at):
             for j in np.flatnonzero(row[:i]).tolist():

@@ -74,20 +74,29 @@ def planes_of(fps: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(packed).view(np.uint64)
 
 
-def beyond(planes: np.ndarray, queries: np.ndarray, radius: int = RADIUS) -> np.ndarray:
+def beyond(planes: np.ndarray, queries: np.ndarray, radius: int = RADIUS, own: np.ndarray | None = None, lanes: int | None = None, left: list | None = None) -> np.ndarray:
     """Lanes (queries x words) whose distance to the query exceeds the radius.
 
-    Counters start so that the carry out of their highest bit says "beyond"; the block is abandoned
-    once that holds for all lanes of all queries but the one lane each that may be the query.
+    Counters start so that the carry out of their highest bit says "beyond"; a query abandons the
+    block once that holds for all lanes. ``own`` is the lane of each query where it stands in the
+    block itself, and lanes from ``lanes`` on are padding: both count as beyond on the way, so that
+    they do not hold the block open, and are cleared at the end (own lanes are at distance 0). The
+    number of queries that abandoned the block is appended to ``left``.
     """
     width = (radius + 1).bit_length()
     start = (1 << width) - 1 - radius
     full = np.uint64(0xFFFFFFFFFFFFFFFF)
     shape = (len(queries), planes.shape[1])
     counter = [np.full(shape, full if start >> b & 1 else np.uint64(0)) for b in range(width)]
-    over = np.zeros(shape, np.uint64)
+    skipped = np.zeros(shape, np.uint64)
+    lanes = 64 * planes.shape[1] if lanes is None else lanes
+    if lanes % 64:
+        skipped[:, lanes // 64] = full << np.uint64(lanes % 64)
+    if own is not None:
+        at = np.arange(len(queries))
+        skipped[at, own // 64] |= np.uint64(1) << (own % 64).astype(np.uint64)
+    over, out = skipped.copy(), np.empty_like(skipped)
     live = np.arange(len(queries))
-    out = over
     for j in range(64):
         ones = (queries[live] >> np.uint64(j) & np.uint64(1)) * full
         carry = planes[j][None, :] ^ ones[:, None]
@@ -100,11 +109,14 @@ def beyond(planes: np.ndarray, queries: np.ndarray, radius: int = RADIUS) -> np.
                 out[live] = over
                 live = live[~done]
                 if not len(live):
-                    return out
+                    break
                 over = over[~done]
                 counter = [c[~done] for c in counter]
-    out[live] = over
-    return out
+    if len(live):
+        out[live] = over
+    if left is not None:
+        left.append(len(queries) - len(live))
+    return out & ~skipped
 
 
 def block_links(fps: np.ndarray, radius: int = RADIUS, batch: int = 128) -> np.ndarray:
@@ -112,7 +124,8 @@ def block_links(fps: np.ndarray, radius: int = RADIUS, batch: int = 128) -> np.n
     n = len(fps)
     planes, root = planes_of(fps), np.arange(n)
     for at in range(0, n, batch):
-        near = ~beyond(planes, fps[at : at + batch], radius)
+        queries = fps[at : at + batch]
+        near = ~beyond(planes, queries, radius, np.arange(at, at + len(queries)), n)
         hits = np.unpackbits(near.view(np.uint8), axis=1, bitorder="little")[:, :n]
         for i in np.flatnonzero(hits.sum(1) > 1):
             roots = root[np.flatnonzero(hits[i])]
