@@ -4,6 +4,7 @@ import gzip
 import hashlib
 import io
 import math
+import os
 import re
 import struct
 import zlib
@@ -280,6 +281,29 @@ def test_thresholds_adapt_to_the_group(spark):
     assert not got[100] and all(v for k, v in got.items() if k != 100)
 
 
+def test_junk_cannot_lift_its_own_limit(spark):
+    """Two fifths of a source are junk; longer words of another source are its own habit."""
+    rng = np.random.default_rng(3)
+    word = lambda n: "".join(chr(97 + x) for x in rng.integers(0, 26, n))
+    text = lambda least, mark="": " ".join(word(int(rng.integers(least, least + 4))) + mark for _ in range(80))
+    rows = [(i, text(3), "en", "web") for i in range(60)] + [(100 + i, text(3, "#"), "en", "web") for i in range(40)]
+    rows += [(200 + i, text(9), "en", "law") for i in range(50)] + [(300, text(9), "en", "web")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r.kept for r in Q.quality_rules(docs).collect()}
+    assert {i for i, kept in got.items() if not kept} == {*range(100, 140), 300}
+
+
+def test_quantiles_decide(spark, folder):
+    """Most groups that are large enough have limits of their own, and most documents stay."""
+    documents = spark.read.parquet(os.path.join(os.path.dirname(folder), "sf0.01", "documents.parquet"))
+    table = spark.createDataFrame(Q.rated(Q.measures(documents)).drop("text").collect())
+    large = table.where(~Q.base_failed()).groupBy("lang", "source").count().where("count >= 5").drop("count")
+    limits = Q.thresholds(table, enough=5).join(large, ["lang", "source"]).drop("lang", "source").collect()
+    assert len(set(limits)) > len(limits) / 2
+    judged = Q.judged(table).where("not base_failed")
+    assert judged.where("kept").count() >= 0.85 * judged.count()
+
+
 # --- licenses ----------------------------------------------------------------------------
 
 

@@ -6,7 +6,8 @@ are tested against brute force.
 
 from __future__ import annotations
 
-from traitscope.llm.quality_rules import ENOUGH, REACH, RULES, SHORTEST
+from traitscope.llm.quality_rules import CHARS, ENOUGH, LINES, REACH, RULES
+from traitscope.llm.quality_rules import WORDS as FEW
 
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -88,18 +89,19 @@ def quality() -> str:
         return f"list_sort(list({m}))[greatest(CAST(ceil({q} * {total}) AS BIGINT), 1)]"
 
     quartiles = {
-        name: ", ".join(f"{at(q, m, 'count(*)')} AS {m}_{k}" for m in RULES for q, k in ((0.25, "q1"), (0.75, "q3")))
+        name: ", ".join(f"{at(q, m, 'count(*)')} AS {m}_{k}" for m in RULES for q, k in ((0.25, "q1"), (0.5, "q2"), (0.75, "q3")))
         for name in ("own", "lang", "total")
     }
     limits = []
-    for m, (floor, spread) in RULES.items():
-        q1, q3 = (f"CASE WHEN o.n >= {ENOUGH} THEN o.{m}_{k} WHEN l.n >= {ENOUGH} THEN l.{m}_{k} ELSE a.{m}_{k} END" for k in ("q1", "q3"))
-        width = f"{REACH} * greatest(({q3}) - ({q1}), {spread})"
-        limits.append(f"greatest(({q3}) + {width}, {floor}) AS {m}_high")
+    for m, spread in RULES.items():
+        q1, q2, q3 = (
+            f"(CASE WHEN o.n >= {ENOUGH} THEN o.{m}_{k} WHEN l.n >= {ENOUGH} THEN l.{m}_{k} ELSE a.{m}_{k} END)" for k in ("q1", "q2", "q3")
+        )
+        limits.append(f"{q2} + {REACH} * greatest(2 * ({q2} - {q1}), {spread}) AS {m}_high")
         if m == "word_length":
-            limits.append(f"least(({q1}) - {width}, {SHORTEST}) AS {m}_low")
-    ok = " AND ".join(f"r.{m} <= coalesce({m}_high, {floor})" for m, (floor, _) in RULES.items())
-    ok += f" AND r.word_length >= coalesce(word_length_low, {SHORTEST})"
+            limits.append(f"{q2} - {REACH} * greatest(2 * ({q3} - {q2}), {spread}) AS {m}_low")
+    ok = " AND ".join(f"r.{m} <= {m}_high" for m in RULES)
+    ok += " AND r.word_length >= word_length_low"
     return rf"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS t FROM documents
@@ -119,9 +121,9 @@ WITH d AS (
     length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS n_capitals
   FROM w LEFT JOIN again USING (rid)
 ), r AS (
-  SELECT *, 1000 * n_symbols // greatest(word_chars, 1) AS symbols, 1000 * n_dup_lines // greatest(n_lines, 1) AS dup_lines,
-    1000 * n_repeat_words // greatest(n_words, 1) AS repeats, 1000 * n_echoes // greatest(n_words, 1) AS echoes,
-    1000 * n_capitals // greatest(word_chars, 1) AS capitals, 100 * word_chars // greatest(n_words, 1) AS word_length,
+  SELECT *, 1000 * n_symbols // greatest(word_chars, {CHARS}) AS symbols, 1000 * n_dup_lines // greatest(n_lines, {LINES}) AS dup_lines,
+    1000 * n_repeat_words // greatest(n_words, {FEW}) AS repeats, 1000 * n_echoes // greatest(n_words, {FEW}) AS echoes,
+    1000 * n_capitals // greatest(word_chars, {CHARS}) AS capitals, 100 * word_chars // greatest(n_words, 1) AS word_length,
     n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed
   FROM m
 ), o AS (SELECT lang, source, count(*) AS n, {quartiles["own"]} FROM r WHERE NOT base_failed GROUP BY lang, source
@@ -131,7 +133,7 @@ WITH d AS (
   SELECT o.lang, o.source, {", ".join(limits)} FROM o JOIN l ON o.lang IS NOT DISTINCT FROM l.lang CROSS JOIN a
 )
 SELECT r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed,
-  NOT r.base_failed AND {ok} AS kept, {", ".join(f"r.{m}" for m in RULES)}
+  NOT r.base_failed AND coalesce({ok}, false) AS kept, {", ".join(f"r.{m}" for m in RULES)}
 FROM r LEFT JOIN x ON r.lang IS NOT DISTINCT FROM x.lang AND r.source IS NOT DISTINCT FROM x.source
 """
 

@@ -1,10 +1,12 @@
 """Quality rules with thresholds read from mergeable quantile sketches of each language and source.
 
 Every document gets integer measures. KLL sketches of them are built per (lang, source) and merged
-per language and over all documents. A measure is an outlier beyond ``q3 + reach * max(q3 - q1,
-spread)`` of the document's group (below ``q1 - ...`` for the low side of word length), but never
-before a floor under which no text is junk. Groups of fewer than ``enough`` documents use the merged
-sketch of their language, or of all documents. The thresholds are joined back on (lang, source).
+per language and over all documents. A measure is an outlier beyond ``median + reach * max(2 * (median
+- q1), spread)`` of the document's group, and below ``median - reach * max(2 * (q3 - median), spread)``
+for the low side of word length. Each side is measured on the other half of the documents, so outliers
+on one side cannot widen their own limit until they are half of a source. There are no fixed cutoffs.
+Groups of fewer than ``enough`` documents use the merged sketch of their language, or of all documents.
+The thresholds are joined back on (lang, source).
 
 Only DataFrame functions are used. Defined cases: a null text has no words and fails the base rule;
 null lang or source form groups of their own; repeated rows are measured and returned one by one; an
@@ -20,11 +22,11 @@ from traitscope.llm.common import WORD_SQL, barrier, salted_join, whole
 from traitscope.session import materialise
 
 WINDOW = 5
-#: measure -> (floor of the upper threshold, least spread); all in thousandths but word length (hundredths).
-RULES = {"symbols": (60, 10), "dup_lines": (400, 50), "repeats": (200, 20), "echoes": (100, 20), "capitals": (300, 50), "word_length": (1200, 100)}
-#: Word length also has a lower side: the threshold is this or smaller.
-SHORTEST = 200
-REACH = 4
+#: measure -> least spread, for groups whose documents are nearly all alike; in thousandths but word length (hundredths).
+RULES = {"symbols": 8, "dup_lines": 40, "repeats": 20, "echoes": 3, "capitals": 3, "word_length": 15}
+#: Rates of shorter texts scatter, so they are taken as if over this many characters, words and lines.
+CHARS, WORDS, LINES = 250, 50, 5
+REACH = 6
 ENOUGH = 30
 #: Sketch size: exact up to about this many documents of a group, rank error about 0.1 % beyond.
 SKETCH = 4096
@@ -93,15 +95,15 @@ def base_failed() -> Column:
 
 def rated(measured: DataFrame) -> DataFrame:
     """Add the measure of each rule."""
-    per = lambda a, b, unit: F.expr(f"{unit} * {a} div greatest({b}, 1)")
+    per = lambda a, b, unit, least: F.expr(f"{unit} * {a} div greatest({b}, {least})")
     return measured.select(
         "*",
-        per("n_symbols", "word_chars", 1000).alias("symbols"),
-        per("n_dup_lines", "n_lines", 1000).alias("dup_lines"),
-        per("n_repeat_words", "n_words", 1000).alias("repeats"),
-        per("n_echoes", "n_words", 1000).alias("echoes"),
-        per("n_capitals", "word_chars", 1000).alias("capitals"),
-        per("word_chars", "n_words", 100).alias("word_length"),
+        per("n_symbols", "word_chars", 1000, CHARS).alias("symbols"),
+        per("n_dup_lines", "n_lines", 1000, LINES).alias("dup_lines"),
+        per("n_repeat_words", "n_words", 1000, WORDS).alias("repeats"),
+        per("n_echoes", "n_words", 1000, WORDS).alias("echoes"),
+        per("n_capitals", "word_chars", 1000, CHARS).alias("capitals"),
+        per("word_chars", "n_words", 100, 1).alias("word_length"),
     )
 
 
@@ -123,21 +125,20 @@ def thresholds(measures_table: DataFrame, reach: int = REACH, enough: int = ENOU
         for m in RULES
     }
     out = []
-    for m, (floor, spread) in RULES.items():
-        q1, q3 = (F.kll_sketch_get_quantile_bigint(chosen[m], F.lit(q)) for q in (0.25, 0.75))
-        width = reach * F.greatest(q3 - q1, F.lit(spread))
-        out.append(F.greatest(q3 + width, F.lit(floor)).cast("long").alias(f"{m}_high"))
+    for m, spread in RULES.items():
+        q1, middle, q3 = (F.kll_sketch_get_quantile_bigint(chosen[m], F.lit(q)) for q in (0.25, 0.5, 0.75))
+        out.append((middle + reach * F.greatest(2 * (middle - q1), F.lit(spread))).cast("long").alias(f"{m}_high"))
         if m == "word_length":
-            out.append(F.least(q1 - width, F.lit(SHORTEST)).cast("long").alias(f"{m}_low"))
+            out.append((middle - reach * F.greatest(2 * (q3 - middle), F.lit(spread))).cast("long").alias(f"{m}_low"))
     return joined.select("lang", "source", *out)
 
 
 def verdict() -> Column:
-    """True where no measure is beyond its threshold."""
-    ok = F.col("word_length") >= F.coalesce("word_length_low", F.lit(SHORTEST).cast("long"))
-    for m, (floor, _) in RULES.items():
-        ok = ok & (F.col(m) <= F.coalesce(f"{m}_high", F.lit(floor).cast("long")))
-    return ok
+    """True where no measure is beyond its threshold. Groups without thresholds hold only documents that fail the base rule."""
+    ok = F.col("word_length") >= F.col("word_length_low")
+    for m in RULES:
+        ok = ok & (F.col(m) <= F.col(f"{m}_high"))
+    return F.coalesce(ok, F.lit(False))
 
 
 def judged(table: DataFrame, reach: int = REACH, enough: int = ENOUGH) -> DataFrame:
