@@ -30,6 +30,8 @@ from traitscope.llm.common import salted_join, trimmed
 from traitscope.session import materialise, shared_folder
 
 LEAST, ARCHIVE_BYTES, GAP, RANGE = 100, 256 << 20, 1 << 16, 16 << 20
+#: Archive bytes that a task reads; a small archive is spread over the cores, in spans of at least SMALLEST.
+TASK_BYTES, SMALLEST = 128 << 20, 1 << 20
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 
 
@@ -201,12 +203,16 @@ def _read(folder: str, payloads: bool):
     return run
 
 
-def read_archives(index: DataFrame, folder: str, payloads: bool = False, span: int = RANGE) -> DataFrame:
+def read_archives(index: DataFrame, folder: str, payloads: bool = False, span: int = RANGE, smallest: int = SMALLEST) -> DataFrame:
     """The records that rows of an index select, each parsed and checked against its digest.
 
-    Tasks get whole spans of an archive, sorted by offset.
+    Tasks get whole spans of an archive, sorted by offset. Their number comes from the bytes to read:
+    the index is so small that Spark would judge by it that one task is enough.
     """
-    places = index.select("archive", "offset", "length").repartition("archive", F.floor(F.col("offset") / span))
+    total, cores = index.agg(F.sum("length")).first()[0] or 0, index.sparkSession.sparkContext.defaultParallelism
+    span = max(min(span, -(-total // (4 * cores))), smallest)
+    tasks = max(-(-total // TASK_BYTES), min(cores, -(-total // span)), 1)
+    places = index.select("archive", "offset", "length").repartition(tasks, "archive", F.floor(F.col("offset") / span))
     return places.sortWithinPartitions("archive", "offset").mapInArrow(
         trimmed(_read(folder, payloads)), RECORD + (", payload binary" if payloads else "")
     )
