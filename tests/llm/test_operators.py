@@ -12,9 +12,11 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from traitscope.llm import licenses as L
 from traitscope.llm import lm_scoring as M
@@ -221,6 +223,17 @@ def test_archives(spark, tmp_path):
     assert W.archive_pages(empty).count() == 0
 
 
+def test_reading_is_dealt_by_archive_bytes(spark, tmp_path):
+    """The index alone is a few kilobytes; the records are dealt over all cores."""
+    rng = np.random.default_rng(4)
+    pages = [(i, f"http://x/{i}", rng.bytes(1500).hex()) for i in range(300)]
+    index = W.write_archives(spark.createDataFrame(pages, "page_id long, url string, html string"), str(tmp_path), archive_bytes=100_000)
+    rows = W.read_archives(index, str(tmp_path), smallest=10_000).withColumn("task", F.spark_partition_id()).collect()
+    assert len({r.page_id for r in rows}) == 300
+    sizes = Counter(r.task for r in rows)
+    assert len(sizes) > 1 and max(sizes.values()) < 200
+
+
 def test_a_damaged_record_is_refused():
     good = W.record(1, "u", b"payload", hashlib.sha256(b"payload").hexdigest(), None, "n")
     assert W.parse(good)["payload"] == b"payload"
@@ -474,3 +487,19 @@ def test_memories_count_what_came_before():
     one, two = M.MEMORY[3]
     assert got[1, 3] == pytest.approx(math.log10(1 - one - two) + math.log10(one))
     assert got[1, 0] == 0
+
+
+def test_training_sample_is_the_smallest_hashes(spark):
+    docs = spark.range(2000).select(F.col("id").alias("doc_id"), F.lit("a text").alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 3 == 0).cast("int").alias("toxic"))
+    for sample in (1, 50, 700, 5000):
+        ranked = labels.where(T.fold("doc_id", T.FOLDS) != T.HELD).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+        assert {r.doc_id for r in T.training_rows(docs, labels, sample).collect()} == {r.doc_id for r in ranked.collect()}
+
+
+def test_cell_counts_beyond_single_precision():
+    """16,777,216 is the last whole number that single precision can raise by one."""
+    batch = pa.RecordBatch.from_arrays([pa.array([97] * 3, pa.int64()), pa.array([1 << 24, 1, 1], pa.int64())], ["gram", "n"])
+    out = pa.Table.from_batches(list(M._cell_counts(iter([batch])))).to_pydict()
+    assert {z + o for z, o in zip(out["zeros"], out["ones"])} >= {(1 << 24) + 2}
+    assert all((z + o) % ((1 << 24) + 2) == 0 for z, o in zip(out["zeros"], out["ones"]))
