@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.text import tokens, truncate_tokens
 from ..session import materialise
 from ..sources.caches import VerdictCache
+from .hot import dealt_join
 from .scorers import Scorer, TokenScorer
 from .texts import dedup_texts, text_key
 
@@ -55,7 +56,7 @@ def denote(
     )
     # A text whose calls all failed has no verdict at all: zeros, as for a single failed call.
     none = F.array(*[F.lit(0.0)] * len(predicates))
-    joined = rows.select("text_id", "text_key").join(wide, "text_key", "left")
+    joined = dealt_join(rows.select("text_id", "text_key"), wide, "text_key", F.col("text_id"), "left")
     return joined.select("text_id", F.coalesce("phi", none).alias("phi"))
 
 

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .hot import dealt_join
+
 
 def text_key(text: Column | str) -> Column:
     """128-bit key of a text: what the shuffles carry in place of the text."""
@@ -47,6 +49,6 @@ def dedup_by_prefix(df: DataFrame, column: str, sep: str = ";") -> DataFrame:
 def scatter_back(rows: DataFrame, scored: DataFrame, text: str = "text") -> DataFrame:
     """Give every original row the scores of its distinct text.
 
-    ``scored`` has one row per ``text_key``; the join carries the key, not the text.
+    ``scored`` has one row per ``text_key``. A text that many rows hold is dealt over the tasks.
     """
-    return rows.withColumn("text_key", text_key(F.col(text))).join(scored, "text_key")
+    return dealt_join(rows.withColumn("text_key", text_key(F.col(text))), scored, "text_key")

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.hot import dealt_join
+
 VERDICTS = T.StructType(
     [
         T.StructField("text_key", T.BinaryType()),
@@ -29,6 +31,8 @@ VECTORS = T.StructType(
     ]
 )
 KNOWN, COMPUTED = 0, 1
+#: Bytes of a file after ``compact``.
+FILE_BYTES = 128 << 20
 
 
 def read_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -41,6 +45,26 @@ def read_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataF
         return spark.createDataFrame([], schema)
 
 
+def rewrite(spark: SparkSession, path: str, schema: T.StructType, model: str, kept: DataFrame, file_bytes: int) -> None:
+    """Write ``kept`` beside the model's present files and then delete those.
+
+    Run it between calls: tables that still read the old files fail afterwards. What others append
+    meanwhile stays, as only the files seen at the start go; if the job ends between the two steps
+    there are repeats, which reading leaves out.
+    """
+    rows = read_or_empty(spark, path, schema).filter(F.col("model") == model)
+    old = [r.file for r in rows.select(F.input_file_name().alias("file")).distinct().collect() if r.file]
+    if not old:
+        return
+    places = [spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(f)) for f in old]
+    store = places[0].getFileSystem(spark._jsc.hadoopConfiguration())
+    files = -(-sum(store.getFileStatus(p).getLen() for p in places) // file_bytes)
+    spread = kept.repartition(max(files, 1), "text_key").sortWithinPartitions("text_key")
+    spread.write.mode("append").partitionBy("model").parquet(path)
+    for place in places:
+        store.delete(place, False)
+
+
 class VerdictCache:
     """Verdicts by (model, text key, predicate); known verdicts win over computed ones."""
 
@@ -55,6 +79,13 @@ class VerdictCache:
         rows = read_or_empty(self.spark, self.path, VERDICTS).filter(F.col("model") == model)
         return rows.groupBy("text_key", "predicate").agg(F.min_by("value", "priority").alias("value"))
 
+    def compact(self, model: str, file_bytes: int = FILE_BYTES) -> None:
+        """Rewrite the model's verdicts, one per key and predicate, into as few files as ``file_bytes`` asks for."""
+        rows = read_or_empty(self.spark, self.path, VERDICTS).filter(F.col("model") == model)
+        best = F.min_by("value", "priority").alias("value"), F.min("priority").alias("priority")
+        kept = rows.groupBy("text_key", "predicate").agg(*best).withColumn("model", F.lit(model))
+        rewrite(self.spark, self.path, VERDICTS, model, kept, file_bytes)
+
     def append(self, verdicts: DataFrame, model: str, priority: int = COMPUTED) -> None:
         """Add (text_key, predicate, value) rows; null verdicts are not remembered."""
         (
@@ -84,8 +115,22 @@ class EmbeddingCache:
         self.spark, self.path = spark, path
 
     def read(self, model: str) -> DataFrame:
-        rows = read_or_empty(self.spark, self.path, VECTORS).filter(F.col("model") == model)
-        return rows.select("text_key", "embedding").dropDuplicates(["text_key"])
+        """One embedding per text key.
+
+        Repeats come only from callers that append at the same time. Their keys are looked for by a
+        count of fixed width, and only their rows are grouped: vectors of other keys are not shuffled.
+        """
+        rows = read_or_empty(self.spark, self.path, VECTORS).filter(F.col("model") == model).select("text_key", "embedding")
+        again = rows.groupBy("text_key").agg(F.count("*").alias("n")).filter("n > 1").select("text_key")
+        if again.isEmpty():
+            return rows
+        several = rows.join(again, "text_key", "left_semi").dropDuplicates(["text_key"])
+        return rows.join(again, "text_key", "left_anti").unionByName(several)
+
+    def compact(self, model: str, file_bytes: int = FILE_BYTES) -> None:
+        """Rewrite the model's entries, one per key, into as few files as ``file_bytes`` asks for."""
+        kept = self.read(model).withColumn("model", F.lit(model))
+        rewrite(self.spark, self.path, VECTORS, model, kept, file_bytes)
 
     def embed(self, texts: DataFrame, embedder) -> DataFrame:
         """Append ``embedding`` to ``texts``, computing only the texts not yet in the table."""
@@ -101,4 +146,4 @@ class EmbeddingCache:
             .partitionBy("model")
             .parquet(self.path)
         )
-        return keyed.join(self.read(embedder.name), "text_key").drop("text_key")
+        return dealt_join(keyed, self.read(embedder.name), "text_key", F.col("text_id")).drop("text_key")
