@@ -352,3 +352,43 @@ def test_searches_end_where_nothing_moves():
     (b,) = solve(source, [solvers.cluster_directions(3, [0, 1, 2], x[:3], a, 210, 1.0, 0.1)])
     assert (a * b).sum(axis=1).min() > 0.998
     assert [int(np.argmax(c)) for c in a] == [int(np.argmax(c)) for c in x[:3]]
+
+
+def searched_table(spark, n=120):
+    x = RNG.normal(size=(n, 6))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = [(x[i].tolist(), [float(b) for b in RNG.random(3) < 0.4], int(i % 2)) for i in range(n)]
+    return x, spark.createDataFrame(rows, "embedding array<double>, phi array<double>, y int")
+
+
+def test_held_rows_give_the_sums_of_the_table(spark):
+    """Many partitions are added up in stages; a search leaves nothing behind."""
+    from traitscope.operators import passes
+
+    x, table = searched_table(spark)
+    kernel = lambda rows: np.concatenate([rows.x.T @ rows.phi, rows.y.sum() + rows.weight.sum() + np.zeros((1, 3))]).ravel()
+    for parts in (3, passes.GATHER + 60):
+        source = Passes(table.repartition(parts))
+        want = source.sums([kernel, kernel])
+        source.hold()
+        for a, b in zip(source.sums([kernel, kernel]), want):
+            np.testing.assert_allclose(a, b, atol=1e-9)
+        source.release()
+        assert source.held is None
+    source = Passes(table.repartition(3))
+    solve(source, [solvers.cluster_directions(3, [0], x[:3], None, 120, 1.0, 0.1)])
+    assert source.held is None
+
+
+def test_a_light_search_is_one_job_beyond_the_rows_of_a_node(spark, monkeypatch):
+    """A search of clusters takes hundreds of passes: over a table that a task can hold, it starts none."""
+    from traitscope.operators import passes
+
+    x, table = searched_table(spark)
+    args = (solvers.cluster_directions, 3, [0], x[:3], None, 120, 1.0, 0.1)
+    together = solve(Passes(table), [Search(*args)])
+    monkeypatch.setattr(passes, "NODE", 100)
+    monkeypatch.setattr(Passes, "sums", lambda *_: pytest.fail("a pass"))
+    np.testing.assert_allclose(solve(Passes(table, 120), [passes.LightSearch(*args)])[0], together[0], atol=1e-6)
+    assert passes.LightSearch(*args).fits(50_000, 53) and not passes.LightSearch(*args).fits(500_000, 53)
+    assert not Search(*args).fits(50_000, 53)
