@@ -392,3 +392,23 @@ def test_a_light_search_is_one_job_beyond_the_rows_of_a_node(spark, monkeypatch)
     np.testing.assert_allclose(solve(Passes(table, 120), [passes.LightSearch(*args)])[0], together[0], atol=1e-6)
     assert passes.LightSearch(*args).fits(50_000, 53) and not passes.LightSearch(*args).fits(500_000, 53)
     assert not Search(*args).fits(50_000, 53)
+
+
+def test_batches_of_texts_are_bounded_by_bytes(spark):
+    """Embedders and batch functions get batches of bounded bytes; vectors do not depend on the parts of a batch."""
+    from traitscope.operators import embedders, scorers
+    from traitscope.session import BATCH_SETTING, bound_batches
+
+    texts = spark.range(1100).selectExpr("id AS text_id", "concat('w', id % 7, ' ', repeat(concat('v', id, ' '), cast(id % 5 AS int))) AS text")
+    found = []
+    for parts in (1, 40):
+        spark.conf.unset(BATCH_SETTING)
+        embedded = HashedBowEmbedder().embed(texts.repartition(parts))
+        assert spark.conf.get(BATCH_SETTING) == "4m"
+        found.append(np.array([r["embedding"] for r in embedded.orderBy("text_id").collect()]))
+    np.testing.assert_array_equal(*found)
+    assert embedders.PART < 1100
+    spark.conf.unset(BATCH_SETTING)
+    scorers.BatchScorer(lambda batch: [0.0] * len(batch), "none").score_pairs(texts.withColumn("predicate", F.lit("a")))
+    assert spark.conf.get(BATCH_SETTING) == "4m"
+    bound_batches(spark)
