@@ -104,3 +104,21 @@ def test_no_jump_at_any_number_of_texts(spark):
     phi = bits_of(520)
     losses = [series.series_path(table(spark, [phi[:n]]), 2, 1.0, n)[1][0] - np.log(n) for n in (511, 512, 513, 514)]
     assert max(losses) - min(losses) < 0.01
+
+
+@pytest.mark.parametrize("n, k", [(1, 2), (2, 1), (3, 2), (64, 4), (101, 3)])
+def test_linked_places_by_whole_vectors(n, k):
+    q = RNG.random((n, k, k))
+    diagonal, r = q @ q.transpose(0, 2, 1) + 1.5 * np.eye(k), RNG.random((n, k, 1 + 2 * k))
+    side = np.broadcast_to(0.7 * np.eye(k), diagonal.shape).copy()
+    a, c = side, side.copy()
+    a[0], c[-1] = 0, 0
+    np.testing.assert_allclose(series.solve_linked(diagonal, 0.7, r), series.solve_chain(a, diagonal, c, r), atol=1e-10)
+
+
+def test_a_long_run_is_solved_in_few_operations(monkeypatch):
+    """No matrix of a place is inverted or multiplied by itself: that took most of a fit's time."""
+    monkeypatch.setattr(np.linalg, "inv", lambda b: pytest.fail(f"{len(b)} inverses, one by one"))
+    n = 4096
+    x = series.solve_linked(np.broadcast_to(3 * np.eye(2), (n, 2, 2)), 1.0, np.ones((n, 2, 1)))
+    assert np.allclose(x[n // 2], 1.0)
