@@ -1,6 +1,9 @@
 """Weights per text against the dense softmax over all texts, on one driver and in written runs."""
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from traitscope.plans import series
@@ -122,3 +125,23 @@ def test_a_long_run_is_solved_in_few_operations(monkeypatch):
     n = 4096
     x = series.solve_linked(np.broadcast_to(3 * np.eye(2), (n, 2, 2)), 1.0, np.ones((n, 2, 1)))
     assert np.allclose(x[n // 2], 1.0)
+
+
+def test_memory_of_a_task_does_not_grow_with_its_runs(monkeypatch):
+    """A task of many runs holds the numbers of one run besides its batch."""
+    monkeypatch.setattr(series, "BLOCK", 1000)
+
+    def peak(runs: int) -> int:
+        places = [[{"y": 1000 * b + i, "n": 1.0, "sums": [1.0, 0.0]} for i in range(1000)] for b in range(runs)]
+        kind = pa.list_(pa.struct([("y", pa.int64()), ("n", pa.float64()), ("sums", pa.list_(pa.float64()))]))
+        columns = [pa.array([0] * runs), pa.array(range(runs)), pa.array([1000] * runs), pa.array(places, kind)]
+        batch = pa.RecordBatch.from_arrays(columns, ["variant", "block", "count", "places"])
+        del places
+        tracemalloc.start()
+        for row in series._block_rows(2)(iter([batch])):
+            assert row.column(2)[0].as_py() == [1.0] * 1000 and row.column(3)[0].as_py()[:2] == [1.0, 0.0]
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return most
+
+    assert peak(24) < 1.5 * peak(2)
