@@ -1,6 +1,7 @@
 """Exact copies, near copies and repeated passages against brute force."""
 
 import hashlib
+import os
 import random
 import re
 from collections import Counter, defaultdict
@@ -319,3 +320,18 @@ def test_jaccard_of_a_block():
 def test_bands_reach_the_recall():
     b = D.bands_for(0.8, 0.98, 2)
     assert 1 - (1 - 0.8**2) ** b >= 0.98 > 1 - (1 - 0.8**2) ** (b - 1)
+
+
+# --- what stays on the disks --------------------------------------------------------------
+
+
+def test_no_bitmap_stays_on_a_disk(spark, monkeypatch):
+    """A bitmap has the same size for every table, and every machine keeps a file of it until it is destroyed."""
+    sent, send = [], spark.sparkContext.broadcast
+    monkeypatch.setattr(spark.sparkContext, "broadcast", lambda value: sent.append(send(value)) or sent[-1])
+    text = " ".join(f"word{i}" for i in range(80))
+    docs = spark.createDataFrame([(1, text), (2, f"before {text} after"), (3, f"{text} again")], "doc_id long, text string")
+    assert D.repeated_passages(docs).where("removed").count() == 2
+    assert len(sent) == 3
+    assert drop_near_copies(docs).count() == 1
+    assert len(sent) == 4 and not [b for b in sent if os.path.exists(b._path)]

@@ -147,6 +147,7 @@ def similar_links(docs: DataFrame, marks: DataFrame, similarity: float = SIMILAR
     shared = docs.sparkSession.sparkContext.broadcast(bitmap(members.select("text_key")))
     sets = docs.select(F.xxhash64(whole()).alias("text_key"), whole().alias("text")).mapInArrow(trimmed(_sets(shared, FILTER_BITS)), "text_key long, shingles binary")
     sets = materialise(sets.groupBy("text_key").agg(F.first("shingles").alias("shingles")), "near-sets")
+    shared.destroy()
     sizes = members.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     dealt = salted_join(members, sizes, ["key"], F.col("text_key"), salts=4)
     own = F.pmod(F.xxhash64("text_key", F.lit(1)), F.col("blocks")).cast("int")

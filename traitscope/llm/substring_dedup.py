@@ -424,6 +424,8 @@ def repeated_passages(docs: DataFrame, block: int = BLOCK, filter_bits: int = FI
     found = docs.mapInArrow(trimmed(_met_again(shared, filter_bits)), MEMBER)
     found = salted_join(found, met, ["bkey"], F.xxhash64("paragraph", "word"), salts=4, written=True)
     found = materialise(found, "passage-members")
+    # Every machine has a file of a bitmap until it is destroyed.
+    shared.destroy()
     discard(met)
     classes = found.where("differ").select("bkey", "paragraph", "shingles").distinct()
     sizes = classes.groupBy("bkey").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
@@ -456,9 +458,11 @@ def _end_windows(docs: DataFrame, marked: DataFrame, filter_bits: int) -> DataFr
     context = docs.sparkSession.sparkContext
     ends = materialise(_ends(marked), "passage-ends")
     sides = tuple(bitmap(ends.where(f"{side} is not null").select("paragraph"), filter_bits) for side in ("left", "right"))
-    names = docs.mapInArrow(trimmed(_window_names(context.broadcast(sides), filter_bits)), "window long, doc_id long, document long")
+    first = context.broadcast(sides)
+    names = docs.mapInArrow(trimmed(_window_names(first, filter_bits)), "window long, doc_id long, document long")
     met = names.groupBy("window").agg(F.min("doc_id").alias("least"), F.min("document").alias("low"), F.max("document").alias("high"))
     met = materialise(met.where("low <> high").select("window", "least"), "passage-window-names")
+    first.destroy()
     shared = context.broadcast((*sides, bitmap(met.select("window"), filter_bits)))
     found = docs.mapInArrow(trimmed(_around(shared, filter_bits)), AROUND)
     place = ["doc_id", "text_key", "window", "word", "start", "end"]
@@ -490,11 +494,12 @@ def _end_windows(docs: DataFrame, marked: DataFrame, filter_bits: int) -> DataFr
     if again.count():
         # Documents of one id, or without any: the lesser text is the earlier one.
         tied = beside(salted_join(found, again, ["doc_id"], F.col("text_key"), salts=4, written=True), lambda w: inside("near", w))
-        first = materialise(tied.groupBy("window", "doc_id").agg(F.min("text_key").alias("first")), "passage-ties")
-        headed = salted_join(headed, first, ["window", "doc_id"], F.xxhash64("word", "text_key"), salts=4, how="left", written=True)
+        ties = materialise(tied.groupBy("window", "doc_id").agg(F.min("text_key").alias("first")), "passage-ties")
+        headed = salted_join(headed, ties, ["window", "doc_id"], F.xxhash64("word", "text_key"), salts=4, how="left", written=True)
         removed = removed | F.coalesce(F.col("text_key") != F.col("first"), F.lit(False))
     windows = headed.select(*place, "stays", F.struct(F.col("least").alias("doc_id")).alias("head"), removed.alias("removed"))
     windows = materialise(windows.where("removed or not stays").drop("stays"), "passage-windows")
+    shared.destroy()
     for table in (ends, met, spans, again):
         discard(table)
     return windows
