@@ -7,6 +7,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -307,6 +308,48 @@ def test_anchors_are_the_winnowing_guarantee():
             assert window[values[window].argmin()] in picked
 
 
+def test_windows_travel_as_stretches(spark, monkeypatch):
+    """Windows of a document that touch are one row before they meet its runs, wherever the batches are cut."""
+    rows, write = {}, D.materialise
+    monkeypatch.setattr(D, "materialise", lambda df, label: rows.setdefault(label, write(df, label)))
+    text = " ".join(f"word{i}" for i in range(80))
+    docs = spark.createDataFrame([(1, text), (2, f"before {text} after"), (3, f"{text} again")], "doc_id long, text string")
+    assert D.repeated_passages(docs).where("removed").count() == 2
+    windows = sorted(map(tuple, rows["passage-windows"].select("doc_id", "text_key", "removed", "word", "until").collect()))
+    assert windows and all(a[:3] != b[:3] or b[3] > a[4] for a, b in zip(windows, windows[1:]))
+    assert any(until - word > D.PARAGRAPH for *_, word, until in windows)
+    rng = random.Random(5)
+    places = sorted({(rng.randrange(3), rng.randrange(4), rng.random() < 0.5, rng.randrange(400)) for _ in range(300)})
+    rows = [(None if d == 0 else d, t, r, w, 5 * w, 5 * w + 80, rng.choice([None, 1, 2]), rng.randrange(50)) for d, t, r, w in places for _ in range(rng.choice([1, 1, 2]))]
+    names = ["doc_id", "text_key", "removed", "word", "start", "end", "keep", "window"]
+    types = [pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+    want = []
+    for row in rows:
+        if not want or want[-1][0][:3] != row[:3] or row[3] - want[-1][-1][3] > D.PARAGRAPH:
+            want.append([])
+        want[-1].append(row)
+    least = lambda values: min((v for v in values if v is not None), default=None)
+    text = lambda v: "null" if v is None else str(v)
+    want = [
+        (*g[0][:4], g[-1][3] + D.PARAGRAPH, min(r[4] for r in g), max(r[5] for r in g), least(r[6] for r in g), {text(r[6]) for r in g}, min(r[7] for r in g), {r[7] for r in g})
+        for g in want
+    ]
+    for size in (1, 7, 1000):
+        cut = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[a : a + size]), types)], names) for a in range(0, len(rows), size)]
+        got = [tuple(r.values()) for b in D._stretches(iter(cut)) for r in b.to_pylist()]
+        assert [(*g[:8], set(g[8]), g[9], set(g[10])) for g in got] == want
+        assert all(len(g[8]) == len(set(g[8])) and len(g[10]) == len(set(g[10])) for g in got)
+
+
+def test_spans_of_documents():
+    rng = random.Random(6)
+    spans = [[{"from": a, "until": a + rng.randrange(-3, 30)} for a in (rng.randrange(-40, 300) for _ in range(rng.randrange(6)))] for _ in range(20)]
+    places = [(d, w) for d in range(20) for w in range(330)]
+    column = pa.array([[]] + spans, pa.list_(pa.struct([("from", pa.int32()), ("until", pa.int32())]))).slice(1)
+    got = D._inside(np.array([(d << 32) + w for d, w in places]), column)
+    assert got.tolist() == [any(x["from"] <= w <= x["until"] for x in spans[d]) for d, w in places]
+
+
 def test_jaccard_of_a_block():
     rng = np.random.default_rng(2)
     sets = np.sort(rng.integers(0, 30, (25, 12)).astype(np.uint32), 1)

@@ -103,18 +103,23 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def anchors(docs: np.ndarray, shingles: np.ndarray, window: int) -> np.ndarray:
-    """Positions of the anchors among start positions in document order."""
+    """Positions of the anchors among start positions in document order; the upper 48 bits of the hashes decide."""
     if not len(docs):
         return np.empty(0, int)
     heads = np.flatnonzero(np.r_[True, docs[1:] != docs[:-1]])
     sizes = np.diff(np.r_[heads, len(docs)])
     found = []
     if len(docs) >= window:
-        view = np.lib.stride_tricks.sliding_window_view(shingles, window)
-        for at in range(0, len(view), 1 << 15):
-            part = view[at : at + (1 << 15)]
-            ok = docs[at : at + len(part)] == docs[at + window - 1 : at + window - 1 + len(part)]
-            found.append(np.unique((part.argmin(1) + np.arange(at, at + len(part)))[ok]))
+        for at in range(0, len(docs) - window + 1, 1 << 15):
+            part = shingles[at : at + (1 << 15) + window - 1]
+            # The least hash and, below it, its place in the part; of equal hashes the first.
+            least, size = (part & ~np.uint64(0xFFFF)) | np.arange(len(part), dtype=np.uint64), 1
+            while size < window:
+                step = min(size, window - size)
+                least, size = np.minimum(least[:-step], least[step:]), size + step
+            ok = docs[at : at + len(least)] == docs[at + window - 1 : at + window - 1 + len(least)]
+            places = (least[ok] & np.uint64(0xFFFF)).astype(np.int64) + at
+            found.append(places[np.diff(places, prepend=-1) != 0])
     for head, size in zip(heads[sizes < window].tolist(), sizes[sizes < window].tolist()):
         found.append(np.array([head + int(shingles[head : head + size].argmin())]))
     picked = np.unique(np.concatenate(found))
@@ -322,6 +327,98 @@ def _around(shared, bits: int):
     return run
 
 
+def _wanted(outside: bool):
+    """(doc_id, text_key, window, word, start, end, near_, gone_, stays_), lists, a row for a document -> its windows that matter."""
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            fields = [batch.column(i).flatten() for i in range(2, 6)]
+            rows = np.repeat(np.arange(len(batch)), pc.list_value_length(batch.column(2)).to_numpy())
+            places = (rows << 32) + fields[1].to_numpy()
+            near, gone, stays = (_inside(places, batch.column(i)) for i in (6, 7, 8))
+            at = np.flatnonzero(near & ~gone if outside else near)
+            own = pa.array(rows[at])
+            columns = [batch.column(0).take(own), batch.column(1).take(own), *(f.take(pa.array(at)) for f in fields), pa.array(stays[at])]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "window", "word", "start", "end", "stays"])
+
+    return run
+
+
+def _inside(places: np.ndarray, spans: pa.Array) -> np.ndarray:
+    """Whether places (row and word) lie in one of the spans (from, until) of their row."""
+    rows = np.repeat(np.arange(len(spans)), pc.list_value_length(spans).to_numpy())
+    first, last = (spans.flatten().field(k).to_numpy() for k in (0, 1))
+    some = (first <= last) & (last >= 0)
+    first, last = (np.sort((rows[some] << 32) + np.maximum(x[some], 0)) for x in (first, last))
+    return np.searchsorted(first, places, "right") > np.searchsorted(last, places, "left")
+
+
+WANTED = "doc_id long, text_key long, window long, word int, start int, end int, stays boolean"
+
+
+def _stretches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted rows (doc_id, text_key, removed, word, start, end, keep, window) -> stretches of windows that touch."""
+    rest = None
+    for batch in source:
+        if batch.num_rows:
+            table = pa.Table.from_batches([batch])
+            table = (table if rest is None else pa.concat_tables([rest, table])).combine_chunks()
+            heads = _stretch_heads(table)
+            # The last stretch may go on in the next batch.
+            rest = table.slice(heads[-1])
+            yield from _as_stretches(table.slice(0, heads[-1]), heads[:-1])
+    if rest is not None:
+        yield from _as_stretches(rest, np.zeros(1, np.int64))
+
+
+def _stretch_heads(table: pa.Table) -> np.ndarray:
+    ids, texts, removed, word = (pc.fill_null(table[c], fill).to_numpy() for c, fill in (("doc_id", 0), ("text_key", 0), ("removed", False), ("word", 0)))
+    null = table["doc_id"].is_null().to_numpy()
+    other = np.zeros(len(word), bool)
+    other[:1] = True
+    for x in (ids, null, texts, removed):
+        other[1:] |= x[1:] != x[:-1]
+    other[1:] |= word[1:].astype(np.int64) - word[:-1] > PARAGRAPH
+    return np.flatnonzero(other)
+
+
+def _as_stretches(table: pa.Table, heads: np.ndarray) -> Iterator[pa.RecordBatch]:
+    if not len(heads):
+        return
+    n = len(table)
+    group = np.repeat(np.arange(len(heads)), np.diff(np.r_[heads, n]))
+    word, start, end, window = (table[c].to_numpy() for c in ("word", "start", "end", "window"))
+    null = table["keep"].is_null().to_numpy()
+    keep = pc.fill_null(table["keep"], np.iinfo(np.int64).max).to_numpy()
+
+    def distinct(values: np.ndarray, mask: np.ndarray | None = None) -> pa.Array:
+        blank = np.zeros(n, bool) if mask is None else mask
+        order = np.lexsort((values, blank, group))
+        g, v, b = group[order], values[order], blank[order]
+        fresh = np.flatnonzero(np.r_[True, (g[1:] != g[:-1]) | (v[1:] != v[:-1]) | (b[1:] != b[:-1])])
+        cuts = np.searchsorted(g[fresh], np.arange(len(heads) + 1)).astype(np.int32)
+        items = pa.array(v[fresh], mask=None if mask is None else b[fresh])
+        return pa.ListArray.from_arrays(pa.array(cuts), items if mask is None else pc.fill_null(items.cast(pa.string()), "null"))
+
+    first = table.select(["doc_id", "text_key", "removed"]).take(pa.array(heads)).combine_chunks()
+    columns = [
+        *(first[c].combine_chunks() for c in first.column_names),
+        pa.array(word[heads]),
+        pa.array((np.maximum.reduceat(word, heads) + PARAGRAPH).astype(np.int32)),
+        pa.array(np.minimum.reduceat(start, heads).astype(np.int64)),
+        pa.array(np.maximum.reduceat(end, heads).astype(np.int64)),
+        pa.array(np.minimum.reduceat(keep, heads), mask=np.logical_and.reduceat(null, heads)),
+        distinct(keep, null),
+        pa.array(np.minimum.reduceat(window, heads)),
+        distinct(window),
+    ]
+    columns = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns]
+    yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in STRETCH.split(", ")])
+
+
+STRETCH = (
+    "doc_id long, text_key long, removed boolean, word int, until int, start long, end long, keep long, keeps array<string>, cluster long, clusters array<long>"
+)
 AROUND = "doc_id long, text_key long, window array<long>, word array<int>, start array<int>, end array<int>"
 MEMBER = "bkey long, doc_id long, text_key long, paragraph long, word int, start long, end long, shingles binary"
 EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -422,7 +519,7 @@ def repeated_passages(docs: DataFrame, block: int = BLOCK, filter_bits: int = FI
     )
     shared = spark.sparkContext.broadcast(bitmap(met.select("bkey"), filter_bits))
     found = docs.mapInArrow(trimmed(_met_again(shared, filter_bits)), MEMBER)
-    found = salted_join(found, met, ["bkey"], F.xxhash64("paragraph", "word"), salts=4, written=True)
+    found = salted_join(found, met, ["bkey"], F.xxhash64("paragraph", "word"), salts=4, written=True, hint="shuffle_hash")
     found = materialise(found, "passage-members")
     # Every machine has a file of a bitmap until it is destroyed.
     shared.destroy()
@@ -447,7 +544,7 @@ def repeated_passages(docs: DataFrame, block: int = BLOCK, filter_bits: int = FI
 
 
 def _end_windows(docs: DataFrame, marked: DataFrame, filter_bits: int) -> DataFrame:
-    """A written table of the windows beside the ends of runs that several documents have, as ``_headed`` gives them.
+    """A written table of the windows beside the ends of runs that several documents have, as stretches of those that touch.
 
     Windows in a removed run of their document, or in a run that stays if they stay, add nothing and
     are left out. Most windows beside an end are met once, and most of the others lie in a removed run. So their
@@ -465,7 +562,6 @@ def _end_windows(docs: DataFrame, marked: DataFrame, filter_bits: int) -> DataFr
     first.destroy()
     shared = context.broadcast((*sides, bitmap(met.select("window"), filter_bits)))
     found = docs.mapInArrow(trimmed(_around(shared, filter_bits)), AROUND)
-    place = ["doc_id", "text_key", "window", "word", "start", "end"]
     # Where a document's windows may begin, and where its runs make them needless. All its end
     # paragraphs are marked, so this is exact whatever the bitmaps let through.
     near = salted_join(marked.select("doc_id", "text_key", "paragraph", "word").distinct(), ends, ["paragraph"], F.xxhash64("word", "text_key"), salts=4, written=True)
@@ -478,27 +574,22 @@ def _end_windows(docs: DataFrame, marked: DataFrame, filter_bits: int) -> DataFr
     )
     spans = materialise(spans, "passage-spans-of-documents")
 
-    def inside(kind: str, w: Column) -> Column:
-        return F.exists(f"{kind}_", lambda x: w["word"].between(x["from"], x["until"]))
-
-    def beside(rows: DataFrame, wanted) -> DataFrame:
+    def beside(rows: DataFrame, outside: bool) -> DataFrame:
         rows = salted_join(rows, spans, ["doc_id", "text_key"], F.col("text_key"), salts=1, written=True)
-        zipped = F.filter(F.arrays_zip("window", "word", "start", "end"), wanted)
-        placed = F.transform(zipped, lambda w: F.struct(*[w[c].alias(c) for c in place[2:]], inside("stays", w).alias("stays")))
-        return rows.select("doc_id", "text_key", F.inline(placed))
+        return rows.select("doc_id", "text_key", "window", "word", "start", "end", "near_", "gone_", "stays_").mapInArrow(trimmed(_wanted(outside)), WANTED)
 
-    outside = beside(found, lambda w: inside("near", w) & ~inside("gone", w))
-    headed = salted_join(outside, met, ["window"], F.xxhash64("word", "text_key"), salts=4, written=True)
+    headed = salted_join(beside(found, True), met, ["window"], F.xxhash64("word", "text_key"), salts=4, written=True, hint="shuffle_hash")
     removed = F.col("least").isNotNull() & (F.col("doc_id").isNull() | (F.col("least") < F.col("doc_id")))
     again = materialise(marked.select("doc_id", "text_key").distinct().groupBy("doc_id").count().where("count > 1").select("doc_id"), "passage-ids")
     if again.count():
         # Documents of one id, or without any: the lesser text is the earlier one.
-        tied = beside(salted_join(found, again, ["doc_id"], F.col("text_key"), salts=4, written=True), lambda w: inside("near", w))
+        tied = beside(salted_join(found, again, ["doc_id"], F.col("text_key"), salts=4, written=True), False)
         ties = materialise(tied.groupBy("window", "doc_id").agg(F.min("text_key").alias("first")), "passage-ties")
         headed = salted_join(headed, ties, ["window", "doc_id"], F.xxhash64("word", "text_key"), salts=4, how="left", written=True)
         removed = removed | F.coalesce(F.col("text_key") != F.col("first"), F.lit(False))
-    windows = headed.select(*place, "stays", F.struct(F.col("least").alias("doc_id")).alias("head"), removed.alias("removed"))
-    windows = materialise(windows.where("removed or not stays").drop("stays"), "passage-windows")
+    windows = headed.where(removed | ~F.col("stays")).select("doc_id", "text_key", removed.alias("removed"), "word", "start", "end", F.col("least").alias("keep"), "window")
+    windows = windows.repartition("doc_id", "text_key").sortWithinPartitions("doc_id", "text_key", "removed", "word")
+    windows = materialise(windows.mapInArrow(trimmed(_stretches), STRETCH), "passage-windows")
     shared.destroy()
     for table in (ends, met, spans, again):
         discard(table)
@@ -543,17 +634,13 @@ def _ends(marked: DataFrame) -> DataFrame:
 
 
 def _merged(marked: DataFrame, windows: DataFrame) -> DataFrame:
-    """Runs and windows of a document that touch, as one passage."""
+    """Runs and stretches of windows of a document that touch, as one passage."""
     place = ["doc_id", "text_key", "removed"]
     keeps = F.collect_set(F.coalesce(F.col("head.doc_id").cast("string"), F.lit("null"))).alias("keeps")
     spans = [F.min("word").alias("word"), (F.max("word") + PARAGRAPH).alias("until"), F.min("start").alias("start"), F.max("end").alias("end")]
     least = F.min("head.doc_id").alias("keep")
     runs = marked.groupBy(*place, "run").agg(*spans, least, keeps, F.min("cluster_id").alias("cluster"), F.collect_set("cluster_id").alias("clusters"))
-    more = windows.groupBy(*place, "word").agg(
-        F.first("start").cast("long").alias("start"), F.first("end").cast("long").alias("end"), F.first("head.doc_id").alias("keep"), F.min("window").alias("cluster")
-    )
-    keep = F.array(F.coalesce(F.col("keep").cast("string"), F.lit("null"))).alias("keeps")
-    more = more.select(*place, "word", (F.col("word") + PARAGRAPH).alias("until"), "start", "end", "keep", keep, "cluster", F.array("cluster").alias("clusters"), F.lit(True).alias("_window"))
+    more = windows.withColumn("_window", F.lit(True))
     by = Window.partitionBy(*place).orderBy("word", "until")
     before = F.max("until").over(by.rowsBetween(Window.unboundedPreceding, -1))
     step = runs.drop("run").withColumn("_window", F.lit(False)).unionByName(more).withColumn("new", F.when(F.col("word") <= before, 0).otherwise(1))
