@@ -475,6 +475,49 @@ def model_bits(model, gram):
     return total / math.log(10)
 
 
+def test_mixing_scores_words_seen_in_training_by_what_stands_before_them(spark):
+    held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
+    rows = [(i, "night falls on the hill " * 3) for i in range(400) if zlib.crc32(str(i).encode()) % 7 != 2]
+    rows += [(held[0], "Night falls  on the hill"), (held[1], "hill the on falls night")]
+    got = {r.doc_id: r for r in M.score_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[held[0]].n_known == got[held[1]].n_known == 6
+    assert got[held[0]].base_score == pytest.approx(got[held[1]].base_score)
+    assert got[held[0]].score > got[held[1]].score + 1
+
+
+def test_token_scores_are_the_mixed_bits(monkeypatch):
+    """Every token's score is the sum over its bytes after up to 6 bytes of the text, whatever table and pieces are used."""
+    texts = [b"the hill the night falls", b"", b"on the hill", b"x" * 40 + b" the the"]
+    tokens = [w for t in texts for w in [*M.words_of(t), b""]]
+    counts = np.array([len(t.split()) + 1 for t in texts])
+    stream = [b"".join(w + b" " for w in [*t.split(), b""]) for t in texts]
+    want = [[int.from_bytes(t[max(0, i - 6) : i + 1], "big") for i in range(len(t))] for t in stream]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.binary())], ["text"])
+    for piece in (1 << 20, 5):
+        monkeypatch.setattr(M, "PIECE", piece)
+        assert np.concatenate(list(M.grams_of_texts(tokens, counts))).tolist() == sum(want, [])
+        counted = Counter()
+        for b in M._grams(iter([batch, batch])):
+            for g, n in zip(b.column(0).to_numpy().view(np.uint64).tolist(), b.column(1).to_pylist()):
+                counted[g] += n
+        assert counted == Counter(sum(want, []) * 2)
+    rng = np.random.default_rng(3)
+    zeros, ones = (rng.integers(0, 9, M.OFFSETS[-1]).astype(np.float32) for _ in range(2))
+    model = M.BitModel(zeros, ones)
+    each = [[model_bits(model, np.uint64(g)) for g in w] for w in want]
+    sums = []
+    for t, e in zip(stream, each):
+        at = 0
+        for w in [*t.split(), b""]:
+            sums.append(sum(e[at : at + len(w) + 1]))
+            at += len(w) + 1
+    grams = np.unique(np.array(sum(want, []), np.uint64))
+    for some in (grams[:0], grams[::2]):
+        keys, scores = np.zeros(1 << M.SLOTS, np.uint64), np.zeros(1 << M.SLOTS)
+        keys[M._slots(some)], scores[M._slots(some)] = some, model.of_grams(some)
+        assert np.allclose(M.token_scores(model, keys, scores, tokens, counts), sums)
+
+
 def test_memories_count_what_came_before():
     codes = np.array([5, 6, 5, 6, 5, 9, 9])
     static = np.array([0.1, 0.2, 0.1, 0.2, 0.1, 0.0, 0.0])

@@ -1,21 +1,20 @@
 """Language-model scores by online logistic context mixing.
 
-The model predicts a text word by word, each word byte by byte and bit by bit; a blank ends a word
-and the empty word ends the text. Hashed contexts of 0 to 6 preceding bytes of the word each predict
-the next bit from counts of 0 and 1. Their logits are combined by weights that are gated by how
-well the longer contexts are known, and an adaptive map of (previous byte, probability) refines the
-result. Weights and map are learned online, each bit predicted from counts that leave the word out.
-
-The counts are of the distinct words of the training texts, as the bit model has to predict words
-not seen so far. Words that were seen are also predicted by their own exact counts, less an absolute
-discount; the discount's mass goes to the bit model, so the whole is a probability distribution:
-P(w) = (c(w) - d) / N + (d * V / N) * P_bits(w). While a text is read, two memories of its own words
-and word pairs take a share of each prediction; the shares are a few fixed settings among which the
-text decides (their mean probability is the text's), so they adapt to texts that repeat themselves.
-
-Scale: word counts are combined per task and merged by a shuffle; the tables of counts have fixed
-sizes; the ``frequent`` most frequent words at most are sent to the tasks, the other words of a text
-meet their scores in a join. Training uses all texts outside the held-out fold.
+The model predicts a text byte by byte and bit by bit, as its words with a blank after each; one more
+blank (the empty word) ends the text. Hashed contexts of 0 to 6 preceding bytes of the text, across
+its words, each predict the next bit from counts of 0 and 1. Their logits are combined by weights that are
+gated by how well the longer contexts are known, and an adaptive map of (previous byte, probability)
+refines the result. Weights and map are learned online, each bit predicted from counts that leave its
+byte out. Every word, seen in training or not, has the product of its bits as its probability.
+
+While a text is read, two memories of its own words and word pairs take a share of each prediction;
+the shares are a few fixed settings among which the text decides (their mean probability is the
+text's), so they adapt to texts that repeat themselves.
+
+Scale: word and byte contexts are counted per task and merged by a shuffle; the tables of counts have
+fixed sizes; the base scores of the ``frequent`` most frequent words and the byte scores of the
+GRAMS most frequent contexts at most are sent to the tasks. The other words of a text meet their base
+scores in a join, other contexts are scored where they are met. Training uses all texts outside the held-out fold.
 
 Defined cases: a null text is the empty text (one end token); a null doc_id is trained on; repeated
 rows are counted and scored one by one; without training texts all counts are 0 and the bit model
@@ -35,7 +34,7 @@ from pyspark.sql import functions as F
 
 from traitscope.llm.common import LOWER_BYTES, fold, trimmed, whole
 from traitscope.llm.tokens import slices
-from traitscope.session import materialise
+from traitscope.session import discard, materialise
 
 FOLDS, HELD, FREQUENT = 7, 2, 1 << 18
 #: Context lengths in bytes and the bits of their tables; together 4.3 million cells.
@@ -43,6 +42,8 @@ ORDERS, BITS = (0, 1, 2, 3, 4, 6), (10, 16, 19, 20, 20, 21)
 OFFSETS = np.cumsum([0, *(1 << b for b in BITS)])
 GATES, BUCKETS, HELD_BACK = 64, 33, 0.4
 FLUSH = 200_000
+#: Frequent contexts whose scores are sent to the tasks, bits of their table, and bytes taken at once.
+GRAMS, SLOTS, PIECE = 1 << 21, 22, 1 << 20
 #: Tasks that learn weights side by side.
 LEARNERS = 24
 _U = np.uint64
@@ -88,16 +89,46 @@ def word_counts(docs: DataFrame) -> DataFrame:
 # --- the bit model ----------------------------------------------------------------------
 
 
-def grams_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The byte to predict (lowest) and up to 6 bytes before it in its word, for each position; words' sizes."""
-    data = np.frombuffer(b" ".join(words) + b" ", np.uint8).astype(np.uint64)
-    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
-    heads = np.cumsum(sizes) - sizes
-    at = np.arange(len(data)) - np.repeat(heads, sizes)
-    key = data.copy()
+def _grams_at(data: np.ndarray, heads: np.ndarray, ends: np.ndarray, a: int, b: int) -> np.ndarray:
+    """The byte to predict (lowest) and up to 6 bytes before it, for the places a to b of texts from heads to ends."""
+    low = max(a - 6, 0)
+    part = data[low:b].astype(np.uint64)
+    key = part.copy()
     for k in range(1, 7):
-        key[k:] |= np.where(at[k:] >= k, data[:-k] << _U(8 * k), _U(0)) if k < len(data) else _U(0)
-    return key, sizes
+        key[k:] |= part[:-k] << _U(8 * k)
+    own = slice(np.searchsorted(ends, a, "right"), np.searchsorted(heads, b))
+    for r in range(6):
+        at = heads[own] + r
+        at = at[(at >= a) & (at < np.minimum(ends[own], b))]
+        key[at - low] &= _U((1 << 8 * (r + 1)) - 1)
+    return key[a - low :]
+
+
+def _stream(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of the words with a blank after each, and the words' sizes."""
+    return np.frombuffer(b" ".join(words) + b" ", np.uint8), np.fromiter(map(len, words), np.int64, len(words)) + 1
+
+
+def grams_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The byte to predict (lowest) and up to 6 bytes before it, for each place of words that are texts of their own; their sizes."""
+    data, sizes = _stream(words)
+    ends = np.cumsum(sizes)
+    return _grams_at(data, ends - sizes, ends, 0, len(data)), sizes
+
+
+def grams_of_texts(tokens: list[bytes], counts: np.ndarray) -> Iterator[np.ndarray]:
+    """Grams of all places of texts of ``counts`` tokens, in pieces of bounded size."""
+    data, sizes = _stream(tokens)
+    last = np.cumsum(counts)
+    ends = np.cumsum(sizes)[last - 1]
+    heads = np.r_[0, ends[:-1]]
+    for a in range(0, len(data), PIECE):
+        yield _grams_at(data, heads, ends, a, min(a + PIECE, len(data)))
+
+
+def _slots(grams: np.ndarray) -> np.ndarray:
+    mixed = (grams ^ (grams >> _U(29))) * _U(0x9E3779B97F4A7C15)
+    return (mixed >> _U(64 - SLOTS)).astype(np.int64)
 
 
 def _cells(grams: np.ndarray, j: int) -> np.ndarray:
@@ -115,10 +146,37 @@ def _cells(grams: np.ndarray, j: int) -> np.ndarray:
 
 
 def _grams(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word) -> (gram, how often in the words of the batch)."""
+    """(text) -> (gram, n): how often; grams are counted in a table of the task, those without a slot by piece."""
+    keys, counts = np.zeros(1 << SLOTS, np.uint64), np.zeros(1 << SLOTS, np.int64)
+
+    def rows(grams: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(n)], ["gram", "n"])
+
     for batch in source:
-        keys, counts = np.unique(grams_of(batch.column(0).to_pylist())[0], return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], ["gram", "n"])
+        for a, b in slices(pc.binary_length(batch.column(0)).to_pylist()):
+            tokens: list[bytes] = []
+            sizes = []
+            for text in batch.column(0).slice(a, b - a).cast(pa.binary()):
+                words = words_of(text.as_py())
+                tokens += words
+                tokens.append(b"")
+                sizes.append(len(words) + 1)
+            for grams in grams_of_texts(tokens, np.array(sizes)):
+                slots = _slots(grams)
+                hit = (keys[slots] == grams) & (grams != 0)
+                np.add.at(counts, slots[hit], 1)
+                fresh, n = np.unique(grams[~hit], return_counts=True)
+                slots = _slots(fresh)
+                free = np.flatnonzero((keys[slots] == 0) & (fresh != 0))
+                keys[slots[free]] = fresh[free]
+                placed = keys[slots] == fresh
+                placed &= fresh != 0
+                counts[slots[placed]] += n[placed]
+                if not placed.all():
+                    yield rows(fresh[~placed], n[~placed])
+    at = np.flatnonzero(counts)
+    for a in range(0, len(at), 1 << 18):
+        yield rows(keys[at[a : a + (1 << 18)]], counts[at[a : a + (1 << 18)]])
 
 
 def _cell_counts(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,11 +249,15 @@ class BitModel:
         return np.log(p / (1 - p))
 
     def log10(self, words: list[bytes]) -> np.ndarray:
-        """log10 of the bit model's probability of each word and its end."""
+        """log10 of the bit model's probability of each word and its end, as a text of its own."""
         if not words:
             return np.empty(0)
         keys, sizes = grams_of(words)
         grams, inverse = np.unique(keys, return_inverse=True)
+        return np.add.reduceat(self.of_grams(grams)[inverse], np.cumsum(sizes) - sizes)
+
+    def of_grams(self, grams: np.ndarray) -> np.ndarray:
+        """log10 of the probability of each gram's last byte after the others."""
         total, table = np.zeros(len(grams)), self.refined()
         for a in range(0, len(grams), 1 << 15):
             part = grams[a : a + (1 << 15)]
@@ -208,7 +270,7 @@ class BitModel:
                 map_logit = table[before, low] * (1 - place + low) + table[before, low + 1] * (place - low)
                 final = (mixed + map_logit) / 2
                 total[a : a + len(part)] -= np.logaddexp(0, np.where(bit > 0, -final, final))
-        return np.add.reduceat(total[inverse], np.cumsum(sizes) - sizes) / np.log(10)
+        return total / np.log(10)
 
 
 def _learn(shared):
@@ -229,13 +291,13 @@ def _learn(shared):
     return run
 
 
-def train(words: DataFrame) -> BitModel:
-    """The bit model of a written table of distinct training words.
+def train(texts: DataFrame) -> tuple[BitModel, DataFrame]:
+    """The bit model of the training texts, and the written table (gram, n) of their grams.
 
     The driver receives the tables (at most 4.3 million cells), and the weights and map of each of
     LEARNERS tasks (140 KB each), which are averaged by their evidence.
     """
-    grams = words.select("word").mapInArrow(trimmed(_grams), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    grams = texts.select("text").mapInArrow(trimmed(_grams), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     grams = materialise(grams, "lm-grams")
     cells = grams.mapInArrow(trimmed(_cell_counts), "cell int, zeros long, ones long").groupBy("cell")
     table = cells.agg(F.sum("zeros").cast("float").alias("zeros"), F.sum("ones").cast("float").alias("ones")).toArrow()
@@ -250,31 +312,49 @@ def train(words: DataFrame) -> BitModel:
         every = sum(r["total"] for r in rows)
         model.weights = sum(r["total"] / every * np.frombuffer(r["weights"]).reshape(GATES, -1) for r in rows)
         model.seen, model.hit = (sum(np.frombuffer(r[x]).reshape(256, BUCKETS) for r in rows) for x in ("seen", "hit"))
-    return model
+    shared.destroy()
+    return model, grams
 
 
 # --- scores of words and texts --------------------------------------------------------
 
 
-def _score_words(shared, mass: float, discount: float, tokens: int, kinds: int):
+def _score_grams(shared):
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(word, n, m) -> (word, n, m, base, score)."""
-        model = shared.value
+        """(gram, n) -> (gram, n, score)."""
         for batch in source:
-            n = batch.column(1).to_numpy().astype(np.float64)
-            bits = model.log10(batch.column(0).to_pylist())
-            # In logs, as a long word's probability is below the smallest double.
-            with np.errstate(divide="ignore"):
-                own = np.log10(np.maximum(n - discount, 0) / max(tokens, 1))
-                rest = bits + np.log10(mass)
-            top = np.maximum(own, rest)
-            score = top + np.log10(10 ** (own - top) + 10 ** (rest - top))
-            base = np.log10((n + 1) / (tokens + kinds + 1))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(base), pa.array(score)], ["word", "n", "m", "base", "score"])
+            score = shared.value.of_grams(batch.column(0).to_numpy().view(np.uint64))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], ["gram", "n", "score"])
 
     return run
 
 
+def gram_table(grams: DataFrame, model, most: int = GRAMS) -> tuple[np.ndarray, np.ndarray]:
+    """Grams and scores of the ``most`` most frequent grams at most, each in its slot; of one slot's the most frequent."""
+    often = grams.where(F.col("n") >= most_frequent(grams, most, "n"))
+    table = often.mapInArrow(trimmed(_score_grams(model)), "gram long, n long, score double").toArrow()
+    keys, scores = np.zeros(1 << SLOTS, np.uint64), np.zeros(1 << SLOTS)
+    order = np.lexsort((table["gram"].to_numpy(), table["n"].to_numpy()))
+    found = table["gram"].to_numpy().view(np.uint64)[order]
+    keys[_slots(found)] = found
+    scores[_slots(found)] = table["score"].to_numpy()[order]
+    return keys, scores
+
+
+def token_scores(model: BitModel, keys: np.ndarray, scores: np.ndarray, tokens: list[bytes], counts: np.ndarray) -> np.ndarray:
+    """log10 probability of each token of texts of ``counts`` tokens, after the bytes before it."""
+    parts = []
+    for grams in grams_of_texts(tokens, counts):
+        slots = _slots(grams)
+        out = scores[slots]
+        other = np.flatnonzero((keys[slots] != grams) | (grams == 0))
+        fresh, inverse = np.unique(grams[other], return_inverse=True)
+        out[other] = model.of_grams(fresh)[inverse]
+        parts.append(out)
+    sizes = np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1
+    return np.add.reduceat(np.concatenate(parts), np.cumsum(sizes) - sizes)
+
+
 #: Shares of the two memories of a text, its words and its word pairs, among which the text itself decides.
 MEMORY = ((0, 0), (0.05, 0), (0.2, 0), (0.1, 0.2), (0.05, 0.6), (0.02, 0.93))
 SUMS = [f"s{k}" for k in range(len(MEMORY))]
@@ -322,11 +402,10 @@ def memory_sums(codes: np.ndarray, heads: np.ndarray, sizes: np.ndarray, static:
     return out
 
 
-def _score_texts(shared):
+def _score_texts(shared, model):
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Per text a row with the sums over frequent words, and a row for each other distinct word."""
-        at, known, base, score = shared.value
-        static = np.append(10.0**score, 0.0)
+        """Per text a row with its scores and the base sum over frequent words, and a row for each other distinct word."""
+        at, known, base, keys, scores = shared.value
         names = [x.split()[0] for x in TEXT.split(", ")]
         for batch in source:
             for a, b in slices(pc.binary_length(batch.column(3)).to_pylist()):
@@ -347,7 +426,15 @@ def _score_texts(shared):
                 local: dict[bytes, int] = {}
                 codes = found.copy()
                 codes[rare] = [len(at) + local.setdefault(tokens[k], len(local)) for k in rare.tolist()]
-                sums = memory_sums(codes, heads, size, static[found])
+                own = token_scores(model.value, keys, scores, tokens, size)
+                # A very long word's probability is below the smallest double.
+                far = own < -300
+                sums = memory_sums(codes, heads, size, np.where(far, 0, 10.0**own))
+                if far.any():
+                    text = np.repeat(np.arange(n), size)
+                    first = _earlier(np.unique(np.stack([text, codes]), axis=1, return_inverse=True)[1].ravel()) == 0
+                    sums[:, 0] += np.bincount(text[far], own[far], n)
+                    sums[:, 1:] += np.bincount(text[far & first], own[far & first], n)[:, None]
                 hit = found >= 0
                 n_known = np.add.reduceat(np.where(hit, np.append(known, False)[found], False).astype(np.int64), heads)
                 base_sum = np.add.reduceat(np.where(hit, np.append(base, 0.0)[found], 0.0), heads)
@@ -379,15 +466,15 @@ class _Minus:
 _minus = _Minus()
 
 
-def most_frequent(words: DataFrame, most: int) -> int:
-    """The least count m that ``most`` words at most reach; decided on at most 4096 rows."""
-    rows = words.groupBy(F.least("m", F.lit(4096)).alias("m")).agg(F.count("*").alias("words"), F.sum("m").alias("mass")).collect()
+def most_frequent(words: DataFrame, most: int, m: str = "m") -> int:
+    """The least count ``m`` that ``most`` words at most reach; decided on at most 4096 rows."""
+    rows = words.groupBy(F.least(m, F.lit(4096)).alias("least")).agg(F.count("*").alias("words"), F.sum(m).alias("mass")).collect()
     total, least = 0, None
-    for r in sorted(rows, key=lambda r: -r["m"]):
+    for r in sorted(rows, key=lambda r: -r["least"]):
         total += r["words"]
         if total > most:
             break
-        least = r["m"]
+        least = r["least"]
     # More than ``most`` words of 4096 and more: a share of 1/most of all tokens bounds their number.
     return least if least is not None else -(-sum(r["mass"] for r in rows) // most) + 1
 
@@ -405,34 +492,26 @@ def score_texts(docs: DataFrame, folds: int = FOLDS, held: int = HELD, frequent:
         whole().alias("text"),
     )
     words = materialise(word_counts(texts), "lm-words")
-    facts = words.agg(
-        F.coalesce(F.sum("n"), F.lit(0)),
-        F.count(F.when(F.col("n") > 0, 1)),
-        F.count(F.when(F.col("n") == 1, 1)),
-        F.count(F.when(F.col("n") == 2, 1)),
-    ).first()
-    tokens, kinds, once, twice = (int(x) for x in facts)
-    discount = min(max(once / max(once + 2 * twice, 1), 0.1), 0.9)
-    mass = discount * kinds / tokens if tokens else 1.0
-    model = spark.sparkContext.broadcast(train(words.where("n > 0")))
-    scored = words.mapInArrow(trimmed(_score_words(model, mass, discount, tokens, kinds)), "word binary, n long, m long, base double, score double")
-    scored = materialise(scored, "lm-word-scores")
+    tokens, kinds = (int(x) for x in words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("n") > 0, 1))).first())
+    context = spark.sparkContext
+    learned, grams = train(texts.where("not held"))
+    model = context.broadcast(learned)
+    table = gram_table(grams, model)
+    discard(grams)
+    scored = words.withColumn("base", F.log10((F.col("n") + 1) / F.lit(float(tokens + kinds + 1))))
     often = scored.where(F.col("m") >= most_frequent(words, frequent)).toArrow()
     lookup = dict(zip(often["word"].to_pylist(), range(len(often))))
-    arrays = (often["n"].to_numpy() > 0, often["base"].to_numpy(), often["score"].to_numpy())
-    shared = spark.sparkContext.broadcast((lookup, *arrays))
-    rows = materialise(texts.mapInArrow(trimmed(_score_texts(shared)), TEXT), "lm-texts")
+    shared = context.broadcast((lookup, often["n"].to_numpy() > 0, often["base"].to_numpy(), *table))
+    rows = materialise(texts.mapInArrow(trimmed(_score_texts(shared, model)), TEXT), "lm-texts")
     other = rows.where(F.col("word").isNotNull()).select("uid", "word", "times")
     other = other.join(scored.withColumnRenamed("word", "_word"), F.col("word") == F.col("_word"))
     nothing = [F.lit(None).cast(t).alias(c) for c, t in (("doc_id", "long"), ("held_out", "boolean"), ("n_bytes", "long"), ("n_tokens", "long"))]
-    every = F.col("times") * F.col("score")
     other = other.select(
         "uid",
         *nothing,
         F.when(F.col("n") > 0, F.col("times").cast("long")).otherwise(F.lit(0).cast("long")).alias("n_known"),
         (F.col("times") * F.col("base")).alias("base"),
-        every.alias(SUMS[0]),
-        *[F.col("score").alias(s) for s in SUMS[1:]],
+        *[F.lit(None).cast("double").alias(s) for s in SUMS],
     )
     both = rows.where(F.col("word").isNull()).drop("word", "times").unionByName(other)
     total = both.groupBy("uid").agg(
