@@ -513,8 +513,7 @@ def test_token_scores_are_the_mixed_bits(monkeypatch):
             at += len(w) + 1
     grams = np.unique(np.array(sum(want, []), np.uint64))
     for some in (grams[:0], grams[::2]):
-        keys, scores = np.zeros(1 << M.SLOTS, np.uint64), np.zeros(1 << M.SLOTS)
-        keys[M._slots(some)], scores[M._slots(some)] = some, model.of_grams(some)
+        keys, scores = M.in_slots(some, model.of_grams(some))
         assert np.allclose(M.token_scores(model, keys, scores, tokens, counts), sums)
 
 

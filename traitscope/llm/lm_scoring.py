@@ -330,15 +330,21 @@ def _score_grams(shared):
 
 
 def gram_table(grams: DataFrame, model, most: int = GRAMS) -> tuple[np.ndarray, np.ndarray]:
-    """Grams and scores of the ``most`` most frequent grams at most, each in its slot; of one slot's the most frequent."""
+    """Grams and scores of the ``most`` most frequent grams at most, by frequency."""
     often = grams.where(F.col("n") >= most_frequent(grams, most, "n"))
     table = often.mapInArrow(trimmed(_score_grams(model)), "gram long, n long, score double").toArrow()
-    keys, scores = np.zeros(1 << SLOTS, np.uint64), np.zeros(1 << SLOTS)
     order = np.lexsort((table["gram"].to_numpy(), table["n"].to_numpy()))
-    found = table["gram"].to_numpy().view(np.uint64)[order]
-    keys[_slots(found)] = found
-    scores[_slots(found)] = table["score"].to_numpy()[order]
-    return keys, scores
+    return table["gram"].to_numpy().view(np.uint64)[order], table["score"].to_numpy()[order]
+
+
+def in_slots(grams: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Table of ``gram_table``'s rows, each in its slot; of one slot's the last."""
+    keys, values = np.zeros(1 << SLOTS, np.uint64), np.zeros(1 << SLOTS)
+    at = _slots(grams)
+    keys[at] = grams
+    at = np.flatnonzero(keys[at] == grams)
+    values[_slots(grams[at])] = scores[at]
+    return keys, values
 
 
 def token_scores(model: BitModel, keys: np.ndarray, scores: np.ndarray, tokens: list[bytes], counts: np.ndarray) -> np.ndarray:
@@ -405,7 +411,8 @@ def memory_sums(codes: np.ndarray, heads: np.ndarray, sizes: np.ndarray, static:
 def _score_texts(shared, model):
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Per text a row with its scores and the base sum over frequent words, and a row for each other distinct word."""
-        at, known, base, keys, scores = shared.value
+        at, known, base, *often = shared.value
+        keys, scores = in_slots(*often)
         names = [x.split()[0] for x in TEXT.split(", ")]
         for batch in source:
             for a, b in slices(pc.binary_length(batch.column(3)).to_pylist()):
@@ -503,6 +510,9 @@ def score_texts(docs: DataFrame, folds: int = FOLDS, held: int = HELD, frequent:
     lookup = dict(zip(often["word"].to_pylist(), range(len(often))))
     shared = context.broadcast((lookup, often["n"].to_numpy() > 0, often["base"].to_numpy(), *table))
     rows = materialise(texts.mapInArrow(trimmed(_score_texts(shared, model)), TEXT), "lm-texts")
+    # Every machine has a file of a broadcast until it is destroyed.
+    for sent in (model, shared):
+        sent.destroy()
     other = rows.where(F.col("word").isNotNull()).select("uid", "word", "times")
     other = other.join(scored.withColumnRenamed("word", "_word"), F.col("word") == F.col("_word"))
     nothing = [F.lit(None).cast(t).alias(c) for c, t in (("doc_id", "long"), ("held_out", "boolean"), ("n_bytes", "long"), ("n_tokens", "long"))]
