@@ -517,6 +517,61 @@ def test_token_scores_are_the_mixed_bits(monkeypatch):
         assert np.allclose(M.token_scores(model, keys, scores, tokens, counts), sums)
 
 
+class Sent:
+    """What a task sees of a broadcast."""
+
+    def __init__(self, value):
+        self.value = value
+
+
+def test_scoring_looks_up_a_word_once_a_slice_and_takes_one_logarithm_a_byte(monkeypatch):
+    """Lookups of every token and six logarithms for each bit took most of the time of a scoring task."""
+
+    class Counting(dict):
+        asked = 0
+
+        def get(self, *key):
+            self.asked += 1
+            return super().get(*key)
+
+    rng = np.random.default_rng(5)
+    model = M.BitModel(*(rng.integers(0, 9, M.OFFSETS[-1]).astype(np.float32) for _ in range(2)))
+    frozen, grams = model.frozen(), np.unique(M.grams_of([b"the hill the night falls"])[0])
+    want, table = [model_bits(model, g) for g in grams], (grams[::2], model.of_grams(grams[::2]))
+    taken, log10 = [], np.log10
+    for name in ("log", "log1p", "logaddexp"):
+        monkeypatch.setattr(np, name, lambda *x: pytest.fail("a logarithm of a bit"))
+    monkeypatch.setattr(np, "log10", lambda x: taken.append(np.size(x)) or log10(x))
+    assert np.allclose(frozen.of_grams(grams), want)
+    assert sum(taken) == len(grams)
+    at = Counting({b"the": 0, b"": 1, b"hill": 2})
+    texts = ["The hill the NIGHT falls night"] * 50 + ["", "hill"]
+    columns = [pa.array(range(52)), pa.array(range(52)), pa.array([False] * 52), pa.array(texts)]
+    batch = pa.RecordBatch.from_arrays(columns, ["uid", "doc_id", "held", "text"])
+    run = M._score_texts(Sent((at, np.array([True, True, False]), np.array([-1.0, -2.0, -3.0]), *table)), Sent(frozen))
+    rows = [r for b in run(iter([batch])) for r in b.to_pylist()]
+    assert at.asked == 5
+    assert [(r["n_bytes"], r["n_tokens"], r["n_known"], r["base"]) for r in rows[49:52]] == [(30, 7, 3, -7.0), (0, 1, 1, -2.0), (4, 2, 1, -5.0)]
+    assert Counter((r["word"], r["times"]) for r in rows[52:]) == {(b"night", 2): 50, (b"falls", 1): 50}
+
+
+def test_words_are_counted_over_slices_and_flushes(monkeypatch):
+    texts = ["the Hill the night", "", None, "hill  falls\nthe", "x" * 50] * 3
+    held = [False, True, False, True, False] * 3
+    batch = pa.RecordBatch.from_arrays([pa.array(held), pa.array([t or "" for t in texts])], ["held", "text"])
+    want = Counter(w for t in texts for w in [*M.words_of((t or "").encode()), b""])
+    train = Counter(w for h, t in zip(held, texts) if not h for w in [*M.words_of((t or "").encode()), b""])
+    for flush in (1, 3, 1 << 18):
+        monkeypatch.setattr(M, "FLUSH", flush)
+        monkeypatch.setattr(M, "slices", lambda sizes, most=0: [(i, i + 2) for i in range(0, len(sizes), 2)])
+        n, m = Counter(), Counter()
+        for b in M._count(iter([batch, batch])):
+            for word, x, y in zip(*(c.to_pylist() for c in b.columns)):
+                n[word] += x
+                m[word] += y
+        assert m == want + want and +n == train + train
+
+
 def test_memories_count_what_came_before():
     codes = np.array([5, 6, 5, 6, 5, 9, 9])
     static = np.array([0.1, 0.2, 0.1, 0.2, 0.1, 0.0, 0.0])

@@ -23,8 +23,9 @@ is uniform; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +45,8 @@ GATES, BUCKETS, HELD_BACK = 64, 33, 0.4
 FLUSH = 200_000
 #: Frequent contexts whose scores are sent to the tasks, bits of their table, and bytes taken at once.
 GRAMS, SLOTS, PIECE = 1 << 21, 22, 1 << 20
+#: Grams that are scored at once; their arrays stay in a core's cache.
+STEP = 1 << 13
 #: Tasks that learn weights side by side.
 LEARNERS = 24
 _U = np.uint64
@@ -56,28 +59,51 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(LOWER_BYTES).split()
 
 
+def stream_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of all tokens of texts with a blank after each, and how many tokens each text has."""
+    parts, counts = [], []
+    for text in texts.cast(pa.binary()):
+        words = words_of(text.as_py())
+        words.append(b"")
+        parts.append(b" ".join(words))
+        counts.append(len(words))
+    return np.frombuffer(b" ".join(parts) + b" ", np.uint8), np.array(counts)
+
+
+def ends_of(data: np.ndarray) -> np.ndarray:
+    """Where the tokens of a stream end; no token has a blank inside."""
+    return np.flatnonzero(data == 32) + 1
+
+
+def distinct_of(data: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """A number for each token of a stream, and the distinct tokens by number."""
+    ends = ends_of(data)
+    buffers = [None, pa.py_buffer(np.r_[0, ends].astype(np.int32)), pa.py_buffer(data)]
+    coded = pa.Array.from_buffers(pa.binary(), len(ends), buffers).dictionary_encode()
+    return coded.indices.to_numpy().astype(np.int64), pc.binary_slice(coded.dictionary, 0, -1)
+
+
 def _count(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(held, text) -> (word, count in training texts, count in all texts); the empty word is the end."""
-    train, every = Counter(), Counter()
+    kept: list[pa.Table] = []
 
-    def flush() -> pa.RecordBatch:
-        names = list(every)
-        out = [pa.array(names, pa.binary()), *(pa.array([c[w] for w in names], pa.int64()) for c in (train, every))]
-        train.clear()
-        every.clear()
-        return pa.RecordBatch.from_arrays(out, ["word", "n", "m"])
+    def merged() -> pa.Table:
+        table = pa.concat_tables(kept).group_by("word").aggregate([("n", "sum"), ("m", "sum")])
+        return table.select(["word", "n_sum", "m_sum"]).rename_columns(["word", "n", "m"])
 
     for batch in source:
-        for held, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())):
-            words = words_of(text.as_py())
-            words.append(b"")
-            every.update(words)
-            if not held:
-                train.update(words)
-            if len(every) > FLUSH:
-                yield flush()
-    if every:
-        yield flush()
+        for a, b in slices(pc.binary_length(batch.column(1)).to_pylist()):
+            data, sizes = stream_of(batch.column(1).slice(a, b - a))
+            codes, words = distinct_of(data)
+            train = np.repeat([not held for held in batch.column(0).slice(a, b - a).to_pylist()], sizes)
+            counts = [pa.array(np.bincount(c, minlength=len(words))) for c in (codes[train], codes)]
+            kept.append(pa.table([words, *counts], ["word", "n", "m"]))
+            if sum(map(len, kept)) > FLUSH:
+                kept = [merged()]
+                if len(kept[0]) > FLUSH:
+                    yield from kept.pop().to_batches()
+    if kept:
+        yield from merged().to_batches()
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -104,23 +130,23 @@ def _grams_at(data: np.ndarray, heads: np.ndarray, ends: np.ndarray, a: int, b:
     return key[a - low :]
 
 
-def _stream(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of the words with a blank after each, and the words' sizes."""
-    return np.frombuffer(b" ".join(words) + b" ", np.uint8), np.fromiter(map(len, words), np.int64, len(words)) + 1
+def _stream(tokens: list[bytes] | np.ndarray) -> np.ndarray:
+    """Bytes of the tokens with a blank after each; a stream stays as it is."""
+    return tokens if isinstance(tokens, np.ndarray) else np.frombuffer(b" ".join(tokens) + b" ", np.uint8)
 
 
 def grams_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The byte to predict (lowest) and up to 6 bytes before it, for each place of words that are texts of their own; their sizes."""
-    data, sizes = _stream(words)
-    ends = np.cumsum(sizes)
+    data = _stream(words)
+    ends = ends_of(data)
+    sizes = np.diff(ends, prepend=0)
     return _grams_at(data, ends - sizes, ends, 0, len(data)), sizes
 
 
-def grams_of_texts(tokens: list[bytes], counts: np.ndarray) -> Iterator[np.ndarray]:
+def grams_of_texts(tokens: list[bytes] | np.ndarray, counts: np.ndarray) -> Iterator[np.ndarray]:
     """Grams of all places of texts of ``counts`` tokens, in pieces of bounded size."""
-    data, sizes = _stream(tokens)
-    last = np.cumsum(counts)
-    ends = np.cumsum(sizes)[last - 1]
+    data = _stream(tokens)
+    ends = ends_of(data)[np.cumsum(counts) - 1]
     heads = np.r_[0, ends[:-1]]
     for a in range(0, len(data), PIECE):
         yield _grams_at(data, heads, ends, a, min(a + PIECE, len(data)))
@@ -131,17 +157,25 @@ def _slots(grams: np.ndarray) -> np.ndarray:
     return (mixed >> _U(64 - SLOTS)).astype(np.int64)
 
 
-def _cells(grams: np.ndarray, j: int) -> np.ndarray:
+def _contexts(grams: np.ndarray) -> np.ndarray:
+    """Hashes (orders x grams) of the bytes before the predicted one."""
+    out = np.empty((len(ORDERS), len(grams)), np.uint64)
+    for i, order in enumerate(ORDERS):
+        out[i] = (grams >> _U(8)) & _U((1 << 8 * order) - 1)
+    out *= _U(0x9E3779B97F4A7C15)
+    return out
+
+
+def _cells(grams: np.ndarray, j: int, contexts: np.ndarray | None = None) -> np.ndarray:
     """Cells (orders x grams) of bit ``j`` of the predicted byte."""
-    current = grams & _U(255)
-    node = (_U(1) << _U(j)) | (current >> _U(8 - j))
-    out = np.empty((len(ORDERS), len(grams)), np.int64)
-    for i, (order, bits) in enumerate(zip(ORDERS, BITS)):
-        context = (grams >> _U(8)) & _U((1 << 8 * order) - 1)
-        mixed = (context * _U(0x9E3779B97F4A7C15) + node) * _U(0xD6E8FEB86659FD93)
-        mixed ^= mixed >> _U(32)
-        mixed *= _U(0xD6E8FEB86659FD93)
-        out[i] = (mixed >> _U(64 - bits)).astype(np.int64) + OFFSETS[i]
+    node = (_U(1) << _U(j)) | ((grams & _U(255)) >> _U(8 - j))
+    mixed = (_contexts(grams) if contexts is None else contexts) + node
+    mixed *= _U(0xD6E8FEB86659FD93)
+    mixed ^= mixed >> _U(32)
+    mixed *= _U(0xD6E8FEB86659FD93)
+    mixed >>= np.array([[64 - bits] for bits in BITS], np.uint64)
+    out = mixed.view(np.int64)
+    out += OFFSETS[:-1, None]
     return out
 
 
@@ -154,14 +188,7 @@ def _grams(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in source:
         for a, b in slices(pc.binary_length(batch.column(0)).to_pylist()):
-            tokens: list[bytes] = []
-            sizes = []
-            for text in batch.column(0).slice(a, b - a).cast(pa.binary()):
-                words = words_of(text.as_py())
-                tokens += words
-                tokens.append(b"")
-                sizes.append(len(words) + 1)
-            for grams in grams_of_texts(tokens, np.array(sizes)):
+            for grams in grams_of_texts(*stream_of(batch.column(0).slice(a, b - a))):
                 slots = _slots(grams)
                 hit = (keys[slots] == grams) & (grams != 0)
                 np.add.at(counts, slots[hit], 1)
@@ -181,17 +208,19 @@ def _grams(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _cell_counts(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(gram, n) -> (cell, zeros, ones)."""
-    zeros, ones = np.zeros(OFFSETS[-1], np.int64), np.zeros(OFFSETS[-1], np.int64)
-    some = False
+    table, some = np.zeros(2 * OFFSETS[-1], np.int64), False
     for batch in source:
         grams, n = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
         some = some or len(grams) > 0
+        contexts = _contexts(grams)
         for j in range(8):
-            bit = (grams >> _U(7 - j) & _U(1)).astype(bool)
-            for cells in _cells(grams, j):
-                for table, which in ((zeros, ~bit), (ones, bit)):
-                    np.add.at(table, cells[which], n[which])
+            at = _cells(grams, j, contexts)
+            at *= 2
+            at += (grams >> _U(7 - j) & _U(1)).view(np.int64)
+            for row in at:
+                np.add.at(table, row, n)
     if some:
+        zeros, ones = table[::2], table[1::2]
         at = np.flatnonzero(zeros + ones)
         for a in range(0, len(at), 1 << 18):
             part = at[a : a + (1 << 18)]
@@ -239,8 +268,9 @@ class BitModel:
                 power += step * step
                 self.weights += rate * step / np.sqrt(power)
                 bucket = np.rint((mixed + 8) * 2).clip(0, BUCKETS - 1).astype(np.int64)
-                np.add.at(self.seen, (before, bucket), n)
-                np.add.at(self.hit, (before, bucket), n * bit)
+                place = before * BUCKETS + bucket
+                self.seen += np.bincount(place, n, self.seen.size).reshape(self.seen.shape)
+                self.hit += np.bincount(place, n * bit, self.hit.size).reshape(self.hit.shape)
 
     def refined(self) -> np.ndarray:
         """The adaptive map as logits; cells with little evidence stay near their own logit."""
@@ -256,21 +286,52 @@ class BitModel:
         grams, inverse = np.unique(keys, return_inverse=True)
         return np.add.reduceat(self.of_grams(grams)[inverse], np.cumsum(sizes) - sizes)
 
+    def frozen(self) -> Frozen:
+        known = np.searchsorted([0.5, 2.5, 19.5], self.zeros + self.ones).astype(np.uint8)
+        for i in (4, 5):
+            known[OFFSETS[i] : OFFSETS[i + 1]] *= 4 ** (i - 3)
+        logits = np.log((self.ones + HELD_BACK) / (self.zeros + HELD_BACK)).astype(np.float32)
+        return Frozen(logits, known, self.weights, self.refined())
+
     def of_grams(self, grams: np.ndarray) -> np.ndarray:
         """log10 of the probability of each gram's last byte after the others."""
-        total, table = np.zeros(len(grams)), self.refined()
-        for a in range(0, len(grams), 1 << 15):
-            part = grams[a : a + (1 << 15)]
-            before = (part >> _U(8) & _U(255)).astype(np.int64)
+        return self.frozen().of_grams(grams)
+
+
+@dataclass
+class Frozen:
+    """What a learned model needs to score: logit and share of the gate of every cell, weights, map."""
+
+    logits: np.ndarray
+    known: np.ndarray
+    weights: np.ndarray
+    map: np.ndarray
+
+    def of_grams(self, grams: np.ndarray) -> np.ndarray:
+        """log10 of the probability of each gram's last byte after the others."""
+        total, weights = np.empty(len(grams)), np.ascontiguousarray(self.weights.T)
+        table = self.map.ravel()
+        for a in range(0, len(grams), STEP):
+            part = grams[a : a + STEP]
+            before = (part >> _U(8) & _U(255)).astype(np.int64) * BUCKETS
+            contexts, p = _contexts(part), np.ones(len(part))
             for j in range(8):
-                logits, gate, bit = self.inputs(part, j, leave=False)
-                mixed = self.mix(logits, gate)
+                cells = _cells(part, j, contexts)
+                gate = self.known[cells[3]] + self.known[cells[4]] + self.known[cells[5]]
+                mixed = weights[0][gate] * self.logits[cells[0]]
+                for w, cell in zip(weights[1:], cells[1:]):
+                    mixed += w[gate] * self.logits[cell]
+                np.clip(mixed, -11, 11, mixed)
                 place = ((mixed + 8) * 2).clip(0, BUCKETS - 1.001)
                 low = place.astype(np.int64)
-                map_logit = table[before, low] * (1 - place + low) + table[before, low + 1] * (place - low)
-                final = (mixed + map_logit) / 2
-                total[a : a + len(part)] -= np.logaddexp(0, np.where(bit > 0, -final, final))
-        return total / np.log(10)
+                place -= low
+                low += before
+                mixed += table[low] * (1 - place) + table[low + 1] * place
+                # Half of the sum is the last logit; with its sign turned for a bit of 1.
+                mixed *= 0.5 - (part >> _U(7 - j) & _U(1)).view(np.int64)
+                p /= 1 + np.exp(mixed)
+            total[a : a + len(part)] = np.log10(p)
+        return total
 
 
 def _learn(shared):
@@ -347,18 +408,18 @@ def in_slots(grams: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, np.ndar
     return keys, values
 
 
-def token_scores(model: BitModel, keys: np.ndarray, scores: np.ndarray, tokens: list[bytes], counts: np.ndarray) -> np.ndarray:
+def token_scores(model: BitModel | Frozen, keys: np.ndarray, scores: np.ndarray, tokens: list[bytes] | np.ndarray, counts: np.ndarray) -> np.ndarray:
     """log10 probability of each token of texts of ``counts`` tokens, after the bytes before it."""
-    parts = []
-    for grams in grams_of_texts(tokens, counts):
+    data = _stream(tokens)
+    places = np.empty(len(data))
+    for a, grams in zip(range(0, len(data), PIECE), grams_of_texts(data, counts)):
         slots = _slots(grams)
         out = scores[slots]
         other = np.flatnonzero((keys[slots] != grams) | (grams == 0))
         fresh, inverse = np.unique(grams[other], return_inverse=True)
         out[other] = model.of_grams(fresh)[inverse]
-        parts.append(out)
-    sizes = np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1
-    return np.add.reduceat(np.concatenate(parts), np.cumsum(sizes) - sizes)
+        places[a : a + len(grams)] = out
+    return np.add.reduceat(places, np.r_[0, ends_of(data)[:-1]])
 
 
 #: Shares of the two memories of a text, its words and its word pairs, among which the text itself decides.
@@ -371,16 +432,21 @@ TEXT = ", ".join(
 
 def _earlier(keys: np.ndarray) -> np.ndarray:
     """How often each key stands before its place."""
-    order = np.argsort(keys, kind="stable")
-    ranked = keys[order]
+    n = len(keys)
+    if n and int(keys.max()) < (1 << 62) // n:
+        # Sorted with their places as last digits; much faster than a stable sort of places.
+        ranked, order = np.divmod(np.sort(keys * n + np.arange(n)), n)
+    else:
+        order = np.argsort(keys, kind="stable")
+        ranked = keys[order]
     heads = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]])
-    out = np.empty(len(keys), np.int64)
-    out[order] = np.arange(len(keys)) - np.repeat(heads, np.diff(np.r_[heads, len(keys)]))
+    out = np.empty(n, np.int64)
+    out[order] = np.arange(n) - np.repeat(heads, np.diff(np.r_[heads, n]))
     return out
 
 
 def memory_sums(codes: np.ndarray, heads: np.ndarray, sizes: np.ndarray, static: np.ndarray) -> np.ndarray:
-    """log10 sums (texts x MEMORY) of texts given by word codes; ``static`` is 0 for words scored elsewhere.
+    """log10 sums (texts x MEMORY) of texts given by word codes from 0; ``static`` is 0 for words scored elsewhere.
 
     A word that the text has not had yet and whose static probability comes from the join counts with
     the share that the static model keeps; one that it had counts with the memories alone.
@@ -388,14 +454,13 @@ def memory_sums(codes: np.ndarray, heads: np.ndarray, sizes: np.ndarray, static:
     n = len(codes)
     doc = np.repeat(np.arange(len(heads)), sizes)
     at = np.arange(n) - np.repeat(heads, sizes)
-    dense = np.unique(codes, return_inverse=True)[1]
-    wide = np.int64(dense.max() + 1 if n else 1)
-    before = _earlier(doc * wide + dense)
+    wide = np.int64(codes.max() + 1 if n else 1)
+    before = _earlier(doc * wide + codes)
     single = before / np.maximum(at, 1)
     pair = np.zeros(n)
     if n > 1:
         follows = np.flatnonzero(at > 0)
-        key = np.unique((doc[follows] * wide + dense[follows - 1]) * wide + dense[follows], return_inverse=True)[1]
+        key = np.unique(doc[follows] * wide + codes[follows - 1], return_inverse=True)[1] * wide + codes[follows]
         pair[follows] = _earlier(key) / np.maximum(before[follows - 1], 1)
     out = np.empty((len(heads), len(MEMORY)))
     elsewhere = static == 0
@@ -417,62 +482,34 @@ def _score_texts(shared, model):
         for batch in source:
             for a, b in slices(pc.binary_length(batch.column(3)).to_pylist()):
                 part = batch.slice(a, b - a)
-                tokens: list[bytes] = []
-                lengths, sizes = [], []
-                for text in part.column(3).cast(pa.binary()):
-                    data = text.as_py()
-                    words = words_of(data)
-                    tokens += words
-                    tokens.append(b"")
-                    lengths.append(len(data))
-                    sizes.append(len(words) + 1)
-                n, size = len(part), np.array(sizes)
-                heads = np.cumsum(size) - size
-                found = np.fromiter(map(at.get, tokens, _minus), np.int64, len(tokens))
-                rare = np.flatnonzero(found < 0)
-                local: dict[bytes, int] = {}
-                codes = found.copy()
-                codes[rare] = [len(at) + local.setdefault(tokens[k], len(local)) for k in rare.tolist()]
-                own = token_scores(model.value, keys, scores, tokens, size)
+                data, size = stream_of(part.column(3))
+                codes, words = distinct_of(data)
+                n, heads, wide = len(part), np.cumsum(size) - size, len(words)
+                place = np.fromiter(map(at.get, words.to_pylist(), repeat(-1)), np.int64, wide)
+                own = token_scores(model.value, keys, scores, data, size)
                 # A very long word's probability is below the smallest double.
                 far = own < -300
                 sums = memory_sums(codes, heads, size, np.where(far, 0, 10.0**own))
                 if far.any():
                     text = np.repeat(np.arange(n), size)
-                    first = _earlier(np.unique(np.stack([text, codes]), axis=1, return_inverse=True)[1].ravel()) == 0
+                    first = _earlier(text * wide + codes) == 0
                     sums[:, 0] += np.bincount(text[far], own[far], n)
                     sums[:, 1:] += np.bincount(text[far & first], own[far & first], n)[:, None]
-                hit = found >= 0
-                n_known = np.add.reduceat(np.where(hit, np.append(known, False)[found], False).astype(np.int64), heads)
-                base_sum = np.add.reduceat(np.where(hit, np.append(base, 0.0)[found], 0.0), heads)
-                counts = [pa.array(lengths, pa.int64()), pa.array(size), pa.array(n_known), pa.array(base_sum), *(pa.array(c) for c in sums.T.copy())]
+                n_known = np.add.reduceat(np.where(place >= 0, np.append(known, False)[place], False).astype(np.int64)[codes], heads)
+                base_sum = np.add.reduceat(np.where(place >= 0, np.append(base, 0.0)[place], 0.0)[codes], heads)
+                lengths = pc.binary_length(part.column(3)).cast(pa.int64())
+                counts = [lengths, pa.array(size), pa.array(n_known), pa.array(base_sum), *(pa.array(c) for c in sums.T.copy())]
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], *counts, pa.nulls(n, pa.binary()), pa.nulls(n, pa.int32())], names)
-                doc = np.searchsorted(heads, rare, "right") - 1
-                pairs, times = np.unique(doc * (len(local) + 1) + codes[rare] - len(at), return_counts=True)
-                words = list(local)
-                own = pa.array(pairs // (len(local) + 1))
+                rare = np.flatnonzero((place < 0)[codes])
+                pairs, times = np.unique((np.searchsorted(heads, rare, "right") - 1) * wide + codes[rare], return_counts=True)
+                own = pa.array(pairs // wide)
                 blank = [pa.nulls(len(pairs), c.type) for c in (part.column(1), part.column(2), *counts)]
-                rows = [words[k] for k in (pairs % (len(local) + 1)).tolist()]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(own), *blank, pa.array(rows, pa.binary()), pa.array(times.astype(np.int32))], names
-                )
+                rows = words.take(pa.array(pairs % wide))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(own), *blank, rows, pa.array(times.astype(np.int32))], names)
 
     return run
 
 
-class _Minus:
-    """An endless supply of -1 for map."""
-
-    def __iter__(self):
-        return self
-
-    def __next__(self) -> int:
-        return -1
-
-
-_minus = _Minus()
-
-
 def most_frequent(words: DataFrame, most: int, m: str = "m") -> int:
     """The least count ``m`` that ``most`` words at most reach; decided on at most 4096 rows."""
     rows = words.groupBy(F.least(m, F.lit(4096)).alias("least")).agg(F.count("*").alias("words"), F.sum(m).alias("mass")).collect()
@@ -502,7 +539,7 @@ def score_texts(docs: DataFrame, folds: int = FOLDS, held: int = HELD, frequent:
     tokens, kinds = (int(x) for x in words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("n") > 0, 1))).first())
     context = spark.sparkContext
     learned, grams = train(texts.where("not held"))
-    model = context.broadcast(learned)
+    model = context.broadcast(learned.frozen())
     table = gram_table(grams, model)
     discard(grams)
     scored = words.withColumn("base", F.log10((F.col("n") + 1) / F.lit(float(tokens + kinds + 1))))
