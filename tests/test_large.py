@@ -1,8 +1,11 @@
 """What the fits and bands do on long tables, on rows of their own."""
 
+import hashlib
+
 import numpy as np
+import pytest
 
-from traitscope.operators import passes
+from traitscope.operators import ordered, passes
 from traitscope.operators.passes import Held, LightSearch, Passes, Rows, Search, pieces, solve
 from traitscope.plans import solvers
 
@@ -62,3 +65,54 @@ def test_remembered_members_do_not_change_a_search(spark):
     df = spark.createDataFrame([([float(v) for v in x], [int(b) for b in p]) for x, p in zip(rows.x, rows.phi)], "embedding array<float>, phi array<int>").coalesce(1)
     (held,) = solve(Passes(df), [search()])
     np.testing.assert_allclose(held, kept, atol=1e-9)
+
+
+def band_by_hand(x, rate, seed_n, reps, seed):
+    lows, highs = [1.0], [0.0]
+    for rep in range(reps):
+        order = sorted(range(len(x)), key=lambda t: hashlib.md5(f"{seed}:{rep}:{t}".encode()).hexdigest())
+        c = [np.mean(x[order[:seed_n]])]
+        for v in x[order[1:]]:
+            c.append((1 - rate) * c[-1] + rate * v)
+        lows.append(min(c))
+        highs.append(max(c))
+    return min(lows), max(highs)
+
+
+@pytest.mark.parametrize("rate", [0.05, 1e-3, 0.0, 1.0])
+def test_a_band_is_shuffled_a_few_repetitions_at_a_time(spark, monkeypatch, rate):
+    """Disk holds ``SHUFFLED`` rows at most, none of them smoothed."""
+    x = RNG.normal(size=300)
+    df = spark.createDataFrame([(i, [float(v)]) for i, v in enumerate(x)], "t bigint, curve array<double>").repartition(3)
+    written, plain = [], ordered.materialise
+    monkeypatch.setattr(ordered, "SHUFFLED", 700)
+    monkeypatch.setattr(ordered, "materialise", lambda table, label: written.append((label, plain(table, label).count())) or plain(table, label))
+    got = ordered.permutation_band(df, rate=rate, seed_n=10, reps=5, seed=4).first()
+    assert [label for label, _ in written] == ["band"] * 3
+    assert all(rows <= 4 + 2 for _, rows in written)
+    low, high = band_by_hand(x, rate, 10, 5, 4)
+    assert got["lower"] == pytest.approx(low, abs=1e-9)
+    assert got["upper"] == pytest.approx(high, abs=1e-9)
+    assert spark.conf.get(ordered.CLEANUP, None) in (None, "false")
+
+
+@pytest.mark.parametrize("hull", [1, 10_000])
+@pytest.mark.parametrize("value", [lambda f, n: 0.7 * (1 - f), lambda f, n: RNG.normal(size=n), lambda f, n: np.zeros(n)])
+def test_least_lines_hold_the_least_for_every_state(monkeypatch, hull, value):
+    monkeypatch.setattr(ordered, "HULL", hull)
+    for n in (1, 2, 400):
+        at = np.arange(n)
+        fade = 0.9**at
+        v = value(fade, n)
+        kept = ordered.least_lines(at, v, fade, 2.0)
+        for s in np.linspace(-2, 2, 41):
+            assert (v + s * fade)[kept].min() == pytest.approx((v + s * fade).min(), abs=1e-12)
+
+
+def test_a_band_of_no_rows_and_of_missing_values(spark):
+    schema = "t bigint, curve array<double>"
+    assert ordered.permutation_band(spark.createDataFrame([], schema), reps=2).collect() == []
+    rows = [(i, [0.5, None if i == 3 else 2.0]) for i in range(50)]
+    first, second = ordered.permutation_band(spark.createDataFrame(rows, schema), reps=2, seed_n=5).orderBy("curve_id").collect()
+    assert (first["lower"], first["upper"]) == (pytest.approx(0.5), pytest.approx(0.5))
+    assert second["lower"] <= 1.0 and np.isnan(second["upper"])
